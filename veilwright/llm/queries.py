@@ -17,14 +17,20 @@ def tokenizer_file(name: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    from veilwright.llm import bpe, packing, token_store
+    from veilwright.llm import bpe, ctph, exact_dedup, langid, packing, simhash, token_store
 
     return {
         "op1_token_store": lambda s, d: token_store.op1(tokenizer_file("word_bpe_49k.json"), 2)(s, d),
+        "op2_exact_dedup": exact_dedup.op2,
         "op4_bpe_automaton": lambda s, d: bpe.op4(tokenizer_file("byte_bpe_50k.json"))(s, d),
         "op7_packing": lambda s, d: packing.op7(tokenizer_file("byte_bpe_50k.json"), 1)(s, d),
+        "op8_simhash": simhash.op8,
+        "op9_piecewise_hash": ctph.op9,
+        "op10_language_id": langid.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from veilwright.llm import exact_dedup
+
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL}
