@@ -167,6 +167,20 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     return _io.text_rows(docs, key, text).mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language with a score of ``least`` or more. No shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sure = held.value.score(batch.column(at))
+            known = np.array([x != "und" for x in names], bool)
+            yield batch.filter(pa.array(known & (sure >= least)))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     """Rows that no training may see: a quarter, by checksum of the id."""
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string")) % 4 == 2, F.lit(False))

@@ -17,13 +17,14 @@ def tokenizer_file(name: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    from veilwright.llm import bpe, ctph, exact_dedup, html_extract, langid, packing, simhash, token_store, url_filter
+    from veilwright.llm import bpe, ctph, exact_dedup, html_extract, langid, packing, simhash, suffix_dedup, token_store, url_filter
 
     return {
         "op1_token_store": lambda s, d: token_store.op1(tokenizer_file("word_bpe_49k.json"), 2)(s, d),
         "op2_exact_dedup": exact_dedup.op2,
         "op3_url_filter": url_filter.op3,
         "op4_bpe_automaton": lambda s, d: bpe.op4(tokenizer_file("byte_bpe_50k.json"))(s, d),
+        "op5_suffix_dedup": suffix_dedup.op5,
         "op6_main_text": html_extract.op6,
         "op7_packing": lambda s, d: packing.op7(tokenizer_file("byte_bpe_50k.json"), 1)(s, d),
         "op8_simhash": simhash.op8,
