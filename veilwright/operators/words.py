@@ -1,0 +1,53 @@
+"""Word lists of the detectors, as sets. Order does not matter to any of them."""
+
+from __future__ import annotations
+
+#: Labels before names; never part of one.
+LABEL_WORDS = frozenset(
+    """
+    MATRICOLA CODICE FISCALE RESPONSABILE NOME COGNOME CELLULARE OPERATORE REFERENTE TEL MAIL EMAIL CELL IBAN
+    TELEFONO COMMENTO NOMINATIVO AUTHOR TEST
+    """.split()
+)
+
+#: Language keywords that a recognizer takes for names.
+TECHNICAL_WORDS = frozenset(
+    """
+    PIC END ELSE VALUE MOVE IF USING CALL PERFORM THEN WHEN DIVISION SECTION TO COMP DISPLAY
+    """.split()
+)
+
+#: Upper-case words of legacy sources that are no surnames, besides the labels.
+ORDINARY_WORDS = frozenset(
+    """
+    ANAGRAFICA MODIFICA VERIFICA AREA RIGA ALLA TABELLA DELLA PROGRAMMA STAMPA SCRITTURA DATA VALIDATA AGGIORNATA
+    RIVERSIBILITA AGGIUNTA IMPOSTA SENZA RIVERSIB EXEC PIC CREATED ABEND RECORD CODICE MODIFICHE RIGHE CATEGORIE
+    FILE DELLE GESTIONE VALIDAZIONE ELIMINAZIONE LAVORAZIONE CESSAZIONE ANNOTAZIONE DIREZIONE ATTENZIONE
+    VERIFICARE AGGIORNARE MAGGIORE ERRORE PROCEDURE CREATE NOTE VALUE BREVE WORKING BATCH MATCH WURTH CONTABILI
+    ASSEGNI CATEGORIEPARTICOLARI DATI CESSATI RIATTIVATI NOMINATIVI VITALIZI COPYBOOK LABEL CALL PROGRAM PARM
+    ASSIGN DIVISION NON ELENCO CATALOGO APPOGGIO CONGUAGLIO CONTROLLO CEDOLINO DOPO ZERO VALIDATO DEBITO
+    AGGIORNAMENTO PUNTAMENTO COMPOSTO COMP STOP SPACES ZEROS ACCT COMMENT INPUT OUTPUT DISPLAY COPY
+    """.split()
+)
+
+#: Words on a line that make a surname likely.
+PERSON_WORDS = frozenset(
+    """
+    SIG. SIG.RA SIGRA ANALISTA RESPONSABILE SEGNALARE CHIAMARE AVVISARE CONTATTARE OPERATORE AUTORE REFERENTE
+    UTENTE SIG MAIL EMAIL CREATO AGGIORNATO AUTHOR
+    """.split()
+)
+
+#: Column names in rosters.
+ROSTER_HEADERS = frozenset(
+    """
+    MATRICOLA ID EMPLOYEEID EMPLOYEE NAME SURNAME LASTNAME FIRSTNAME NOME COGNOME MATR
+    """.split()
+)
+
+#: Fields that hold staff numbers.
+STAFF_LABELS = frozenset(
+    """
+    MATRICOLA EMPLOYEE-ID EMP-ID DIPENDENTE CODICE-DIPENDENTE COD-DIP CODICE-DIP CODDIP MATR
+    """.split()
+)
