@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilwright.llm import _io
 from veilwright.llm.tokenizer import BYTE_TO_CHAR, CHAR_TO_BYTE
-from veilwright.llm.wordtable import WordTable, gather
+from veilwright.llm.wordtable import WordTable, gather, text_slices
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     """doc_id, ids (array of int) for every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             ids, at = codec(tokenizer_path).encode_rows(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
@@ -209,7 +209,7 @@ def digests(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     """doc_id, n_tokens, ids_sha256, decoded_sha256, without moving ids between processes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             coder = codec(tokenizer_path)
             ids, at = coder.encode_rows(batch.column(1))
             pool, begin, size = _decimals(tokenizer_path)

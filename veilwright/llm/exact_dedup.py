@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.llm import _io
-from veilwright.llm.wordtable import text_buffer
+from veilwright.llm.wordtable import text_buffer, text_slices
 
 WINDOW, MASK, LEAST, MOST = 32, (1 << 12) - 1, 1024, 16384
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -76,7 +76,7 @@ def cuts(buf: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
 
 def _recipes(docs: DataFrame, identify: Identify) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             buf, offsets = text_buffer(batch.column(1))
             raw = memoryview(_LOWER[buf].tobytes())
             recipe, sha = [], []
@@ -89,10 +89,10 @@ def _recipes(docs: DataFrame, identify: Identify) -> DataFrame:
 
 
 def _chunks(docs: DataFrame, identify: Identify) -> DataFrame:
-    """id, body: each distinct chunk once a batch."""
+    """id, body: each distinct chunk once a slice of the input."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 0):
             buf, offsets = text_buffer(batch.column(0))
             raw = _LOWER[buf].tobytes()
             own = {raw[x:y] for a, ends in zip(offsets[:-1].tolist(), cuts(np.frombuffer(raw, np.uint8), offsets), strict=True) for x, y in zip([a, *ends], ends, strict=False)}

@@ -11,7 +11,7 @@ characters, characters from U+0250 on) are reported as ``odd`` and encoded whole
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -217,3 +217,14 @@ class WordTable:
         if end is not None:
             out[at[1:] - 1] = end
         return out, at
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``most`` bytes of text, or one longer row."""
+    for batch in batches:
+        _, offsets = text_buffer(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            yield batch.slice(at, upto - at)
+            at = upto
