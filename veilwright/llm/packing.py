@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwright.llm import _io, tokenizer
+from veilwright.llm.wordtable import text_slices
 
 SIZE, STRIDE, SENTENCE_COST, INNER_COST = 2048, 256, 4, 48
 
@@ -137,9 +138,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SIZE, ke
                 arrays.append(pa.array([ids[x : x + n] for x, n in zip(a.tolist(), out["length"].tolist(), strict=True)], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in columns.split(", ")])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in text_slices(batches, 1):
             ids, at = table.encode_rows(batch.column(1), whole, end_id)
             held.append((np.asarray(batch.column(0).fill_null(0)), np.asarray(batch.column(0).is_null()), ids, np.diff(at)))
             tokens += len(ids)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwright.llm import _io, tokenizer
+from veilwright.llm.wordtable import text_slices
 
 MAGIC = b"VWTOKEN1"
 NULL_KEY = -(2**63)
@@ -256,9 +257,7 @@ def write_store(
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
         table, whole = tokenizer.word_table(tokenizer_path, spaced), tokenizer.whole(tokenizer_path)
         writer, rows = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in text_slices(batches, 1):
             ids, at = table.encode_rows(batch.column(1), whole, end_id)
             keys = np.asarray(batch.column(0).fill_null(NULL_KEY), dtype=np.int64)
             writer = writer or ShardWriter(f"{name}-{len(rows):04d}.vwt", table.dtype)
