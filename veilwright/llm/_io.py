@@ -10,7 +10,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, object] = {}
@@ -71,3 +71,16 @@ def text_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def keep_rows(docs: DataFrame, found: DataFrame, key: str, mark: Column) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``found`` (doc_id, mark, n) names by id and ``mark``, each once.
+
+    ``found`` has each (doc_id, mark) once and ``n``, the number of rows that have it. Rows are only gathered
+    by (id, mark) where some are repeated.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{key}`").cast("long").alias("k"), mark.alias("m"))
+    joined = rows.join(found, (rows.m == found.mark) & rows.k.eqNullSafe(found.doc_id)).select("row", "k", "m", "n")
+    if found.filter("n > 1").isEmpty():
+        return joined.select("row.*")
+    return joined.filter("n = 1").select("row.*").unionByName(joined.filter("n > 1").groupBy("k", "m").agg(F.first("row").alias("row")).select("row.*"))

@@ -121,8 +121,9 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ladder:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; of rows that share id and text, one."""
-    found = duplicates(docs, key, text).filter("kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(found, docs[key].eqNullSafe(found[key]), "left_semi").dropDuplicates([key])
+    stay = duplicates(docs, key, text).filter("kept").groupBy("doc_id", F.col("text_sha256").alias("mark")).agg(F.count(F.lit(1)).alias("n"))
+    lowered = F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _io.keep_rows(docs, _io.stash(stay, "stay"), key, F.sha2(lowered, 256))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.llm import _io
@@ -32,24 +32,40 @@ from veilwright.llm.components import components
 from veilwright.llm.wordtable import text_buffer
 
 MOST, SPLIT, FAN = 3, 2000, 8
+#: Sketches for :func:`keep_one`: similarity (a little below 0.8, by the estimate's error), bands and their rows, hashes.
+SIMILAR, BANDS, ROWS, HASHES = 0.77, 10, 5, 256
+_TIMES, _PLUS = np.random.default_rng(8).integers(0, 2**32, (2, HASHES), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(raw: bytes, width: int = 3, seed: int = 42, step: int = 1 << 16) -> bytes:
-    """Eight bytes, highest bit first."""
+def shingle_hashes(raw: bytes, width: int, seed: int = 42, step: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The hashes of all word shingles, repeats included, eight bytes each, highest first."""
     words = raw.translate(_LOWER).split()
     if not words:
-        return bytes(8)
+        return
     text = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[: max(1, len(words) - width + 1)]
     ends = ends[min(width, len(words)) - 1 :]
-    digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_digest
     for k in range(0, len(starts), step):
         hashes = b"".join([digest(text[a:b], seed) for a, b in zip(starts[k : k + step].tolist(), ends[k : k + step].tolist(), strict=True)])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > len(starts)).tobytes()
+        yield np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, highest first."""
+    return np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(raw: bytes, width: int = 3) -> bytes:
+    """Eight bytes, highest bit first."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(raw, width):
+        ones += majority(hashes)
+        n += len(hashes)
+    return np.packbits(2 * ones > n).tobytes()
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -216,10 +232,83 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """The rows that stay, one of each group (that of the least id), with all their columns."""
-    found = near_groups(docs, key, text, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(found, docs[key].eqNullSafe(found[key]), "left_semi").dropDuplicates([key])
+def sketch(raw: bytes, width: int) -> tuple[bytes, np.ndarray, bytes]:
+    """The fingerprint, the keys of ``BANDS`` bands of least hashes, and two bits of each of ``HASHES`` least hashes."""
+    ones, n, least = np.zeros(64, np.int64), 0, np.full(HASHES, 2**32 - 1, np.uint32)
+    for hashes in shingle_hashes(raw, width):
+        ones += majority(hashes)
+        n += len(hashes)
+        top = np.ascontiguousarray(hashes).view(">u8")[:, 0].astype(np.uint64) >> np.uint64(32)
+        top = np.unique(top.astype(np.uint32))
+        for k in range(0, len(top), 1024):
+            np.minimum(least, (top[k : k + 1024, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    keys = least[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        key = (key ^ (key >> np.uint64(31)) ^ keys[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+    pairs = ((least * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint8)
+    return np.packbits(2 * ones > n).tobytes(), key, np.packbits(np.stack([pairs >> 1, pairs & 1], axis=1).ravel()).tobytes()
+
+
+def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """doc_id, mark (SHA-256 of the text), fp, bands, bits (longs of the sketch) for every row."""
+    longs = HASHES // 32
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = text_buffer(batch.column(2))
+            raw = memoryview(buf.tobytes())
+            made = [sketch(bytes(raw[a:b]), width) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            fps = np.frombuffer(b"".join(x[0] for x in made), ">i8").astype(np.int64)
+            bands = np.concatenate([x[1] for x in made]).view(np.int64) if made else np.zeros(0, np.int64)
+            bits = np.frombuffer(b"".join(x[2] for x in made), ">i8").astype(np.int64)
+            each = lambda n: pa.array(np.arange(len(made) + 1, dtype=np.int32) * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.ListArray.from_arrays(each(BANDS), pa.array(bands)), pa.ListArray.from_arrays(each(longs), pa.array(bits))], ["doc_id", "mark", "fp", "bands", "bits"])
+
+    rows = _io.text_rows(docs, key, text)
+    return rows.select("doc_id", F.sha2("text", 256).alias("mark"), "text").mapInArrow(work, "doc_id long, mark string, fp long, bands array<long>, bits array<long>")
+
+
+def similar(marks: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """a, b: fingerprints of texts whose shingle sets are similar (Jaccard, estimated from the sketches) to that of
+    the least or greatest fingerprint in one of their bands.
+
+    Linear in the number of rows: a band of n rows gives at most 2n pairs. The ends of a band are found
+    by sums made before the shuffle, and Spark splits the join's hot bands.
+    """
+    longs = HASHES // 32
+    own = F.struct("fp", *(F.get("bits", F.lit(k)).alias(f"s{k}") for k in range(longs))).alias("own")
+    rows = marks.select(F.explode("bands").alias("band"), own)
+    ends = rows.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low.fp <> high.fp")
+    met = _io.stash(rows.join(_io.stash(ends, "bands"), "band"), "met")
+
+    def differ(a: str, b: str) -> Column:
+        total = F.lit(0)
+        for k in range(longs):
+            x = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
+            total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        return total
+
+    most = int(HASHES * 0.75 * (1 - least))  # of two unequal sets' bit pairs, a quarter agree by chance
+    pairs = [met.filter((F.col("own.fp") != F.col(f"{end}.fp")) & (differ("own", end) <= most)).select(F.col("own.fp").alias("a"), F.col(f"{end}.fp").alias("b")) for end in ("low", "high")]
+    return pairs[0].unionByName(pairs[1])
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = SIMILAR) -> DataFrame:
+    """The rows that stay, one of each group (that of the least id, a null id last), with all their columns.
+
+    A group is linked by fingerprints within ``MOST`` bits and by similar shingle sets: texts that share four
+    fifths of their five-word shingles differ in five to sixteen fingerprint bits, which no index of
+    64-bit fingerprints finds, so a banded sketch of least hashes adds these links.
+    """
+    marks = _io.stash(sketches(docs, key, text, width), "sketches")
+    rows = marks.groupBy("fp", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "mark", "n")
+    codes = _io.stash(rows.groupBy("fp").agg(F.min(first).alias("first")), "codes")
+    roots = _io.stash(components(links(codes).unionByName(similar(marks, least))), "roots")
+    grouped = codes.join(roots, codes.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    stay = grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark", "first.n")
+    return _io.keep_rows(docs, _io.stash(stay, "stay"), key, F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
