@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from veilwright.llm import _io
 from veilwright.llm.induced import same_start, suffix_array
-from veilwright.llm.wordtable import gather, text_buffer
+from veilwright.llm.wordtable import gather, places, text_buffer
 
-SPAN, GRAM, BLOCK, SHARD, STEP = 50, 24, 2_000_000, 4_000_000, 1_000_000
+SPAN, GRAM, BLOCK, SHARD, STEP = 50, 24, 2_000_000, 4_000_000, 1 << 16
 LAST = 2**63 - 1
 _SEEDS = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
 _F1 = 0x9E3779B97F4A7C15
@@ -97,19 +97,20 @@ class Block:
         self.ids = np.asarray(self.table.column("__key").combine_chunks().fill_null(LAST), dtype=np.int64)
 
     def windows(self, subs: int):
-        self.start, self.place, h = anchors(self.buf, self.offsets)
-        self.row = np.searchsorted(self.offsets, self.start, "right") - 1
-        sub, mark = by_sub(h, subs)
-        self.joint = (sub.astype(np.uint64) << np.uint64(32)) | mark
-        turn = np.ones(len(self.start), bool)  # a passage: neighbouring windows with one anchor in one row
-        turn[1:] = (self.place[1:] != self.place[:-1]) | (self.start[1:] != self.start[:-1] + 1)
+        """The windows, and by passage (neighbouring windows with one anchor in one row): first window, windows, row, anchor."""
+        self.start, place, h = anchors(self.buf, self.offsets)
+        turn = np.ones(len(self.start), bool)
+        turn[1:] = (place[1:] != place[:-1]) | (self.start[1:] != self.start[:-1] + 1)
         self.first = np.flatnonzero(turn)
         self.count = np.diff(np.append(self.first, len(turn)))
+        self.row = np.searchsorted(self.offsets, self.start[self.first], "right") - 1
+        sub, mark = by_sub(h[self.first], subs)
+        self.joint = (sub.astype(np.uint64) << np.uint64(32)) | mark
         return self
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors (bucket and mark in one number), and whether several ids have them."""
-        joint, ids = self.joint[self.first], self.ids[self.row[self.first]]
+        joint, ids = self.joint, self.ids[self.row]
         order = np.lexsort((ids, joint))
         joint, ids = joint[order], ids[order]
         new = np.ones(len(joint), bool)
@@ -123,9 +124,9 @@ class Block:
         numbers: dict[bytes, int] = {}
         about: list[list[int]] = []
         out = np.full(len(self.first), -1, np.int64)
-        joint = self.joint[self.first]
+        joint = self.joint
         live = np.flatnonzero(shared[np.searchsorted(self.known, joint)]) if len(self.known) else np.zeros(0, np.int64)
-        raw, begin, ids = self.buf.tobytes(), self.start[self.first], self.ids[self.row[self.first]]
+        raw, begin, ids = self.buf.tobytes(), self.start[self.first], self.ids[self.row]
         subs = (joint >> np.uint64(32)).astype(np.int64)
         for k, a, n, one, sub in zip(live.tolist(), begin[live].tolist(), self.count[live].tolist(), ids[live].tolist(), subs[live].tolist(), strict=True):
             body = raw[a : a + n + SPAN - 1]
@@ -243,7 +244,7 @@ def _groups(rows: list[tuple[int, int, bytes]], limit: int) -> Iterator[tuple[in
     size = np.fromiter(map(len, bodies), np.int64, len(bodies))
     count = size - SPAN + 1
     begin = np.cumsum(size) - size
-    at = gather(np.arange(len(text)), begin, count)  # the windows, passage after passage
+    at = places(begin, count)  # the windows, passage after passage
     number = np.full(len(text), -1, np.int64)
     number[at] = np.arange(len(at))
     order = suffix_array(text, SPAN, limit)
@@ -346,18 +347,22 @@ def _marked(docs: DataFrame, key: str, text: str, finish: Callable[[Block, np.nd
             bucket = np.array([x[0] for x in about], np.int64)
             least = np.full(int(count.sum()), LAST, np.int64)
             first = np.cumsum(count) - count
-            for sub, raw in shared_raw:
+            by_bucket = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[by_bucket], np.array([[x, x + 1] for x, _ in shared_raw], np.int64).reshape(-1, 2))
+            mins = []
+            for _, raw in shared_raw:
                 n = int.from_bytes(raw[:4], "little")
-                mins = np.repeat(np.frombuffer(raw, "<i8", n, 4 + 4 * n), np.frombuffer(raw, "<u4", n, 4))
-                own = np.flatnonzero(bucket == sub)
-                least[gather(np.arange(len(least)), first[own], count[own])] = mins
+                mins.append(np.repeat(np.frombuffer(raw, "<i8", n, 4 + 4 * n), np.frombuffer(raw, "<u4", n, 4)))
+            if mins:
+                own = by_bucket[places(edges[:, 0], edges[:, 1] - edges[:, 0])]
+                least[places(first[own], count[own])] = np.concatenate(mins)
             live = np.flatnonzero(run >= 0)
             got = gather(least, first[run[live]], count[run[live]])
-            where = gather(np.arange(len(block.start)), block.first[live], block.count[live])
-            hit = block.start[where[got < block.ids[block.row[where]]]]
-            edge = np.zeros(len(block.buf) + 1, np.int32)
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + SPAN, -1)
+            where = places(block.first[live], block.count[live])
+            hit = block.start[where[got < np.repeat(block.ids[block.row[live]], block.count[live])]]
+            edge = np.zeros(len(block.buf) + 1, np.int32)  # a window is hit once at most
+            edge[hit] += 1
+            edge[hit + SPAN] -= 1
             yield finish(block, np.cumsum(edge[:-1]) > 0)
 
     triple, back = "sub long, block long, payload binary", "block long, sub long, payload binary"

@@ -27,13 +27,15 @@ _MASK = np.array([(1 << (8 * min(n, 8))) - 1 for n in range(17)], dtype=np.uint6
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+def places(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers ``o .. o + n - 1`` of each pair, one after another."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum()), dtype=np.int64) + np.repeat(offsets - before, lengths)
+
+
 def gather(pool: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Slices ``pool[o : o + n]`` one after another."""
-    total = int(lengths.sum())
-    if not total:
-        return pool[:0]
-    before = np.cumsum(lengths) - lengths
-    return pool[np.arange(total, dtype=np.int64) + np.repeat(offsets - before, lengths)]
+    return pool[places(offsets, lengths)]
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
