@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
+from veilwright.fixed import TAX_CODE_ODD
 
 
 def digest(value: Column, salt: str) -> Column:
@@ -70,7 +70,7 @@ def iban(value: Column, salt: str) -> Column:
 
 def tax_code_check(first: Column) -> Column:
     """The last letter of a tax code, from the 15 before it."""
-    odd = F.array(*map(F.lit, _ODD))
+    odd = F.array(*map(F.lit, TAX_CODE_ODD))
 
     def weight(c: Column, k: Column) -> Column:
         place = F.when(F.ascii(c) < 58, F.ascii(c) - 48).otherwise(F.ascii(c) - 65)

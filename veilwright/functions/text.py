@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilwright.options import CONTEXT_RADIUS, UNLINKED
+from veilwright.fixed import CONTEXT_RADIUS, NON_LINKABLE
 
 BREAKS = "\\n\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029"  # what ends a line, once newlines are normalized
 BLANK = "[\\s\\x1C-\\x1F]"
@@ -58,4 +58,4 @@ def normalized(value: Column) -> Column:
 def finding_key(entity: Column, value: Column, file: Column, line: Column, col: Column) -> Column:
     """The value; for entities that must not be linked, the place and the value."""
     own = F.concat_ws(":", F.lit("OCCURRENCE"), file, line.cast("string"), col.cast("string"), normalized(value))
-    return F.when(entity.isin(*UNLINKED), own).otherwise(normalized(value))
+    return F.when(entity.isin(*NON_LINKABLE), own).otherwise(normalized(value))

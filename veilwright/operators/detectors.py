@@ -13,32 +13,42 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilwright.fixed import (
+    ADDRESS_STOPS,
+    CODICE_FISCALE,
+    COMMON_ENDINGS,
+    EMAIL,
+    IBAN,
+    MATRICOLA_LABELS,
+    MATRICOLA_VALUE,
+    NAME_CONTEXT_WORDS,
+    NAME_EDGES,
+    NAME_STOPWORDS,
+    PHONE_LABELS,
+    PHONE_VALUE,
+    TECHNICAL_WORDS,
+    UNKNOWN_NAME_PREFIXES,
+    UNKNOWN_NAME_STOPWORDS,
+    UPPER_NAME_TOKEN,
+)
 from veilwright.functions.spans import inside, int_of, matches
 from veilwright.functions.text import line_around, part
 from veilwright.operators.overlaps import joined_names, resolved
 from veilwright.operators.ranges import comment_line, name_ranges
-from veilwright.operators.words import LABEL_WORDS, ORDINARY_WORDS, PERSON_WORDS, STAFF_LABELS, TECHNICAL_WORDS
 from veilwright.options import FOUND, SPAN, ScanOptions
 
-FOLD, EDGE, LETTER, DIGIT, EITHER = "(?iU)", "\\b", "[A-Z]", "\\d", "[0-9A-Z]"
-EMAIL = f"{FOLD}{EDGE}[%+\\-.0-9A-Z_]+@[\\-.0-9A-Z]+\\.{LETTER}{{2,}}{EDGE}"
-IBAN = f"{FOLD}{EDGE}{LETTER}{{2}}{DIGIT}{{2}}{EITHER}{{11,30}}{EDGE}"
-TAX_CODE = f"{FOLD}{EDGE}{LETTER}{{6}}{DIGIT}{{2}}{LETTER}{DIGIT}{{2}}{LETTER}{DIGIT}{{3}}{LETTER}{EDGE}"
-_STAFF = f"[5-7]?{DIGIT}{{6}}"
-_ALONE = "(?![0-9A-Z])"
-_LABELS = "|".join(sorted(map(re.escape, STAFF_LABELS), key=lambda x: (-len(x), x)))
-_FIELD = f"[\\w\\-]*(?:{_LABELS})[\\w\\-]*{EDGE}"
-_QUOTE = "['\"]?"
-STAFF_NUMBER = f"{FOLD}(?<![0-9A-Z]){_STAFF}{_ALONE}"
+FOLD = "(?iU)"
+STAFF_NUMBER = f"{FOLD}(?<![A-Z0-9]){MATRICOLA_VALUE}(?![A-Z0-9])"
+_LABEL = "|".join(map(re.escape, MATRICOLA_LABELS))
+_FIELD, _QUOTE, _STAFF = f"[\\w-]*(?:{_LABEL})[\\w-]*\\b", "['\"]?", f"({MATRICOLA_VALUE})(?![A-Z0-9])"
+#: Moved to a field, the value of a field, or after a label: ``(before)(number)``.
 STAFF_LABELLED = (
-    f"{FOLD}({EDGE}MOVE\\s+{_QUOTE})({_STAFF}){_ALONE}{_QUOTE}\\s+TO\\s+{_FIELD}",
-    f"{FOLD}({EDGE}{_FIELD}[^\\r\\n]{{0,90}}{EDGE}VALUE\\s+{_QUOTE})({_STAFF}){_ALONE}{_QUOTE}",
-    f"{FOLD}({EDGE}(?:{_LABELS}){EDGE}\\s*[=:]\\s*{_QUOTE})({_STAFF}){_ALONE}{_QUOTE}",
+    f"{FOLD}(\\bMOVE\\s+{_QUOTE}){_STAFF}{_QUOTE}\\s+TO\\s+{_FIELD}",
+    f"{FOLD}(\\b{_FIELD}[^\\r\\n]{{0,90}}\\bVALUE\\s+{_QUOTE}){_STAFF}{_QUOTE}",
+    f"{FOLD}(\\b(?:{_LABEL})\\b\\s*[:=]\\s*{_QUOTE}){_STAFF}{_QUOTE}",
 )
-PHONE = f"{FOLD}({EDGE}(?:CELLULARE|TELEFONO|PHONE|CELL|TEL){EDGE}\\s*[=:]?\\s*)(\\+?{DIGIT}[{DIGIT} ().\\-/]{{6,20}}{DIGIT})"
-UPPER_TOKEN = "(?U)(?<![\\w'])[A-ZÀ-ÖØ-Þ]['’A-ZÀ-ÖØ-Þ]{2,}(?![\\w'])"
-WORD = "(?U)[\\w\\-]+"
-_TRIMMED = " \t\r\n.,;:()[]{}\"'"
+PHONE_LABELLED = f"{FOLD}(\\b(?:{'|'.join(PHONE_LABELS)})\\b\\s*[:=]?\\s*)({PHONE_VALUE})"
+WORD = "(?U)[\\w-]+"
 
 
 def findings(spans: Column, entity: str, confidence: float, source: str = "regex") -> Column:
@@ -50,19 +60,19 @@ def none() -> Column:
 
 
 def emails(text: Column) -> Column:
-    return F.when(text.contains("@"), findings(matches(text, EMAIL), "EMAIL", 0.98)).otherwise(none())
+    return F.when(text.contains("@"), findings(matches(text, FOLD + EMAIL), "EMAIL", 0.98)).otherwise(none())
 
 
 def ibans(text: Column) -> Column:
-    return findings(matches(text, IBAN), "IBAN", 0.96)
+    return findings(matches(text, FOLD + IBAN), "IBAN", 0.96)
 
 
 def tax_codes(text: Column) -> Column:
-    return findings(matches(text, TAX_CODE), "CODICE_FISCALE", 0.96)
+    return findings(matches(text, FOLD + CODICE_FISCALE), "CODICE_FISCALE", 0.96)
 
 
 def phones(text: Column) -> Column:
-    return findings(matches(text, PHONE, grouped=True), "PHONE", 0.78)
+    return findings(matches(text, PHONE_LABELLED, grouped=True), "PHONE", 0.78)
 
 
 def labelled_staff_numbers(text: Column) -> Column:
@@ -81,9 +91,22 @@ def classified_staff_numbers(text: Column, roster: Iterable[str]) -> Column:
     return F.transform(matches(text, STAFF_NUMBER), judge).cast(FOUND)
 
 
+def classified_by_roster(texts: DataFrame, roster: DataFrame) -> DataFrame:
+    """file, entity_type, text, start, end, confidence, source: the same for a roster table (matricula) of any size.
+
+    The numbers leave their texts and are joined; Spark broadcasts the roster where it is measured small.
+    """
+    spans = texts.select("file", F.col("text").alias("body"), F.explode(matches(F.col("text"), STAFF_NUMBER)).alias("s"))
+    own = spans.select("file", part(F.col("body"), F.col("s.start"), F.col("s.end")).alias("text"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    known = roster.select(F.col("matricula").alias("text"), F.lit(True).alias("known")).distinct()
+    pick = lambda a, b: F.when(F.col("known"), a).otherwise(b)
+    judged = own.join(known, "text", "left")
+    return judged.select("file", pick("MATRICOLA", "SUSPECTED_MATRICOLA").alias("entity_type"), "text", "start", "end", pick(0.99, 0.68).alias("confidence"), pick("employee_roster", "not_in_employee_roster").alias("source"))
+
+
 def in_address(text: Column, start: Column, end: Column) -> Column:
     """Whether the token around a span is an e-mail address or a URL."""
-    stop = "\\s\\x1C-\\x1F\"'<>(),;"
+    stop = "\\s\\x1C-\\x1F" + ADDRESS_STOPS
     left = F.regexp_extract(F.substring_index(F.substring(text, F.lit(1), start), "\n", -1), f"(?U)[^{stop}]*$", 0)
     right = F.regexp_extract(F.substring_index(F.substring(text, end + 1, F.length(text)), "\n", 1), f"(?U)^[^{stop}]*", 0)
     token = F.concat(left, part(text, start, end), right)
@@ -134,25 +157,25 @@ def watchlist(text: Column, pattern: Column, ranges: Column, source: str = "watc
 
 
 def _person_word(line: Column) -> Column:
-    return F.upper(line).rlike("|".join(sorted(map(re.escape, PERSON_WORDS))))
+    return F.upper(line).rlike("|".join(map(re.escape, NAME_CONTEXT_WORDS)))
 
 
 def isolated_surname(value: Column) -> Column:
     letters = F.upper(F.replace(value, F.lit("'"), F.lit("")))
-    return F.length(letters).between(4, 18) & ~letters.isin(sorted(ORDINARY_WORDS | LABEL_WORDS)) & ~letters.rlike("(AZIONE|ATORI|ABILE|GRAFICA|ZIONE|MENTO)$")
+    return F.length(letters).between(4, 18) & ~letters.isin(*NAME_STOPWORDS, *UNKNOWN_NAME_STOPWORDS) & ~letters.rlike(f"({'|'.join(COMMON_ENDINGS)})$")
 
 
 def unknown_names(text: Column, ranges: Column, least: int = 4) -> Column:
     """Upper-case words in comments and literals that look like surnames, for review."""
-    stop = sorted(ORDINARY_WORDS | LABEL_WORDS | PERSON_WORDS)
+    stop = [*NAME_STOPWORDS, *UNKNOWN_NAME_STOPWORDS, *NAME_CONTEXT_WORDS]
 
     def search(r: Column) -> Column:
-        return F.transform(matches(part(text, r["start"], r["end"]), UPPER_TOKEN), lambda s: F.struct(int_of(r["start"] + s["start"]).alias("start"), int_of(r["start"] + s["end"]).alias("end")))
+        return F.transform(matches(part(text, r["start"], r["end"]), "(?U)" + UPPER_NAME_TOKEN), lambda s: F.struct(int_of(r["start"] + s["start"]).alias("start"), int_of(r["start"] + s["end"]).alias("end")))
 
     def trim(s: Column) -> Column:
         value = part(text, s["start"], s["end"])
-        left = F.length(value) - F.length(F.ltrim(value, F.lit(_TRIMMED)))
-        return F.struct(int_of(s["start"] + left).alias("start"), int_of(s["start"] + left + F.length(F.trim(value, F.lit(_TRIMMED)))).alias("end"))
+        left = F.length(value) - F.length(F.ltrim(value, F.lit(NAME_EDGES)))
+        return F.struct(int_of(s["start"] + left).alias("start"), int_of(s["start"] + left + F.length(F.trim(value, F.lit(NAME_EDGES)))).alias("end"))
 
     def value_of(s: Column) -> Column:
         return F.translate(part(text, s["start"], s["end"]), "’", "'")
@@ -160,7 +183,7 @@ def unknown_names(text: Column, ranges: Column, least: int = 4) -> Column:
     def looks_right(s: Column) -> Column:
         value, line = value_of(s), line_around(text, s["start"], s["end"])
         told = value.contains("'") | _person_word(line) | (comment_line(line) & isolated_surname(value))
-        shape = (F.length(F.replace(value, F.lit("'"), F.lit(""))) >= least) & ~F.upper(value).isin(stop) & ~F.upper(value).rlike("^(CICS|DFH|SQL|PDC|PDH|PDR)")
+        shape = (F.length(F.replace(value, F.lit("'"), F.lit(""))) >= least) & ~F.upper(value).isin(stop) & ~F.upper(value).rlike(f"^({'|'.join(UNKNOWN_NAME_PREFIXES)})")
         return (s["start"] < s["end"]) & ~in_address(text, s["start"], s["end"]) & shape & told
 
     def finding(s: Column) -> Column:
@@ -173,7 +196,7 @@ def unknown_names(text: Column, ranges: Column, least: int = 4) -> Column:
 
 def recognized_names(text: Column, raw: Column, ranges: Column) -> Column:
     """Names from an entity recognizer (``raw``: start, end, score), trimmed and cleared of false positives."""
-    edge = "|".join(sorted(LABEL_WORDS, key=lambda w: (-len(w), w)))
+    edge = "|".join(NAME_STOPWORDS)
     blank = "[\\s\\x1C-\\x1F]"
 
     def trim(s: Column) -> Column:
@@ -188,7 +211,7 @@ def recognized_names(text: Column, raw: Column, ranges: Column) -> Column:
         value = part(text, s["start"], s["end"])
         words = F.split(F.upper(F.regexp_replace(F.trim(value), f"(?U){blank}+", " ")), " ")
         single = (F.size(words) == 1) & (value == F.upper(value)) & (value != F.lower(value))
-        odd = value.rlike("(?U)[\\d='\"\\-]") | single | F.arrays_overlap(words, F.array(*map(F.lit, sorted(TECHNICAL_WORDS | LABEL_WORDS))))
+        odd = value.rlike("(?U)[\\d='\"\\-]") | single | F.arrays_overlap(words, F.array(*map(F.lit, TECHNICAL_WORDS + NAME_STOPWORDS)))
         return (s["start"] < s["end"]) & inside(s["start"], s["end"], ranges) & ~in_address(text, s["start"], s["end"]) & ~odd
 
     kept = F.filter(F.transform(raw, trim), real)

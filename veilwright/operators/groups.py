@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from veilwright.functions.pseudonyms import suggestion
 from veilwright.functions.text import collapsed, finding_key
-from veilwright.options import ENTITIES
-
-PLACES = 8
+from veilwright.fixed import REPORT_ORDER, SHOWN_LOCATIONS
 
 
 def report_order(entity: Column) -> Column:
     out = F.lit(99)
-    for name, (_, order) in ENTITIES.items():
+    for name, order in REPORT_ORDER.items():
         out = F.when(entity == name, order).otherwise(out)
     return out
 
@@ -32,12 +30,12 @@ def group_findings(findings: DataFrame) -> DataFrame:
     place = F.struct("file", "start", F.col("line_no").alias("line"), "text")
     rows = keyed(findings).select("entity_type", "key", place.alias("at"))
     spread = F.pmod(F.xxhash64("at"), F.lit(64))
-    eight = lambda c: F.slice(F.array_sort(c), F.lit(1), F.lit(PLACES))
+    eight = lambda c: F.slice(F.array_sort(c), F.lit(1), F.lit(SHOWN_LOCATIONS))
     ranked = rows.withColumn("salt", spread).withColumn("n", F.row_number().over(Window.partitionBy("entity_type", "key", "salt").orderBy("at")))
-    parts = ranked.groupBy("entity_type", "key", "salt").agg(F.count(F.lit(1)).alias("hits"), F.collect_list(F.when(F.col("n") <= PLACES, F.col("at"))).alias("places"))
+    parts = ranked.groupBy("entity_type", "key", "salt").agg(F.count(F.lit(1)).alias("hits"), F.collect_list(F.when(F.col("n") <= SHOWN_LOCATIONS, F.col("at"))).alias("places"))
     whole = parts.groupBy("entity_type", "key").agg(F.sum("hits").alias("hits"), eight(F.flatten(F.collect_list("places"))).alias("places"))
     shown = F.array_join(F.transform("places", lambda p: F.concat(p["file"], F.lit(":"), p["line"].cast("string"))), ", ")
-    more = F.when(F.col("hits") > PLACES, F.concat(F.lit(" +"), (F.col("hits") - PLACES).cast("string"), F.lit(" more"))).otherwise("")
+    more = F.when(F.col("hits") > SHOWN_LOCATIONS, F.concat(F.lit(" +"), (F.col("hits") - SHOWN_LOCATIONS).cast("string"), F.lit(" more"))).otherwise("")
     first = F.get("places", F.lit(0))
     return whole.select("entity_type", "key", collapsed(first["text"]).alias("original"), "hits", F.concat(shown, more).alias("locations"), first["file"].alias("first_file"), first["start"].alias("first_start"))
 

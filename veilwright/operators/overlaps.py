@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilwright.fixed import PRIORITY
 from veilwright.functions.text import part
-from veilwright.options import ENTITIES, FOUND
+from veilwright.options import FOUND
 
 
 def priority(entity: Column) -> Column:
     out = F.lit(0)
-    for name, (rank, _) in ENTITIES.items():
+    for name, rank in PRIORITY.items():
         out = F.when(entity == name, rank).otherwise(out)
     return out
 

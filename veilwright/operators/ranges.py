@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilwright.fixed import NAME_LINE_MARKERS, QUOTED
 from veilwright.functions.spans import int_of, matches, merged
 from veilwright.functions.text import BREAKS, part, stripped
 from veilwright.options import SPAN
 
 LINE = f"[^{BREAKS}]*[{BREAKS}]|[^{BREAKS}]+"
-QUOTED = "'[^'\\r\\n]{2,160}'|\"[^\"\\r\\n]{2,160}\""
-#: Blanks count: they keep these from matching inside other words.
-MARKERS = ("CONTATTARE", "ANALISTA", "OPERATORE", "RESPONSABILE", "REFERENTE", "NOMINATIVO", "COGNOME", " NOME", " ASSIGN TO ", " STRING ", " VALUE ", "DISPLAY ", " AUTHOR")
 
 
 def comment_line(line: Column) -> Column:
@@ -24,7 +22,7 @@ def comment_line(line: Column) -> Column:
 def name_line(line: Column) -> Column:
     upper = F.upper(line)
     said = F.lit(False)
-    for marker in MARKERS:
+    for marker in NAME_LINE_MARKERS:
         said = said | upper.contains(marker)
     return (stripped(line) != "") & (comment_line(line) | said)
 

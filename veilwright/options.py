@@ -1,4 +1,4 @@
-"""Options, entity tables and schemas."""
+"""Options and schemas."""
 
 from __future__ import annotations
 
@@ -6,19 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-#: entity -> (priority in overlaps, order in reports)
-ENTITIES: dict[str, tuple[int, int]] = {
-    "PHONE": (75, 60),
-    "EMAIL": (90, 50),
-    "CODICE_FISCALE": (100, 40),
-    "IBAN": (95, 30),
-    "SUSPECTED_MATRICOLA": (79, 21),
-    "MATRICOLA": (80, 20),
-    "NAME": (60, 10),
-}
-#: Each occurrence of these is a value of its own, so that two places cannot be linked.
-UNLINKED = ("MATRICOLA", "NAME", "SUSPECTED_MATRICOLA")
-CONTEXT_RADIUS = 75
+from veilwright.fixed import PRIORITY
 
 FINDING = T.StructType(
     [
@@ -47,7 +35,7 @@ class ScanOptions:
     ``salt``: of pseudonyms, to be kept secret: with a known salt short numbers can be guessed.
     """
 
-    entities: frozenset[str] = frozenset(ENTITIES)
+    entities: frozenset[str] = frozenset(PRIORITY)
     names: tuple[str, ...] = ()
     roster_names: tuple[str, ...] = ()
     roster_matriculas: frozenset[str] = frozenset()
@@ -60,5 +48,5 @@ class ScanOptions:
     def __post_init__(self) -> None:
         if self.scope not in ("context", "all"):
             raise ValueError("scope is context or all")
-        if unknown := set(self.entities) - set(ENTITIES):
+        if unknown := set(self.entities) - set(PRIORITY):
             raise ValueError(f"unknown entities: {sorted(unknown)}")

@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwright.fixed import TEXT_EXTENSIONS
 from veilwright.functions.text import decoded
 
-TEXT_SUFFIXES = frozenset(".ctl .dat .sql .log .md .xml .json .csv .txt .proc .jcl .cpy .cobol .cob .cbl".split())
 
 
 def is_text(path: str) -> bool:
     """By its suffix, or for want of one."""
     suffix = os.path.splitext(path.rstrip("/").rsplit("/", 1)[-1])[1].lower()
-    return suffix in TEXT_SUFFIXES or suffix == ""
+    return suffix in TEXT_EXTENSIONS or suffix == ""
 
 
 def within(path: str, root: str) -> bool:

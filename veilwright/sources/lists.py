@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilwright.fixed import EMAIL, NON_LINKABLE, ROSTER_STOPWORDS, ROSTER_TOKEN
 from veilwright.functions.text import collapsed, decoded, normalized, stripped
-from veilwright.operators.detectors import EMAIL, STAFF_NUMBER
-from veilwright.operators.words import ROSTER_HEADERS
-from veilwright.options import UNLINKED
-
-MAP_COLUMNS = ("entity_type", "key", "original", "suggested_replacement", "replacement", "hits", "locations")
+from veilwright.operators.detectors import FOLD, STAFF_NUMBER
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -49,9 +46,9 @@ def parsed_roster(lines: DataFrame) -> DataFrame:
     """names, matriculas (arrays) of each roster line, whatever its delimiter."""
     line = F.col("line")
     live = (stripped(line) != "") & ~stripped(line).startswith("#")
-    bare = F.regexp_replace(F.regexp_replace(line, STAFF_NUMBER, " "), EMAIL, " ")
-    tokens = F.regexp_extract_all(bare, F.lit("(?U)[^\\W\\d_][^\\W\\d_'\\-]*"), F.lit(0))
-    tokens = F.filter(tokens, lambda t: ~F.replace(F.upper(t), F.lit("-"), F.lit("")).isin(sorted(ROSTER_HEADERS)))
+    bare = F.regexp_replace(F.regexp_replace(line, STAFF_NUMBER, " "), FOLD + EMAIL, " ")
+    tokens = F.regexp_extract_all(bare, F.lit("(?U)" + ROSTER_TOKEN), F.lit(0))
+    tokens = F.filter(tokens, lambda t: ~F.replace(F.upper(t), F.lit("-"), F.lit("")).isin(*ROSTER_STOPWORDS))
     return lines.filter(live).select(line, name_variants(tokens).alias("names"), F.array_distinct(F.regexp_extract_all(line, F.lit(STAFF_NUMBER), F.lit(0))).alias("matriculas"))
 
 
@@ -77,7 +74,7 @@ def chosen_replacements(rows: DataFrame, order: Column | None = None) -> DataFra
     have = {c: stripped(F.coalesce(F.col(c), F.lit(""))) if c in rows.columns else F.lit("") for c in ("entity_type", "key", "original", "replacement")}
     at = order if order is not None else F.monotonically_increasing_id()
     own = rows.select(*(c.alias(n) for n, c in have.items()), at.alias("at"))
-    derived = F.when((F.col("original") != "") & ~F.col("entity_type").isin(*UNLINKED), normalized(F.col("original")))
+    derived = F.when((F.col("original") != "") & ~F.col("entity_type").isin(*NON_LINKABLE), normalized(F.col("original")))
     own = own.filter("entity_type <> '' and replacement <> ''").withColumn("key", F.when(F.col("key") != "", F.col("key")).otherwise(derived)).filter("key is not null")
     return own.groupBy("entity_type", "key").agg(F.max_by("replacement", "at").alias("replacement"))
 

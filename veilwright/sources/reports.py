@@ -10,10 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from veilwright.sources.lists import MAP_COLUMNS
+from veilwright.fixed import FINDING_FIELDS, MAP_FIELDS, NAME_FIELDS
 
-FINDING_FIELDS = ("file", "entity_type", "text", "line", "column", "confidence", "context", "source")
-NAME_FIELDS = ("name", "folder", "file", "line", "column", "confidence", "source", "context")
 
 
 def report_rows(findings: DataFrame) -> DataFrame:
@@ -55,7 +53,7 @@ def write_names_csv(findings: DataFrame, path: str) -> None:
 
 def write_map(mapping: DataFrame, path: str) -> None:
     """The review table, in order."""
-    _write_csv(mapping.orderBy("index").toLocalIterator(), MAP_COLUMNS, path)
+    _write_csv(mapping.orderBy("index").toLocalIterator(), MAP_FIELDS, path)
 
 
 def summary(root: str, findings: DataFrame, mapping: DataFrame) -> Iterator[str]:
