@@ -1,67 +1,13 @@
-"""Shared-folder tables: how the operators cut lineage and survive lost executors.
-
-Intermediate tables are Parquet files below ``spark.checkpoint.dir``, which the driver and all
-executors can reach. They are removed when the application ends, or by :func:`release`.
-"""
+"""What the operators share: rows of key and text, and rows that stay. Tables between steps are written to the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: dict[str, object] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, local mode gets a temporary one.
-
-    On a cluster an unset folder is an error: a machine-local folder would be lost or unseen.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="veilwright-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new, unique folder name below the shared folder."""
-    path = f"{shared_root(spark)}/veilwright/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(release)
-    _made[path] = spark
-    return path
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
+from veilwright.sources.shared import drop, scratch, stash
 
-def release() -> None:
-    """Remove what :func:`scratch` named; called when the process ends."""
-    for path, spark in list(_made.items()):
-        _made.pop(path, None)
-        try:
-            drop(spark, path)
-        except Exception:  # the session may have ended; the folder then belongs to the cluster's cleaner
-            pass
+__all__ = ["drop", "keep_rows", "read", "scratch", "stash", "text_rows"]
 
 
 def text_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
