@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,22 +14,25 @@ def int_of(c: Column) -> Column:
     return c.cast("int")
 
 
-def matches(text: Column, pattern: Column | str, grouped: bool = False) -> Column:
+def matches(text: Column, pattern: Column | str, grouped: bool = False, keep: Callable[[Column], Column] | None = None) -> Column:
     """Spans of all matches. ``grouped``: the pattern is ``(before)(value)``, the span that of the value.
 
     The pieces between matches give the offsets: a match starts after all pieces and matches before it.
+    ``keep`` judges the matched strings; cutting them out of the text again would cost its length each time.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     before = F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), lambda x: F.length(x)) if grouped else F.transform(whole, lambda x: F.lit(0))
     value = F.transform(F.regexp_extract_all(text, pattern, F.lit(2)), lambda x: F.length(x)) if grouped else F.transform(whole, lambda x: F.length(x))
     pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.greatest(F.size(whole), F.lit(0)))
-    rows = F.arrays_zip(F.transform(whole, lambda x: F.length(x)).alias("m"), F.transform(pieces, lambda x: F.length(x)).alias("g"), before.alias("b"), value.alias("v"))
+    judged = F.transform(whole, lambda x: keep(x) if keep else F.lit(True))
+    rows = F.arrays_zip(F.transform(whole, lambda x: F.length(x)).alias("m"), F.transform(pieces, lambda x: F.length(x)).alias("g"), before.alias("b"), value.alias("v"), judged.alias("k"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["g"] + x["b"]
-        return F.struct((acc["at"] + x["g"] + x["m"]).cast("int").alias("at"), F.array_append(acc["out"], F.struct(int_of(start).alias("start"), int_of(start + x["v"]).alias("end"))).alias("out"))
+        more = F.array_append(acc["out"], F.struct(int_of(start).alias("start"), int_of(start + x["v"]).alias("end")))
+        return F.struct((acc["at"] + x["g"] + x["m"]).cast("int").alias("at"), F.when(x["k"], more).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(rows, empty, step, lambda acc: acc["out"])
     return F.when(F.regexp_like(text, pattern), found).otherwise(F.array().cast(SPAN))

@@ -134,9 +134,9 @@ def with_pattern(texts: DataFrame, column: str, names: Iterable[str], least: int
     if not entries:
         return texts.withColumn(column, F.lit(None).cast("string"))
     first = {n: (m[0].upper() if (m := re.search(r"[\w-]+", n)) else "") for n in entries}
-    heads = F.from_json(F.lit(json.dumps(sorted({x for x in first.values() if x}))), "array<string>")
     table = F.from_json(F.lit(json.dumps([{"head": first[n], "pattern": name_pattern(n, least)} for n in entries])), "array<struct<head:string,pattern:string>>")
-    present = F.array_intersect(F.regexp_extract_all(F.upper("text"), F.lit(WORD), F.lit(0)), heads)
+    heads = sorted({x for x in first.values() if x})
+    present = F.array_distinct(F.filter(F.regexp_extract_all(F.upper("text"), F.lit(WORD), F.lit(0)), lambda w: w.isin(heads)))
     if "" in first.values():
         present = F.array_append(present, F.lit(""))
     here = F.transform(F.filter(table, lambda e: F.array_contains(F.col(column + "_heads"), e["head"])), lambda e: e["pattern"])
@@ -225,12 +225,14 @@ def with_findings(texts: DataFrame, options: ScanOptions, recognized: str | None
     """
     text, want, out = F.col("text"), options.entities, []
     if "NAME" in want:
-        texts = texts.withColumn("ranges", name_ranges(text, options.scope))
+        lists = [x for x in (("listed", options.names, 3, "watchlist", 0.70), ("known", options.roster_names, 2, "employee_roster", 0.92)) if x[1]]
+        some = F.lit(recognized is not None)  # ranges are worked out where a name can occur
+        for column, entries, least, _, _ in lists:
+            texts = with_pattern(texts, column, entries, least)
+            some = some | F.col(column).isNotNull()
+        texts = texts.withColumn("ranges", F.when(some, name_ranges(text, options.scope)).otherwise(F.array().cast(SPAN)))
         names = [recognized_names(text, F.col(recognized), F.col("ranges"))] if recognized else []
-        for column, entries, least, source, sure in (("listed", options.names, 3, "watchlist", 0.70), ("known", options.roster_names, 2, "employee_roster", 0.92)):
-            if entries:
-                texts = with_pattern(texts, column, entries, least)
-                names.append(watchlist(text, F.col(column), F.col("ranges"), source, sure))
+        names += [watchlist(text, F.col(column), F.col("ranges"), source, sure) for column, _, _, source, sure in lists]
         if options.unknown_names:
             texts = texts.withColumn("comments", name_ranges(text, options.scope, comments_only=True))
             names.append(unknown_names(text, F.col("comments"), options.unknown_min_length))

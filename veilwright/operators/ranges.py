@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilwright.fixed import NAME_LINE_MARKERS, QUOTED
 from veilwright.functions.spans import int_of, matches, merged
-from veilwright.functions.text import BREAKS, part, stripped
+from veilwright.functions.text import BLANK, BREAKS
 from veilwright.options import SPAN
 
 LINE = f"[^{BREAKS}]*[{BREAKS}]|[^{BREAKS}]+"
@@ -15,16 +15,11 @@ LINE = f"[^{BREAKS}]*[{BREAKS}]|[^{BREAKS}]+"
 
 def comment_line(line: Column) -> Column:
     """A star or ``//*`` first, or a star in column 7 of fixed format."""
-    own = stripped(line)
-    return own.startswith("*") | own.startswith("//*") | ((F.length(line) > 6) & (F.substring(line, 7, 1) == "*"))
+    return line.rlike(f"(?sU)^{BLANK}*(?:\\*|//\\*)|^.{{6}}\\*")
 
 
 def name_line(line: Column) -> Column:
-    upper = F.upper(line)
-    said = F.lit(False)
-    for marker in NAME_LINE_MARKERS:
-        said = said | upper.contains(marker)
-    return (stripped(line) != "") & (comment_line(line) | said)
+    return comment_line(line) | F.upper(line).rlike("|".join(NAME_LINE_MARKERS))
 
 
 def lines(text: Column) -> Column:
@@ -36,5 +31,5 @@ def name_ranges(text: Column, scope: str, comments_only: bool = False) -> Column
     if scope == "all":
         return F.array(F.struct(F.lit(0).alias("start"), int_of(F.length(text)).alias("end"))).cast(SPAN)
     rule = comment_line if comments_only else name_line
-    chosen = F.filter(lines(text), lambda r: rule(part(text, r["start"], r["end"])))
+    chosen = matches(text, LINE, keep=rule)
     return merged(F.concat(chosen, matches(text, QUOTED)))
