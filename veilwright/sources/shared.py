@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,11 +55,22 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release() -> None:
-    """Remove what :func:`scratch` named; called when the process ends."""
-    for path, spark in list(_made.items()):
-        _made.pop(path, None)
+def release(paths: list[str] | None = None) -> None:
+    """Remove what :func:`scratch` named (all of it when the process ends)."""
+    for path in list(_made) if paths is None else paths:
+        spark = _made.pop(path, None)
         try:
-            drop(spark, path)
+            if spark is not None:
+                drop(spark, path)
         except Exception:  # the session may have ended; the folder then belongs to the cluster's cleaner
             pass
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables named inside go at the end, so a chain of steps holds only those of the running one."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        release([p for p in _made if p not in before])
