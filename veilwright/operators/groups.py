@@ -25,16 +25,16 @@ def keyed(findings: DataFrame) -> DataFrame:
 def group_findings(findings: DataFrame) -> DataFrame:
     """entity_type, key, original, hits, locations, first_file, first_start.
 
-    ``original`` is the first occurrence's text; ``locations`` the first eight places. Only the eight
-    least places of a task leave it, so a value with very many hits stays small.
+    ``original`` is the first occurrence's text; ``locations`` the first eight places. A task sends at most
+    eight places of a value (a limit inside the window, before its shuffle) and one count, however often
+    the value occurs. The narrow rows are written once, so texts are not scanned for each of the two.
     """
     place = F.struct("file", "start", F.col("line_no").alias("line"), "text")
-    rows = keyed(findings).select("entity_type", "key", place.alias("at"))
-    spread = F.pmod(F.xxhash64("at"), F.lit(64))
-    eight = lambda c: F.slice(F.array_sort(c), F.lit(1), F.lit(SHOWN_LOCATIONS))
-    ranked = rows.withColumn("salt", spread).withColumn("n", F.row_number().over(Window.partitionBy("entity_type", "key", "salt").orderBy("at")))
-    parts = ranked.groupBy("entity_type", "key", "salt").agg(F.count(F.lit(1)).alias("hits"), F.collect_list(F.when(F.col("n") <= SHOWN_LOCATIONS, F.col("at"))).alias("places"))
-    whole = parts.groupBy("entity_type", "key").agg(F.sum("hits").alias("hits"), eight(F.flatten(F.collect_list("places"))).alias("places"))
+    rows = stash(keyed(findings).select("entity_type", "key", place.alias("at")), "places")
+    rank = F.row_number().over(Window.partitionBy("entity_type", "key").orderBy("at"))
+    first_ones = rows.withColumn("n", rank).filter(F.col("n") <= SHOWN_LOCATIONS)
+    places = first_ones.groupBy("entity_type", "key").agg(F.array_sort(F.collect_list("at")).alias("places"))
+    whole = rows.groupBy("entity_type", "key").agg(F.count(F.lit(1)).alias("hits")).join(places, ["entity_type", "key"])
     shown = F.array_join(F.transform("places", lambda p: F.concat(p["file"], F.lit(":"), p["line"].cast("string"))), ", ")
     more = F.when(F.col("hits") > SHOWN_LOCATIONS, F.concat(F.lit(" +"), (F.col("hits") - SHOWN_LOCATIONS).cast("string"), F.lit(" more"))).otherwise("")
     first = F.get("places", F.lit(0))

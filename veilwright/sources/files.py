@@ -45,8 +45,11 @@ def listed(root: str, skip: Iterable[str] = ()) -> list[tuple[str, str]]:
     return sorted(out)
 
 
-def _table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(rows or [], "file string, path string").repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism * 4)))
+def _table(spark: SparkSession, rows: list[tuple[str, str]], part_bytes: int = 64 << 20) -> DataFrame:
+    """The names, dealt out so that a partition holds about ``part_bytes`` of files."""
+    total = sum(os.path.getsize(p) for _, p in rows)
+    parts = max(1, min(len(rows), max(spark.sparkContext.defaultParallelism * 4, total // part_bytes)))
+    return spark.createDataFrame(rows or [], "file string, path string").repartition(parts)
 
 
 def contents(spark: SparkSession, root: str, skip: Iterable[str] = (), text_only: bool = True) -> DataFrame:
