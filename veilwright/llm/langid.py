@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm.wordtable import text_buffer
 from veilwright.llm import _io
+from veilwright.llm.wordtable import text_buffer, text_slices
 
-BUCKETS, ORDERS, ALPHA, TEMPER, CHUNK, LANGUAGES = 1 << 17, (1, 2, 3, 4), 0.5, 64, 4_000_000, 1000
+BUCKETS, ORDERS, ALPHA, TEMPER, CHUNK, LANGUAGES = 1 << 17, (1, 2, 3, 4), 0.5, 64, 1 << 18, 1000
 _SPACE = 32
 
 
@@ -128,7 +128,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in text_slices(batches, 0):
             names = np.array(batch.column(1).to_pylist(), object)
             for row, last, text_, of in features(batch.column(0)):
                 own = names[row:last]
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS floats
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             names, sure = held.value.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(sure)], ["doc_id", "lang_pred", "score"])
 
@@ -173,7 +173,7 @@ def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text")
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, at):
             names, sure = held.value.score(batch.column(at))
             known = np.array([x != "und" for x in names], bool)
             yield batch.filter(pa.array(known & (sure >= least)))
