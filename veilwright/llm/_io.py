@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
+import time
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.sources.shared import drop, scratch, stash
+from veilwright.sources.shared import release, scratch, stash, temporary
+
+__all__ = ["keep_rows", "read", "release", "scratch", "stash", "temporary", "text_rows", "tidy"]
+
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(work: Work) -> Work:
+    """``work`` for ``mapInArrow``, that gives freed memory back to the system every second and at its end.
+
+    Workers are reused, and the C library otherwise keeps what large arrays took.
+    """
 
-__all__ = ["drop", "keep_rows", "read", "scratch", "stash", "text_rows"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+        last = time.monotonic()
+        for out in work(batches):
+            yield out
+            if time.monotonic() - last > 1:
+                del out
+                trim(0)
+                last = time.monotonic()
+        pa.default_memory_pool().release_unused()
+        trim(0)
+
+    return run
 
 
 def text_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

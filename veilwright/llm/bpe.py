@@ -158,7 +158,7 @@ class Codec:
             for word in self.split.findall(part):
                 ids = self.words.get(word)
                 if ids is None:
-                    if len(self.words) > 400_000:
+                    if len(self.words) > 100_000:
                         self.words.clear()
                     ids = self.words[word] = self.automaton.encode(word.encode())
                 out += ids
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
             ids, at = codec(tokenizer_path).encode_rows(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-    return _io.text_rows(docs, key, text).mapInArrow(work, "doc_id long, ids array<int>")
+    return _io.text_rows(docs, key, text).mapInArrow(_io.tidy(work), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, tokenizer_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -195,7 +195,7 @@ def decode(rows: DataFrame, tokenizer_path: str, key: str = "doc_id", ids: str =
             texts = [codec(tokenizer_path).decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select(key, ids).mapInArrow(work, "doc_id long, text string")
+    return rows.select(key, ids).mapInArrow(_io.tidy(work), "doc_id long, text string")
 
 
 @lru_cache(maxsize=2)
@@ -225,7 +225,7 @@ def digests(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
                 texts.append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _io.text_rows(docs, key, text).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _io.text_rows(docs, key, text).mapInArrow(_io.tidy(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4(tokenizer_path: str) -> Callable[[SparkSession, str], DataFrame]:

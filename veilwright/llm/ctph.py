@@ -157,7 +157,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.encode()) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    return _io.text_rows(docs, key, text).mapInArrow(work, "doc_id long, fingerprint string")
+    return _io.text_rows(docs, key, text).mapInArrow(_io.tidy(work), "doc_id long, fingerprint string")
 
 
 def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,13 +190,13 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_pylist(rows) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([]))
 
     ordered = _io.text_rows(docs, key, text).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    out = _io.stash(ordered.mapInArrow(work, schema), "quarters")
+    out = _io.stash(ordered.mapInArrow(_io.tidy(work), schema), "quarters")
     done = out.filter("edge is null").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
     order = Window.orderBy("pid")  # two rows a partition
     first = out.filter("edge = 'first'").select(F.row_number().over(order).alias("k"), F.col("text").alias("after"), F.col("fingerprint").alias("after_fingerprint"))
     last = out.filter("edge = 'last'").select(F.row_number().over(order).alias("n"), F.count(F.lit(1)).over(Window.partitionBy()).alias("all"), "doc_id", "text", "fingerprint")
     edges = last.withColumn("k", F.col("n") % F.col("all") + 1).join(first, "k").select("doc_id", "text", "fingerprint", "after", "after_fingerprint")
-    return done.unionByName(edges.mapInArrow(close, _RESULT))
+    return done.unionByName(edges.mapInArrow(_io.tidy(close), _RESULT))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

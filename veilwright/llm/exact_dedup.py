@@ -85,7 +85,7 @@ def _recipes(docs: DataFrame, identify: Identify) -> DataFrame:
                 sha.append(hashlib.sha256(raw[a:b]).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(recipe, pa.binary()), pa.array(sha, pa.string())], ["doc_id", "recipe", "text_sha256"])
 
-    return docs.mapInArrow(work, "doc_id long, recipe binary, text_sha256 string")
+    return docs.mapInArrow(_io.tidy(work), "doc_id long, recipe binary, text_sha256 string")
 
 
 def _chunks(docs: DataFrame, identify: Identify) -> DataFrame:
@@ -99,7 +99,7 @@ def _chunks(docs: DataFrame, identify: Identify) -> DataFrame:
             bodies = list(own)
             yield pa.RecordBatch.from_arrays([pa.array([identify(x) for x in bodies], pa.binary()), pa.array(bodies, pa.binary())], ["id", "body"])
 
-    return docs.select("text").mapInArrow(work, "id binary, body binary")
+    return docs.select("text").mapInArrow(_io.tidy(work), "id binary, body binary")
 
 
 def verified_recipes(docs: DataFrame, ladder: Sequence[Identify] = (short_id, long_id)) -> DataFrame:

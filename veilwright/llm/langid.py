@@ -143,7 +143,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(x[at].astype(np.int64))], ["lang", "col", "n"])
 
     labelled = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter("lang is not null")
-    counted = _io.stash(labelled.mapInArrow(count, "lang string, col long, n long").groupBy("lang", "col").agg(F.sum("n").alias("n")), "ngrams")
+    counted = _io.stash(labelled.mapInArrow(_io.tidy(count), "lang string, col long, n long").groupBy("lang", "col").agg(F.sum("n").alias("n")), "ngrams")
     names = [r.lang for r in counted.select("lang").distinct().orderBy("lang").limit(LANGUAGES + 1).collect()]
     if len(names) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             names, sure = held.value.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(sure)], ["doc_id", "lang_pred", "score"])
 
-    return _io.text_rows(docs, key, text).mapInArrow(work, "doc_id long, lang_pred string, score double")
+    return _io.text_rows(docs, key, text).mapInArrow(_io.tidy(work), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
@@ -178,7 +178,7 @@ def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text")
             known = np.array([x != "und" for x in names], bool)
             yield batch.filter(pa.array(known & (sure >= least)))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(_io.tidy(work), docs.schema)
 
 
 def held_out(key: str = "doc_id"):

@@ -149,7 +149,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SIZE, ke
             yield flush()
 
     ordered = _io.text_rows(docs, key, text).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    pieces = _io.stash(ordered.mapInArrow(work, columns), "pieces")
+    pieces = _io.stash(ordered.mapInArrow(_io.tidy(work), columns), "pieces")
     counts = pieces.groupBy("pid").agg((F.max("window") + 1).alias("n"))
     past = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     base = counts.withColumn("base", F.coalesce(F.sum("n").over(past), F.lit(0).cast("long"))).select("pid", "base")

@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             fp = b"".join(fingerprint(bytes(raw[a:b]), width) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(fp, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
-    return _io.text_rows(docs, key, text).mapInArrow(work, "doc_id long, fp long")
+    return _io.text_rows(docs, key, text).mapInArrow(_io.tidy(work), "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def links(codes: DataFrame, most: int = MOST, split: int = SPLIT) -> DataFrame:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
     packed = dealt.withColumn("group", F.xxhash64("block", "value", "i", "j")).select("fp", "part", "i", "j", "group")
-    return packed.repartition("group").sortWithinPartitions("group").mapInArrow(work, "a long, b long")
+    return packed.repartition("group").sortWithinPartitions("group").mapInArrow(_io.tidy(work), "a long, b long")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, most: int = MOST) -> DataFrame:
@@ -266,7 +266,7 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.ListArray.from_arrays(each(BANDS), pa.array(bands)), pa.ListArray.from_arrays(each(longs), pa.array(bits))], ["doc_id", "mark", "fp", "bands", "bits"])
 
     rows = _io.text_rows(docs, key, text)
-    return rows.select("doc_id", F.sha2("text", 256).alias("mark"), "text").mapInArrow(work, "doc_id long, mark string, fp long, bands array<long>, bits array<long>")
+    return rows.select("doc_id", F.sha2("text", 256).alias("mark"), "text").mapInArrow(_io.tidy(work), "doc_id long, mark string, fp long, bands array<long>, bits array<long>")
 
 
 def similar(marks: DataFrame, least: float = SIMILAR) -> DataFrame:

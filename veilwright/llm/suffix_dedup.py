@@ -35,7 +35,7 @@ from veilwright.llm import _io
 from veilwright.llm.induced import same_start, suffix_array
 from veilwright.llm.wordtable import gather, places, text_buffer
 
-SPAN, GRAM, BLOCK, SHARD, STEP = 50, 24, 2_000_000, 4_000_000, 1 << 16
+SPAN, GRAM, BLOCK, SHARD, STEP = 50, 24, 2_000_000, 2_000_000, 1 << 16
 LAST = 2**63 - 1
 _SEEDS = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
 _F1 = 0x9E3779B97F4A7C15
@@ -56,31 +56,39 @@ def grams(buf: np.ndarray) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By window that lies in one row: its start, its anchor's place, and that anchor's hash."""
+    """Starts of the windows that lie in one row; the first window of each passage, and its anchor's hash.
+
+    A passage is a run of neighbouring windows with one anchor.
+    """
     n = len(buf)
     width = SPAN - GRAM + 1
-    starts, places, hashes = [], [], []
+    kind = np.int32 if n < 2**31 else np.int64
+    inside = np.ones(n + 1, bool)  # windows that reach past the end of their row
+    for b in offsets[1:].tolist():
+        inside[max(0, b - SPAN + 1) : b] = False
+    starts, firsts, hashes = [np.zeros(0, kind)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    last, before, total = -1, -1, 0
     for low in range(0, max(0, n - SPAN + 1), STEP):
         piece = buf[low : low + STEP + SPAN - 1]
         h = grams(piece)
-        key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        least, span = key, 1
+        least, span = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
         while span * 2 <= width:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        starts.append(np.arange(low, low + len(place)))
-        places.append(place + low)
-        hashes.append(h[place])
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    start, place, h = np.concatenate(starts), np.concatenate(places), np.concatenate(hashes)
-    inside = np.ones(n + 1, bool)  # windows that reach past the end of their row
-    for b in offsets[1:].tolist():
-        inside[max(0, b - SPAN + 1) : b] = False
-    keep = inside[start]
-    return start[keep], place[keep], h[keep]
+        at = np.flatnonzero(inside[low : low + len(least)])
+        if not len(at):
+            continue
+        place = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        turn = np.ones(len(at), bool)
+        turn[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
+        turn[0] = place[0] + low != last or at[0] + low != before + 1
+        head = np.flatnonzero(turn)
+        starts.append((at + low).astype(kind))
+        firsts.append(head + total)
+        hashes.append(h[place[head]])
+        last, before, total = int(place[-1]) + low, int(at[-1]) + low, total + len(at)
+    return np.concatenate(starts), np.concatenate(firsts), np.concatenate(hashes)
 
 
 def by_sub(h: np.ndarray, subs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +106,10 @@ class Block:
 
     def windows(self, subs: int):
         """The windows, and by passage (neighbouring windows with one anchor in one row): first window, windows, row, anchor."""
-        self.start, place, h = anchors(self.buf, self.offsets)
-        turn = np.ones(len(self.start), bool)
-        turn[1:] = (place[1:] != place[:-1]) | (self.start[1:] != self.start[:-1] + 1)
-        self.first = np.flatnonzero(turn)
-        self.count = np.diff(np.append(self.first, len(turn)))
+        self.start, self.first, h = anchors(self.buf, self.offsets)
+        self.count = np.diff(np.append(self.first, len(self.start)))
         self.row = np.searchsorted(self.offsets, self.start[self.first], "right") - 1
-        sub, mark = by_sub(h[self.first], subs)
+        sub, mark = by_sub(h, subs)
         self.joint = (sub.astype(np.uint64) << np.uint64(32)) | mark
         return self
 
@@ -174,7 +179,7 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         if held:
             yield flush()
 
-    return named.mapInArrow(work, "block long, size long, payload binary")
+    return named.mapInArrow(_io.tidy(work), "block long, size long, payload binary")
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block, list[tuple[int, bytes]]]]:
@@ -368,12 +373,12 @@ def _marked(docs: DataFrame, key: str, text: str, finish: Callable[[Block, np.nd
     triple, back = "sub long, block long, payload binary", "block long, sub long, payload binary"
     bucketed = lambda df: df.repartition("sub").sortWithinPartitions("sub", "block")
     gathered = lambda df: df.repartition("block").sortWithinPartitions("block", "sub")
-    masks = _io.stash(bucketed(blocks.select("block", "payload").mapInArrow(send_anchors, triple)).mapInArrow(find_shared, back), "masks")
+    masks = _io.stash(bucketed(blocks.select("block", "payload").mapInArrow(_io.tidy(send_anchors), triple)).mapInArrow(_io.tidy(find_shared), back), "masks")
     own = blocks.select("block", F.lit(-1).cast("long").alias("sub"), "payload")
-    sent = gathered(own.unionByName(masks)).mapInArrow(send_passages, triple)
-    answers = _io.stash(bucketed(sent).mapInArrow(find_groups, back), "answers")
+    sent = gathered(own.unionByName(masks)).mapInArrow(_io.tidy(send_passages), triple)
+    answers = _io.stash(bucketed(sent).mapInArrow(_io.tidy(find_groups), back), "answers")
     all_rows = own.unionByName(masks).unionByName(answers.withColumn("sub", F.col("sub") + F.lit(subs)))
-    return gathered(all_rows).mapInArrow(finish_blocks, schema)
+    return gathered(all_rows).mapInArrow(_io.tidy(finish_blocks), schema)
 
 
 def _bits_of(block: Block, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -214,7 +214,7 @@ class TokenStore:
                         doc = upto
 
         files = self.manifest.repartition("file")
-        return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return files.mapInArrow(_io.tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def lookup(self, keys: DataFrame, key: str = "doc_id") -> DataFrame:
         """Ids of the documents with these keys: doc_id, start, ids. Unknown keys give no row.
@@ -238,7 +238,7 @@ class TokenStore:
                         out += [(None if one == NULL_KEY else one, s["base"] + int(shard.starts[d]), shard.ids(d).tolist()) for d in range(first, first + run)]
                 yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "start", "ids"), x, strict=True)) for x in out], schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
-        return keys.select(F.col(key).cast("long")).mapInArrow(find, "doc_id long, start long, ids array<long>")
+        return keys.select(F.col(key).cast("long")).mapInArrow(_io.tidy(find), "doc_id long, start long, ids array<long>")
 
 
 def write_store(
@@ -271,7 +271,7 @@ def write_store(
             yield pa.RecordBatch.from_pylist(rows)
 
     ordered = _io.text_rows(docs, key, text).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    manifest = _io.stash(ordered.mapInArrow(write, "file string, n_docs long, n_tokens long, min_key long, max_key long, pid long, seq long"), "manifest")
+    manifest = _io.stash(ordered.mapInArrow(_io.tidy(write), "file string, n_docs long, n_tokens long, min_key long, max_key long, pid long, seq long"), "manifest")
     past = Window.orderBy("pid", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return TokenStore(manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(past), F.lit(0).cast("long"))).drop("pid", "seq"))
 

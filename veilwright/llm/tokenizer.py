@@ -46,7 +46,7 @@ def word_table(path: str, spaced: bool) -> WordTable:
         word = word if spaced else word.lower()
         ids = pieces.get(word)
         if ids is None:
-            if len(pieces) > 400_000:
+            if len(pieces) > 100_000:
                 pieces.clear()
             ids = pieces[word] = [t.id for t in tok.model.tokenize(byte_level(word.encode()))]
         return ids
