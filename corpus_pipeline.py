@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame that
 is written as Parquet and read again as the next stage's ``docs``. All but the last return the columns of
-``documents``.
+``documents``, and further columns, whatever their names, come through unchanged.
+
+Defined cases: null and empty texts, and texts without letters, go in the first stage (they have no
+language); of rows that share id and text one stays; a null id counts as the largest; an empty table
+gives no rows at any stage; nulls in other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -51,7 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _io.read(spark, sf_dir, "documents")
+    """All stages over ``documents``. A stage's own tables go when its result is written, and that when the next one's is."""
+    docs, last = _io.read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = _io.stash(stage(spark, docs, sf_dir), name)
+        path = _io.scratch(spark, name)
+        with _io.temporary():
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            _io.release([last])
+        last = path
     return docs
