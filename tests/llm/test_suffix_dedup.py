@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tests.llm.conftest import order, pairs
 from veilwright.llm import suffix_dedup
-from veilwright.llm.induced import same_start, suffix_array
+from veilwright.llm.induced import suffix_array
 
 LAST = 2**63 - 1
 
@@ -71,14 +71,28 @@ def test_cut(edge, empty, smoke_docs):
         assert order(pairs(got)) == cut_brute(pairs(docs))
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(b"ab\x00c"), max_size=120), st.sampled_from([10, 1 << 20]))
-def test_suffix_array(values, limit):
-    text = np.array(values, np.uint8)
-    order_ = suffix_array(text, 16, limit)
+def test_prefixes_of_high_bytes():
+    for a, b in ((b"\x00" * 8, b"\xff" * 8), (b"q" + b"\x00" * 7, b"q" + b"\xff" * 7)):
+        text = np.frombuffer(b"z" + a + b"z" + b + b"zy", np.uint8)
+        order_, common = suffix_array(text, 16)
+        raw = text.tobytes()
+        for k in range(1, len(order_)):
+            assert common[k] == shared(raw[order_[k] :].ljust(16, b"\0")[:16], raw[order_[k - 1] :].ljust(16, b"\0")[:16])
+
+
+def shared(a: bytes, b: bytes) -> int:
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(b"ab\x00c\xff"), max_size=160), st.sampled_from([10, 1 << 20]), st.sampled_from([5, 16, 50]))
+def test_suffix_array_and_common_prefixes(values, limit, depth):
     raw = bytes(values)
+    order_, common = suffix_array(np.array(values, np.uint8), depth, limit)
     assert sorted(order_.tolist()) == list(range(len(raw)))
-    keys = [raw[k : k + 16].ljust(16, b"\0") for k in order_.tolist()]
+    keys = [raw[k : k + depth].ljust(depth, b"\0") for k in order_.tolist()]
     assert keys == sorted(keys)
-    same = same_start(text, order_, 16)
-    assert same.tolist() == [k > 0 and keys[k] == keys[k - 1] for k in range(len(keys))]
+    ends = [min(depth, len(raw) - k) for k in order_.tolist()]
+    for k in range(1, len(keys)):  # past the end of the text zeros may or may not count
+        own = shared(keys[k], keys[k - 1])
+        assert common[k] == own or own >= min(ends[k], ends[k - 1]) <= common[k] <= depth

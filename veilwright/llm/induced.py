@@ -1,4 +1,4 @@
-"""External induced suffix sorting.
+"""External induced suffix sorting with common prefixes.
 
 Suffixes are told apart by type (S: smaller than the next suffix, L: larger). The leftmost S suffixes
 (LMS) are sorted; a scan upward then induces the order of all L suffixes, and a scan downward that
@@ -7,8 +7,12 @@ first byte. Since a scan meets suffixes in order, a priority queue keyed by (byt
 them back in order. :class:`Queues` is that queue: one first-in-first-out list a byte, kept on disk
 beyond ``limit`` bytes of memory, and popped and pushed in whole runs rather than one by one.
 
+A queue's tuple is a suffix and the length of its common prefix with the tuple before it. Two
+predecessors with one first byte share one byte more than the suffixes that handed them over, and those share
+the least of the values scanned between them: :class:`Least` keeps that for every queue.
+
 Only the first ``depth`` bytes of suffixes are told apart, which is all that matching passages of a
-fixed length needs. The LMS suffixes are refined eight bytes at a time, group by group.
+fixed length needs. The LMS suffixes are refined eight bytes at a time, group by group, down to that depth.
 """
 
 from __future__ import annotations
@@ -60,7 +64,7 @@ class Queues:
             else:
                 self.size -= part.nbytes
             out.append(part)
-        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.int32)
+        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def close(self) -> None:
         if self.file is not None:
@@ -90,98 +94,155 @@ def _ranks(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_places(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of the ``depth`` bytes that start there."""
+class Least:
+    """The least common prefix scanned since the last push to each queue."""
+
+    def __init__(self, most: int):
+        self.most, self.since = most, np.zeros(256, np.uint8)
+
+    def through(self, common: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Scan a run. ``at``: its places that push, to the queues ``first``; the least value since each queue's last push."""
+        n, since = len(common), self.since
+        if not len(at):
+            np.minimum(since, common.min(), out=since)
+            return np.zeros(0, np.uint8)
+        table, span = [common], 1  # least of 1, 2, 4 ... values from each place
+        while 2 * span <= n:
+            table.append(np.minimum(table[-1][:-span], table[-1][span:]))
+            span *= 2
+
+        def least(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            out = np.full(len(low), self.most, np.uint8)
+            level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+            for k in np.unique(level[high >= low]).tolist():
+                own = np.flatnonzero((level == k) & (high >= low))
+                out[own] = np.minimum(table[k][low[own]], table[k][high[own] - (1 << k) + 1])
+            return out
+
+        order = np.argsort(first, kind="stable")
+        queue, place = first[order], at[order]
+        head = np.ones(len(queue), bool)
+        head[1:] = queue[1:] != queue[:-1]
+        low = np.where(head, 0, np.concatenate([[0], place[:-1] + 1]))
+        value = least(low, place)
+        value[head] = np.minimum(value[head], since[queue[head]])
+        np.minimum(since, common.min(), out=since)
+        tail = np.append(np.flatnonzero(head)[1:], len(queue)) - 1
+        since[queue[tail]] = least(place[tail] + 1, np.full(len(tail), n - 1))
+        out = np.empty(len(at), np.uint8)
+        out[order] = value
+        return out
+
+
+def sort_places(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of the ``depth`` bytes that start there, and the length each shares with the one before."""
+    common = np.zeros(len(places), np.uint8)
     if not len(places):
-        return places
-    word = loads(text)
-    last = len(text) - 1
-    at = np.minimum(places, last)
-    order = np.argsort(word[at].astype(np.uint64))
-    places = places[order]
+        return places, common
+    word, last = loads(text), len(text) - 1
+
+    def fresh(key: np.ndarray, joined: np.ndarray, step: int, which: np.ndarray) -> np.ndarray:
+        """Where a new group begins, of rows ``which``; ``joined``: those that were one group with the row before."""
+        differ = np.ones(len(key), bool)
+        bits = key[1:] ^ key[:-1]
+        differ[1:] = ~joined[1:] | (bits != 0)
+        now = np.flatnonzero(joined[1:] & (bits != 0))
+        high, low = (bits[now] >> np.uint64(32)).astype(np.float64), (bits[now] & np.uint64(0xFFFFFFFF)).astype(np.float64)
+        zeros = np.where(high > 0, 32 - np.frexp(high)[1], 64 - np.frexp(low)[1])
+        common[which[now + 1]] = np.minimum(step + zeros // 8, depth)
+        return differ
+
     key = word[places].astype(np.uint64)
-    group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]).astype(np.uint64)
+    order = np.argsort(key)
+    places, key = places[order], key[order]
+    begin = fresh(key, np.ones(len(key), bool), 0, np.arange(len(key)))
     for step in range(8, depth, 8):
-        tied = np.zeros(len(places), bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
+        tied = ~begin
+        tied[:-1] |= ~begin[1:]
         which = np.flatnonzero(tied)
         if not len(which):
             break
-        own = places[which] + step
+        group = np.cumsum(begin)[which].astype(np.uint64)
+        own = places[which].astype(np.int64) + step
         key = np.where(own <= last, word[np.minimum(own, last)].astype(np.uint64), np.uint64(0))
-        joint = (group[which] << np.uint64(32)) | _ranks(key)
-        order = np.argsort(joint)
-        places[which] = places[which][order]
-        joint = joint[order]
-        new = np.zeros(len(places), bool)
-        new[which[1:]] = joint[1:] != joint[:-1]
-        new[1:] |= group[1:] != group[:-1]
-        group = np.cumsum(new).astype(np.uint64)
-    return places
-
-
-def suffix_array(text: np.ndarray, depth: int, limit: int = 64 << 20) -> np.ndarray:
-    """Starts of all suffixes, ordered by at least their first ``depth`` bytes."""
+        order = np.argsort((group << np.uint64(32)) | _ranks(key))
+        places[which], key = places[which][order], key[order]
+        joined = np.zeros(len(which), bool)
+        joined[1:] = group[1:] == group[:-1]  # sorting stays inside groups
+        begin[which] = fresh(key, joined, step, which)
+    common[~begin] = depth
+    return places, common
+
+
+def suffix_array(text: np.ndarray, depth: int, limit: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all suffixes, ordered by at least their first ``depth`` (at most 255) bytes, and the length of the prefix
+    (counted up to ``depth``) that each shares with the one before. The text is continued by zeros; whether
+    these count as shared is left open.
+    """
     n = len(text)
     if not n:
-        return np.zeros(0, np.int32)
-    kind = np.int32 if n < 2**31 else np.int64
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
     small = types(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(kind) + kind(1)
-    lms = sort_places(text, lms, depth)
+    lms, shared = sort_places(text, np.flatnonzero(small[1:] & ~small[:-1]) + 1, depth)
     heads = np.searchsorted(text[lms], np.arange(257))
-    up, done = Queues(limit), Queues(limit)
-    up.push(text[n - 1 :], np.array([n - 1], kind))
+
+    def pack(places: np.ndarray, common: np.ndarray) -> np.ndarray:
+        return (places.astype(np.int64) << 8) | common
+
+    def unpack(tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuples >> 8, (tuples & 255).astype(np.uint8)
+
+    def edge(a: int, b: int) -> int:
+        """What an L and an S suffix of one first byte share: the shorter of their runs of that byte."""
+        c, k = text[a], 1
+        while k < depth and a + k < n and b + k < n and text[a + k] == c and text[b + k] == c:
+            k += 1
+        return k
+
+    def hand_over(places: np.ndarray, common: np.ndarray, c: int, kind: bool, least: Least, queues: Queues) -> np.ndarray:
+        """Push the predecessors of type ``kind``; gives those of byte ``c`` itself, which are scanned next."""
+        at = np.flatnonzero(places > 0)
+        at = at[small[places[at] - 1] == kind]
+        before = places[at] - 1
+        first = text[before]
+        tuples = pack(before, np.minimum(least.through(common, at, first), depth - 1) + np.uint8(1))
+        same = first == c
+        queues.push(first[~same], tuples[~same])
+        return tuples[same]
+
+    up, done, least = Queues(limit), Queues(limit), Least(depth)
+    up.push(text[n - 1 :], pack(np.array([n - 1]), np.zeros(1, np.uint8)))
     for c in range(256):
-        now = up.pop(c)
+        last, now = -1, up.pop(c)
         while len(now):
-            done.push(np.full(len(now), c, np.uint8), now)
-            before = now[now > 0] - kind(1)
-            before = before[~small[before]]
-            first = text[before]
-            same = first == c
-            up.push(first[~same], before[~same])
-            now = before[same]
-        before = lms[heads[c] : heads[c + 1]] - kind(1)
-        up.push(text[before], before)
+            places, common = unpack(now)
+            if last < 0:
+                common[0] = 0
+            last = int(places[-1])
+            done.push(np.full(len(places), c, np.uint8), pack(places, common))
+            now = hand_over(places, common, c, False, least, up)
+        if heads[c] < heads[c + 1]:
+            places, common = lms[heads[c] : heads[c + 1]], shared[heads[c] : heads[c + 1]].copy()
+            common[0] = edge(last, int(places[0])) if last >= 0 else 0
+            hand_over(places, common, c, False, least, up)
     up.close()
-    down, out = Queues(limit), []
+    down, least, out = Queues(limit), Least(depth), []
     for c in range(255, -1, -1):
-        large, now, parts = done.pop(c), down.pop(c), []
+        last, now = -1, down.pop(c)
         while len(now):
-            parts.append(now)
-            before = now[now > 0] - kind(1)
-            before = before[small[before]]
-            first = text[before]
-            same = first == c
-            down.push(first[~same], before[~same])
-            now = before[same]
-        before = large[::-1]
-        before = before[before > 0] - kind(1)
-        before = before[small[before]]
-        down.push(text[before], before)
-        out += [*parts, large[::-1]]
+            places, common = unpack(now)
+            if last < 0:
+                common[0] = 0
+            last = int(places[-1])
+            out.append(pack(places, common))
+            now = hand_over(places, common, c, True, least, down)
+        large, common = unpack(done.pop(c))
+        if len(large):
+            top = edge(int(large[-1]), last) if last >= 0 else 0
+            large, common = large[::-1], np.concatenate([[top], common[:0:-1]]).astype(np.uint8)
+            out.append(pack(large, common))
+            hand_over(large, common, c, True, least, down)
     done.close()
     down.close()
-    return np.concatenate(out)[::-1]
-
-
-def same_start(text: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
-    """Whether each suffix in ``order`` shares its first ``size`` bytes with the one before it."""
-    word, last = loads(text), len(text) - 1
-    out = np.ones(len(order), bool)
-    out[:1] = False
-    live = np.arange(1, len(order))
-    for step in range(0, size, 8):
-        if not len(live):
-            break
-        mask = np.uint64(2**64 - 1) if size - step >= 8 else np.uint64(2**64 - 2 ** (8 * (8 - size + step)))
-        a, b = order[live].astype(np.int64) + step, order[live - 1].astype(np.int64) + step
-        x = np.where(a <= last, word[np.minimum(a, last)].astype(np.uint64), np.uint64(0))
-        y = np.where(b <= last, word[np.minimum(b, last)].astype(np.uint64), np.uint64(0))
-        differ = ((x ^ y) & mask) != 0
-        out[live[differ]] = False
-        live = live[~differ]
-    return out
+    places, common = unpack(np.concatenate(out))
+    return places[::-1], np.concatenate([np.zeros(1, np.uint8), common[:0:-1]])

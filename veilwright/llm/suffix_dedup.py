@@ -6,8 +6,8 @@
    buckets; a bucket answers which of them another document has. Only windows with such an anchor go on.
 3. Neighbouring windows with one anchor form a passage, sent to the anchor's bucket: each distinct
    passage once a block, with the least id that has it in the block.
-4. A bucket sorts the suffixes of its passages by external induced sorting (:mod:`induced`) and compares
-   neighbours: windows that share their first ``SPAN`` bytes are one group, of which the least id is
+4. A bucket sorts the suffixes of its passages by external induced sorting (:mod:`induced`), which carries
+   common prefixes along: neighbours that share ``SPAN`` bytes are one group, of which the least id is
    known. The answer goes back to the blocks as runs of equal ids.
 5. Each block marks the bytes of windows whose group has a smaller id than their document, on the text
    as it was, and cuts them.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.llm import _io
-from veilwright.llm.induced import same_start, suffix_array
+from veilwright.llm.induced import suffix_array
 from veilwright.llm.wordtable import gather, places, text_buffer
 
 SPAN, GRAM, BLOCK, SHARD, STEP = 50, 24, 2_000_000, 2_000_000, 1 << 16
@@ -252,14 +252,17 @@ def _groups(rows: list[tuple[int, int, bytes]], limit: int) -> Iterator[tuple[in
     at = places(begin, count)  # the windows, passage after passage
     number = np.full(len(text), -1, np.int64)
     number[at] = np.arange(len(at))
-    order = suffix_array(text, SPAN, limit)
-    order = order[number[order] >= 0]
-    group = np.cumsum(~same_start(text, order, SPAN)) - 1
+    order, common = suffix_array(text, SPAN, limit)
+    group = np.cumsum(common < SPAN)
+    live = number[order] >= 0
+    order, group = order[live], group[live]
     window = number[order]
     ids = np.repeat(np.array(least, np.int64), count)[window]
-    best = np.minimum.reduceat(ids, np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))) if len(ids) else ids
+    head = np.ones(len(group), bool)
+    head[1:] = group[1:] != group[:-1]
+    best = np.minimum.reduceat(ids, np.flatnonzero(head)) if len(ids) else ids
     found = np.empty(len(at), np.int64)
-    found[window] = best[group]
+    found[window] = best[np.cumsum(head) - 1]
     first = np.cumsum(count) - count
     for (sub, block, _), own in zip(rows, members, strict=True):
         mins = gather(found, first[own], count[own])
