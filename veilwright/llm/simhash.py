@@ -298,8 +298,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     """The rows that stay, one of each group (that of the least id, a null id last), with all their columns.
 
     A group is linked by fingerprints within ``MOST`` bits and by similar shingle sets: texts that share four
-    fifths of their five-word shingles differ in five to sixteen fingerprint bits, which no index of
-    64-bit fingerprints finds, so a banded sketch of least hashes adds these links.
+    fifths of their five-word shingles differ in more bits (five to fourteen where measured) than the
+    index finds, so a banded sketch of least hashes adds these links.
     """
     marks = _io.stash(sketches(docs, key, text, width), "sketches")
     rows = marks.groupBy("fp", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
