@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.conftest import order, pairs
+from tests.llm.conftest import order, pairs, prose
 from veilwright.llm import suffix_dedup
 from veilwright.llm.induced import suffix_array
 
@@ -56,6 +56,18 @@ def test_small_blocks_and_spilled_queues(smoke_docs, monkeypatch):
     assert result(suffix_dedup.removals(smoke_docs, limit=1000)) == brute(pairs(smoke_docs))
 
 
+@pytest.mark.parametrize("common", [1, 3])
+def test_common_anchors_go_window_by_window(spark, smoke_docs, monkeypatch, common):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 20_000)
+    monkeypatch.setattr(suffix_dedup, "COMMON", common)
+    assert result(suffix_dedup.removals(smoke_docs)) == brute(pairs(smoke_docs))
+    line = "This is one very common line that many of the texts do have."
+    rows = [(k, f"{prose(6, k)} {line} {prose(6, 500 + k)} {line if k % 3 else ''}") for k in range(300)]
+    monkeypatch.undo()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(suffix_dedup.removals(docs)) == brute(rows)
+
+
 def cut_brute(rows):
     out = []
     for (k, t), mask in zip(rows, gone(rows), strict=True):

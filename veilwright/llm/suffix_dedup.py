@@ -5,14 +5,16 @@
    the least hash. Equal windows have equal anchors. Each block sends its distinct anchor hashes to
    buckets; a bucket answers which of them another document has. Only windows with such an anchor go on.
 3. Neighbouring windows with one anchor form a passage, sent to the anchor's bucket: each distinct
-   passage once a block, with the least id that has it in the block.
+   passage once a block, with the least id that has it in the block. Passages with a common anchor (a line
+   that many texts have, in ever other surroundings) are sent window by window, by the windows' own hash.
 4. A bucket sorts the suffixes of its passages by external induced sorting (:mod:`induced`), which carries
    common prefixes along: neighbours that share ``SPAN`` bytes are one group, of which the least id is
    known. The answer goes back to the blocks as runs of equal ids.
 5. Each block marks the bytes of windows whose group has a smaller id than their document, on the text
    as it was, and cuts them.
 
-Buckets hold a bounded share of the text whatever its size: their number follows the bytes read.
+Buckets hold a bounded share of the text whatever its size: their number follows the bytes read, and no
+anchor brings more than ``MANY * COMMON`` passages into one.
 Copies are merged inside a block before they move and inside a bucket before they are sorted.
 
 Defined cases: a null text counts as empty; rows that share an id do not cut each other; a null id counts as
@@ -24,9 +26,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +40,8 @@ from veilwright.llm.induced import suffix_array
 from veilwright.llm.wordtable import gather, places, text_buffer
 
 SPAN, GRAM, BLOCK, SHARD, STEP = 50, 24, 2_000_000, 2_000_000, 1 << 16
+#: An anchor is common if one block has it ``MANY`` times or ``COMMON`` blocks have it.
+MANY, COMMON = 64, 1000
 LAST = 2**63 - 1
 _SEEDS = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
 _F1 = 0x9E3779B97F4A7C15
@@ -96,6 +102,19 @@ def by_sub(h: np.ndarray, subs: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(subs)).astype(np.int64), ((h // np.uint64(subs)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+@dataclass(frozen=True)
+class Sent:
+    """``live``: runs of windows with a shared anchor; ``run``: the distinct passage of each; ``count``: windows by passage;
+    ``units``: what is sent (bucket, windows, least id, number), by bytes; ``parts``: the units of passage after passage.
+    """
+
+    live: np.ndarray
+    run: np.ndarray
+    count: np.ndarray
+    units: dict[bytes, list[int]]
+    parts: np.ndarray
+
+
 class Block:
     """Rows held together: their Arrow table, the texts' bytes, offsets and ids."""
 
@@ -113,36 +132,48 @@ class Block:
         self.joint = (sub.astype(np.uint64) << np.uint64(32)) | mark
         return self
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors (bucket and mark in one number), and whether several ids have them."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchors (bucket and mark in one number), whether several ids have them, and whether there are many."""
         joint, ids = self.joint, self.ids[self.row]
         order = np.lexsort((ids, joint))
         joint, ids = joint[order], ids[order]
         new = np.ones(len(joint), bool)
         new[1:] = joint[1:] != joint[:-1]
         head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(joint)) - 1
-        return joint[head], ids[head] != ids[tail] if len(head) else np.zeros(0, bool)
+        end = np.append(head[1:], len(joint)) if len(head) else head
+        return joint[head], ids[head] != ids[end - 1], end - head >= MANY
 
-    def passages(self, shared: np.ndarray) -> tuple[dict[bytes, int], list, np.ndarray]:
-        """Distinct passages with a shared anchor: numbers by bytes, [bucket, windows, least id] by number, and the passage's number at each run (-1: not shared)."""
+    def passages(self, shared: np.ndarray, common: np.ndarray, subs: int) -> Sent:
+        """What is sent of passages with a shared anchor. ``shared``, ``common``: by distinct anchor."""
         numbers: dict[bytes, int] = {}
         about: list[list[int]] = []
-        out = np.full(len(self.first), -1, np.int64)
-        joint = self.joint
-        live = np.flatnonzero(shared[np.searchsorted(self.known, joint)]) if len(self.known) else np.zeros(0, np.int64)
+        anchor = np.searchsorted(self.known, self.joint)
+        live = np.flatnonzero(shared[anchor]) if len(self.known) else np.zeros(0, np.int64)
+        run = np.empty(len(live), np.int64)
         raw, begin, ids = self.buf.tobytes(), self.start[self.first], self.ids[self.row]
-        subs = (joint >> np.uint64(32)).astype(np.int64)
-        for k, a, n, one, sub in zip(live.tolist(), begin[live].tolist(), self.count[live].tolist(), ids[live].tolist(), subs[live].tolist(), strict=True):
+        often = common[anchor[live]]
+        subs_of = (self.joint >> np.uint64(32)).astype(np.int64)
+        for k, (a, n, one, sub, split) in enumerate(zip(begin[live].tolist(), self.count[live].tolist(), ids[live].tolist(), subs_of[live].tolist(), often.tolist(), strict=True)):
             body = raw[a : a + n + SPAN - 1]
             j = numbers.get(body)
             if j is None:
                 j = numbers[body] = len(about)
-                about.append([sub, n, one])
+                about.append([sub, n, one, split])
             elif one < about[j][2]:
                 about[j][2] = one
-            out[k] = j
-        return numbers, about, out
+            run[k] = j
+        units: dict[bytes, list[int]] = {}  # what is sent: bucket, windows, least id, number
+        parts: list[int] = []
+        for body, (sub, n, one, split) in zip(numbers, about, strict=True):
+            for piece in (body[w : w + SPAN] for w in range(n)) if split else (body,):
+                unit = units.get(piece)
+                if unit is None:
+                    where = xxhash.xxh3_64_intdigest(piece) % subs if split else sub
+                    unit = units[piece] = [where, 1 if split else n, one, len(units)]
+                elif one < unit[2]:
+                    unit[2] = one
+                parts.append(unit[3])
+        return Sent(live, run, np.array([x[1] for x in about], np.int64), units, np.array(parts, np.int64))
 
 
 def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -270,6 +301,10 @@ def _groups(rows: list[tuple[int, int, bytes]], limit: int) -> Iterator[tuple[in
         yield block, sub, len(turn).to_bytes(4, "little") + np.diff(np.append(turn, len(mins))).astype("<u4").tobytes() + mins[turn].astype("<i8").tobytes()
 
 
+def _bits(raw: bytes, at: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
+
+
 def _triples(rows: Iterator[tuple[int, int, bytes]], names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, int, bytes]] = []
     size = 0
@@ -298,45 +333,45 @@ def _marked(docs: DataFrame, key: str, text: str, finish: Callable[[Block, np.nd
         def rows() -> Iterator[tuple[int, int, bytes]]:
             for batch in batches:
                 for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    known, several = Block(payload).windows(subs).distinct()
+                    known, several, many = Block(payload).windows(subs).distinct()
                     for sub, a, b in _split((known >> np.uint64(32)).astype(np.int64)):
-                        yield sub, block, (known[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + np.packbits(several[a:b]).tobytes()
+                        yield sub, block, (known[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + np.packbits(several[a:b]).tobytes() + np.packbits(many[a:b]).tobytes()
 
         return _triples(rows(), ("sub", "block", "payload"))
 
     def find_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, int, bytes]]:
             for held in _by_sub(batches, 1):
-                sizes = [(8 * len(p)) // 33 for _, _, p in held]  # n marks of 4 bytes and n bits
+                sizes = [(8 * len(p)) // 34 for _, _, p in held]  # n marks of 4 bytes and twice n bits
                 marks = np.concatenate([np.frombuffer(p, "<u4", n) for (_, _, p), n in zip(held, sizes, strict=True)])
-                several = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, offset=4 * n), count=n) for (_, _, p), n in zip(held, sizes, strict=True)]).astype(bool)
+                several, many = (np.concatenate([_bits(p, 4 * n + k * ((n + 7) // 8), n) for (_, _, p), n in zip(held, sizes, strict=True)]) for k in (0, 1))
                 _, back, times = np.unique(marks, return_inverse=True, return_counts=True)
-                shared = times > 1
+                shared, common = times > 1, times >= COMMON
                 shared[back[several]] = True
-                shared = shared[back]
+                common[back[many]] = True
+                shared, common = shared[back], common[back]
                 at = 0
                 for (sub, block, _), n in zip(held, sizes, strict=True):
-                    yield block, sub, np.packbits(shared[at : at + n]).tobytes()
+                    yield block, sub, np.packbits(shared[at : at + n]).tobytes() + np.packbits(common[at : at + n]).tobytes()
                     at += n
 
         return _triples(rows(), ("block", "sub", "payload"))
 
-    def shared_of(block: Block, answers: list[tuple[int, bytes]]) -> np.ndarray:
+    def sent_of(block: Block, answers: list[tuple[int, bytes]]) -> Sent:
         block.windows(subs)
-        block.known, _ = block.distinct()
+        block.known, _, _ = block.distinct()
         own = {sub: (a, b) for sub, a, b in _split((block.known >> np.uint64(32)).astype(np.int64))}
-        shared = np.zeros(len(block.known), bool)
+        shared, common = np.zeros(len(block.known), bool), np.zeros(len(block.known), bool)
         for sub, raw in answers:
             a, b = own[sub]
-            shared[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a)
-        return shared
+            shared[a:b], common[a:b] = _bits(raw, 0, b - a), _bits(raw, len(raw) // 2, b - a)
+        return block.passages(shared, common, subs)
 
     def send_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, int, bytes]]:
             for number, block, answers in _by_block(batches):
-                bodies, about, _ = block.passages(shared_of(block, answers))
                 held: dict[int, list[tuple[bytes, int]]] = {}
-                for body, (sub, _, one) in zip(bodies, about, strict=True):
+                for body, (sub, _, one, _) in sent_of(block, answers).units.items():
                     held.setdefault(sub, []).append((body, one))
                 for sub, own in held.items():
                     yield sub, number, len(own).to_bytes(4, "little") + np.array([len(x) for x, _ in own], "<u2").tobytes() + np.array([y for _, y in own], "<i8").tobytes() + b"".join(x for x, _ in own)
@@ -349,10 +384,8 @@ def _marked(docs: DataFrame, key: str, text: str, finish: Callable[[Block, np.nd
     def finish_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block, answers in _by_block(batches):
             shared_raw = [(s - subs, p) for s, p in answers if s >= subs]
-            shared = shared_of(block, [(s, p) for s, p in answers if s < subs])
-            _, about, run = block.passages(shared)
-            count = np.array([x[1] for x in about], np.int64)
-            bucket = np.array([x[0] for x in about], np.int64)
+            sent = sent_of(block, [(s, p) for s, p in answers if s < subs])
+            bucket, count = (np.array([x[k] for x in sent.units.values()], np.int64) for k in (0, 1))
             least = np.full(int(count.sum()), LAST, np.int64)
             first = np.cumsum(count) - count
             by_bucket = np.argsort(bucket, kind="stable")
@@ -364,10 +397,11 @@ def _marked(docs: DataFrame, key: str, text: str, finish: Callable[[Block, np.nd
             if mins:
                 own = by_bucket[places(edges[:, 0], edges[:, 1] - edges[:, 0])]
                 least[places(first[own], count[own])] = np.concatenate(mins)
-            live = np.flatnonzero(run >= 0)
-            got = gather(least, first[run[live]], count[run[live]])
-            where = places(block.first[live], block.count[live])
-            hit = block.start[where[got < np.repeat(block.ids[block.row[live]], block.count[live])]]
+            least = gather(least, first[sent.parts], count[sent.parts])  # passage after passage
+            begin = np.cumsum(sent.count) - sent.count
+            got = gather(least, begin[sent.run], sent.count[sent.run])
+            where = places(block.first[sent.live], block.count[sent.live])
+            hit = block.start[where[got < np.repeat(block.ids[block.row[sent.live]], block.count[sent.live])]]
             edge = np.zeros(len(block.buf) + 1, np.int32)  # a window is hit once at most
             edge[hit] += 1
             edge[hit + SPAN] -= 1
