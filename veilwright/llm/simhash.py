@@ -2,7 +2,8 @@
 
 A document's 64-bit fingerprint has a bit set where more than half of the hashes of its word shingles
 have it. Only distinct fingerprints are compared. Two that differ in at most ``MOST`` = 3 bits agree in
-one of four 16-bit blocks, so each fingerprint goes to four buckets (block, value). A bucket of more
+one of four 16-bit blocks, so each fingerprint goes to four buckets (block, value). Past some hundred million
+fingerprints, two of five blocks (or three of six) make the buckets. A bucket of more
 than ``SPLIT`` fingerprints is dealt out over pairs of its parts, so no task holds more than two parts.
 
 In a task, the fingerprints of each bucket are sorted by Gray rank, which puts those with few
@@ -20,6 +21,7 @@ linked through equal or near fingerprints; an empty table gives no rows; further
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -184,11 +186,27 @@ def link_block(bucket: np.ndarray, codes: np.ndarray, part: np.ndarray, whole: n
     return order[child], order[label[child]]
 
 
-def links(codes: DataFrame, most: int = MOST, split: int = SPLIT) -> DataFrame:
-    """a, b: a spanning forest, bucket by bucket, of all pairs of distinct ``fp`` within ``most`` bits (at most 3)."""
-    if not 0 <= most <= 3:
-        raise ValueError("four blocks find up to three differing bits")
-    block = F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF).cast("int").alias("value")) for k in range(4))))
+def masks(most: int, agree: int) -> list[int]:
+    """Bit masks, as signed longs: codes within ``most`` bits agree on all bits of one of them at least.
+
+    The 64 bits are cut into ``most + agree`` blocks, of which ``agree`` are always untouched.
+    """
+    cuts = [64 * k // (most + agree) for k in range(most + agree + 1)]
+    blocks = [sum(1 << b for b in range(x, y)) for x, y in zip(cuts, cuts[1:], strict=False)]
+    return [m - 2**64 if (m := sum(c)) >= 2**63 else m for c in combinations(blocks, agree)]
+
+
+def links(codes: DataFrame, most: int = MOST, split: int = SPLIT, agree: int | None = None) -> DataFrame:
+    """a, b: a spanning forest, bucket by bucket, of all pairs of distinct ``fp`` within ``most`` bits.
+
+    ``agree``: blocks that a bucket's codes have in common. By default as many as keep buckets of evenly spread
+    codes below ``split``: more blocks mean longer keys and more tables, and find the same pairs.
+    """
+    if agree is None:
+        n, agree = codes.count(), 1
+        while agree < 3 and n >> (64 * agree // (most + agree)) > split:
+            agree += 1
+    block = F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(masks(most, agree)))))
     rows = _io.stash(codes.select("fp", block.alias("x")).select("fp", "x.*"), "blocks")
     large = _io.stash(rows.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split), "large")
     dealt = rows.join(large, ["block", "value"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / split), F.lit(1)).cast("int"))
