@@ -60,6 +60,7 @@ def test_small_blocks_and_spilled_queues(smoke_docs, monkeypatch):
 def test_common_anchors_go_window_by_window(spark, smoke_docs, monkeypatch, common):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 20_000)
     monkeypatch.setattr(suffix_dedup, "COMMON", common)
+    monkeypatch.setattr(suffix_dedup, "KINDS", 0)
     assert result(suffix_dedup.removals(smoke_docs)) == brute(pairs(smoke_docs))
     line = "This is one very common line that many of the texts do have."
     rows = [(k, f"{prose(6, k)} {line} {prose(6, 500 + k)} {line if k % 3 else ''}") for k in range(300)]

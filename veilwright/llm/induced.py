@@ -30,13 +30,15 @@ class Queues:
         self.held: list[list] = [[] for _ in range(256)]
 
     def push(self, first: np.ndarray, values: np.ndarray) -> None:
+        """``values`` to the lists ``first``, which ascend."""
         if not len(values):
             return
-        order = np.argsort(first, kind="stable")
-        values, first = values[order], first[order]
-        cut = np.flatnonzero(np.diff(first)) + 1
-        for c, part in zip(first[np.concatenate([[0], cut])].tolist(), np.split(values, cut), strict=True):
-            self.held[c].append(part)
+        cut = np.flatnonzero(first[1:] != first[:-1]) + 1
+        for c, a, b in zip(first[np.concatenate([[0], cut])].tolist(), [0, *cut.tolist()], [*cut.tolist(), len(values)], strict=True):
+            self.put(c, values[a:b])
+
+    def put(self, c: int, values: np.ndarray) -> None:
+        self.held[c].append(values)
         self.size += values.nbytes
         if self.size > self.limit:
             self.spill()
@@ -101,7 +103,9 @@ class Least:
         self.most, self.since = most, np.zeros(256, np.uint8)
 
     def through(self, common: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Scan a run. ``at``: its places that push, to the queues ``first``; the least value since each queue's last push."""
+        """Scan a run. ``at``: its places that push, to the queues ``first``, in order of these; the least value since each
+        queue's last push.
+        """
         n, since = len(common), self.since
         if not len(at):
             np.minimum(since, common.min(), out=since)
@@ -119,19 +123,17 @@ class Least:
                 out[own] = np.minimum(table[k][low[own]], table[k][high[own] - (1 << k) + 1])
             return out
 
-        order = np.argsort(first, kind="stable")
-        queue, place = first[order], at[order]
-        head = np.ones(len(queue), bool)
-        head[1:] = queue[1:] != queue[:-1]
-        low = np.where(head, 0, np.concatenate([[0], place[:-1] + 1]))
-        value = least(low, place)
-        value[head] = np.minimum(value[head], since[queue[head]])
+        head = np.ones(len(first), bool)
+        head[1:] = first[1:] != first[:-1]
+        low = np.empty(len(at), np.int64)
+        low[1:] = at[:-1] + 1
+        low[head] = 0
+        value = least(low, at)
+        value[head] = np.minimum(value[head], since[first[head]])
         np.minimum(since, common.min(), out=since)
-        tail = np.append(np.flatnonzero(head)[1:], len(queue)) - 1
-        since[queue[tail]] = least(place[tail] + 1, np.full(len(tail), n - 1))
-        out = np.empty(len(at), np.uint8)
-        out[order] = value
-        return out
+        tail = np.append(np.flatnonzero(head)[1:], len(first)) - 1
+        since[first[tail]] = least(at[tail] + 1, np.full(len(tail), n - 1))
+        return value
 
 
 def sort_places(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,12 +205,14 @@ def suffix_array(text: np.ndarray, depth: int, limit: int = 64 << 20) -> tuple[n
         """Push the predecessors of type ``kind``; gives those of byte ``c`` itself, which are scanned next."""
         at = np.flatnonzero(places > 0)
         at = at[small[places[at] - 1] == kind]
-        before = places[at] - 1
-        first = text[before]
-        tuples = pack(before, np.minimum(least.through(common, at, first), depth - 1) + np.uint8(1))
-        same = first == c
-        queues.push(first[~same], tuples[~same])
-        return tuples[same]
+        first = text[places[at] - 1]
+        order = np.argsort(first, kind="stable")
+        at, first = at[order], first[order]
+        tuples = pack(places[at] - 1, np.minimum(least.through(common, at, first), depth - 1) + np.uint8(1))
+        a, b = np.searchsorted(first, [c, c + 1]).tolist()
+        queues.push(first[:a], tuples[:a])
+        queues.push(first[b:], tuples[b:])
+        return tuples[a:b]
 
     up, done, least = Queues(limit), Queues(limit), Least(depth)
     up.push(text[n - 1 :], pack(np.array([n - 1]), np.zeros(1, np.uint8)))
@@ -219,7 +223,7 @@ def suffix_array(text: np.ndarray, depth: int, limit: int = 64 << 20) -> tuple[n
             if last < 0:
                 common[0] = 0
             last = int(places[-1])
-            done.push(np.full(len(places), c, np.uint8), pack(places, common))
+            done.put(c, pack(places, common))
             now = hand_over(places, common, c, False, least, up)
         if heads[c] < heads[c + 1]:
             places, common = lms[heads[c] : heads[c + 1]], shared[heads[c] : heads[c + 1]].copy()

@@ -7,14 +7,14 @@
 3. Neighbouring windows with one anchor form a passage, sent to the anchor's bucket: each distinct
    passage once a block, with the least id that has it in the block. Passages with a common anchor (a line
    that many texts have, in ever other surroundings) are sent window by window, by the windows' own hash.
-4. A bucket sorts the suffixes of its passages by external induced sorting (:mod:`induced`), which carries
+4. A bucket takes the passages that share an anchor with another passage and sorts their suffixes by external induced sorting (:mod:`induced`), which carries
    common prefixes along: neighbours that share ``SPAN`` bytes are one group, of which the least id is
    known. The answer goes back to the blocks as runs of equal ids.
 5. Each block marks the bytes of windows whose group has a smaller id than their document, on the text
    as it was, and cuts them.
 
 Buckets hold a bounded share of the text whatever its size: their number follows the bytes read, and no
-anchor brings more than ``MANY * COMMON`` passages into one.
+anchor brings many passages of different surroundings into one. Copies of a passage are merged and stay whole.
 Copies are merged inside a block before they move and inside a bucket before they are sorted.
 
 Defined cases: a null text counts as empty; rows that share an id do not cut each other; a null id counts as
@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.llm import _io
-from veilwright.llm.induced import suffix_array
+from veilwright.llm.induced import loads, suffix_array
 from veilwright.llm.wordtable import gather, places, text_buffer
 
 SPAN, GRAM, BLOCK, SHARD, STEP = 50, 24, 2_000_000, 2_000_000, 1 << 16
-#: An anchor is common if one block has it ``MANY`` times or ``COMMON`` blocks have it.
-MANY, COMMON = 64, 1000
+#: An anchor is common if a block has it in ``MANY`` surroundings, or ``COMMON`` blocks have it in more than ``KINDS``.
+MANY, COMMON, KINDS = 64, 1000, 8
 LAST = 2**63 - 1
 _SEEDS = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
 _F1 = 0x9E3779B97F4A7C15
@@ -105,7 +105,7 @@ def by_sub(h: np.ndarray, subs: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass(frozen=True)
 class Sent:
     """``live``: runs of windows with a shared anchor; ``run``: the distinct passage of each; ``count``: windows by passage;
-    ``units``: what is sent (bucket, windows, least id, number), by bytes; ``parts``: the units of passage after passage.
+    ``units``: what is sent (bucket, windows, least id), by bytes; ``parts``: the units of passage after passage.
     """
 
     live: np.ndarray
@@ -132,16 +132,30 @@ class Block:
         self.joint = (sub.astype(np.uint64) << np.uint64(32)) | mark
         return self
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors (bucket and mark in one number), whether several ids have them, and whether there are many."""
-        joint, ids = self.joint, self.ids[self.row]
-        order = np.lexsort((ids, joint))
-        joint, ids = joint[order], ids[order]
+    def anchors(self) -> np.ndarray:
+        """Distinct anchors: bucket and mark in one number."""
+        return np.unique(self.joint)
+
+    def surroundings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchors, whether several ids have them, whether in many surroundings, and a byte that tells these apart.
+
+        A passage's first and last bytes stand for its surroundings.
+        """
+        if not len(self.joint):
+            return self.joint, np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.uint8)
+        word, begin = loads(self.buf), self.start[self.first].astype(np.int64)
+        ends = word[begin].astype(np.uint64) * np.uint64(_F1) ^ word[begin + self.count + SPAN - 9].astype(np.uint64)
+        ends = (ends ^ (ends >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        order = np.lexsort((ends, self.joint))
+        joint, ends, ids = self.joint[order], ends[order], self.ids[self.row[order]]
         new = np.ones(len(joint), bool)
         new[1:] = joint[1:] != joint[:-1]
         head = np.flatnonzero(new)
-        end = np.append(head[1:], len(joint)) if len(head) else head
-        return joint[head], ids[head] != ids[end - 1], end - head >= MANY
+        other = new.copy()
+        other[1:] |= ends[1:] != ends[:-1]
+        kinds = np.add.reduceat(other.astype(np.int64), head)
+        several = np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)
+        return joint[head], several, kinds >= MANY, (ends[head] >> np.uint64(56)).astype(np.uint8)
 
     def passages(self, shared: np.ndarray, common: np.ndarray, subs: int) -> Sent:
         """What is sent of passages with a shared anchor. ``shared``, ``common``: by distinct anchor."""
@@ -162,18 +176,25 @@ class Block:
             elif one < about[j][2]:
                 about[j][2] = one
             run[k] = j
-        units: dict[bytes, list[int]] = {}  # what is sent: bucket, windows, least id, number
-        parts: list[int] = []
-        for body, (sub, n, one, split) in zip(numbers, about, strict=True):
-            for piece in (body[w : w + SPAN] for w in range(n)) if split else (body,):
+        bodies, split = list(numbers), np.array([x[3] for x in about], bool)
+        units = {bodies[j]: about[j][:3] for j in np.flatnonzero(~split).tolist()}  # what is sent: bucket, windows, least id
+        pieces = np.where(split, [x[1] for x in about], 1)
+        parts = np.empty(int(pieces.sum()), np.int64)
+        place = np.cumsum(pieces) - pieces
+        parts[place[~split]] = np.arange(len(units))
+        number: dict[bytes, int] = {}
+        for j in np.flatnonzero(split).tolist():
+            body, one = bodies[j], about[j][2]
+            for w in range(about[j][1]):
+                piece = body[w : w + SPAN]
                 unit = units.get(piece)
                 if unit is None:
-                    where = xxhash.xxh3_64_intdigest(piece) % subs if split else sub
-                    unit = units[piece] = [where, 1 if split else n, one, len(units)]
+                    number[piece] = len(units)
+                    unit = units[piece] = [xxhash.xxh3_64_intdigest(piece) % subs, 1, one]
                 elif one < unit[2]:
                     unit[2] = one
-                parts.append(unit[3])
-        return Sent(live, run, np.array([x[1] for x in about], np.int64), units, np.array(parts, np.int64))
+                parts[place[j] + w] = number[piece]
+        return Sent(live, run, np.array([x[1] for x in about], np.int64), units, parts)
 
 
 def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -255,6 +276,26 @@ def _split(subs: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(subs[a]), a, b
 
 
+def _least_by_window(text: np.ndarray, size: np.ndarray, least: np.ndarray, limit: int) -> np.ndarray:
+    """By window of passages (one after another in ``text``): the least id of all windows equal to it."""
+    text = np.concatenate([text, np.zeros(64, np.uint8)])
+    count = size - SPAN + 1
+    at = places(np.cumsum(size) - size, count)
+    number = np.full(len(text), -1, np.int64)
+    number[at] = np.arange(len(at))
+    order, common = suffix_array(text, SPAN, limit)
+    group = np.cumsum(common < SPAN)
+    window = number[order]
+    live = window >= 0
+    window, group = window[live], group[live]
+    head = np.ones(len(group), bool)
+    head[1:] = group[1:] != group[:-1]
+    best = np.minimum.reduceat(np.repeat(least, count)[window], np.flatnonzero(head))
+    found = np.empty(len(at), np.int64)
+    found[window] = best[np.cumsum(head) - 1]
+    return found
+
+
 def _groups(rows: list[tuple[int, int, bytes]], limit: int) -> Iterator[tuple[int, int, bytes]]:
     """(block, sub, answer) for passages of some whole buckets."""
     bodies: dict[bytes, int] = {}
@@ -276,25 +317,19 @@ def _groups(rows: list[tuple[int, int, bytes]], limit: int) -> Iterator[tuple[in
                 least[j] = one
             own[k] = j
         members.append(own)
-    text = np.frombuffer(b"".join(bodies) + bytes(64), np.uint8)
     size = np.fromiter(map(len, bodies), np.int64, len(bodies))
-    count = size - SPAN + 1
-    begin = np.cumsum(size) - size
-    at = places(begin, count)  # the windows, passage after passage
-    number = np.full(len(text), -1, np.int64)
-    number[at] = np.arange(len(at))
-    order, common = suffix_array(text, SPAN, limit)
-    group = np.cumsum(common < SPAN)
-    live = number[order] >= 0
-    order, group = order[live], group[live]
-    window = number[order]
-    ids = np.repeat(np.array(least, np.int64), count)[window]
-    head = np.ones(len(group), bool)
-    head[1:] = group[1:] != group[:-1]
-    best = np.minimum.reduceat(ids, np.flatnonzero(head)) if len(ids) else ids
-    found = np.empty(len(at), np.int64)
-    found[window] = best[np.cumsum(head) - 1]
+    count, least_of = size - SPAN + 1, np.array(least, np.int64)
     first = np.cumsum(count) - count
+    found = np.repeat(least_of, count)
+    text = np.frombuffer(b"".join(bodies), np.uint8)
+    # equal windows have equal anchors: a passage whose anchor no other passage has meets none of its windows elsewhere
+    marks = anchors(text, np.concatenate([[0], np.cumsum(size)]))[2]
+    if len(marks) != len(size):
+        raise ValueError("a passage has windows of several anchors")
+    _, which, times = np.unique(marks, return_inverse=True, return_counts=True)
+    met = np.flatnonzero(times[which] > 1)
+    if len(met):
+        found[places(first[met], count[met])] = _least_by_window(gather(text, (np.cumsum(size) - size)[met], size[met]), size[met], least_of[met], limit)
     for (sub, block, _), own in zip(rows, members, strict=True):
         mins = gather(found, first[own], count[own])
         turn = np.flatnonzero(np.concatenate([[True], mins[1:] != mins[:-1]])) if len(mins) else np.zeros(0, np.int64)
@@ -333,20 +368,24 @@ def _marked(docs: DataFrame, key: str, text: str, finish: Callable[[Block, np.nd
         def rows() -> Iterator[tuple[int, int, bytes]]:
             for batch in batches:
                 for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    known, several, many = Block(payload).windows(subs).distinct()
+                    known, several, many, tag = Block(payload).windows(subs).surroundings()
                     for sub, a, b in _split((known >> np.uint64(32)).astype(np.int64)):
-                        yield sub, block, (known[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + np.packbits(several[a:b]).tobytes() + np.packbits(many[a:b]).tobytes()
+                        yield sub, block, (known[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + tag[a:b].tobytes() + np.packbits(several[a:b]).tobytes() + np.packbits(many[a:b]).tobytes()
 
         return _triples(rows(), ("sub", "block", "payload"))
 
     def find_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, int, bytes]]:
             for held in _by_sub(batches, 1):
-                sizes = [(8 * len(p)) // 34 for _, _, p in held]  # n marks of 4 bytes and twice n bits
+                sizes = [(8 * len(p)) // 42 for _, _, p in held]  # n marks of 4 bytes, n bytes, and twice n bits
                 marks = np.concatenate([np.frombuffer(p, "<u4", n) for (_, _, p), n in zip(held, sizes, strict=True)])
-                several, many = (np.concatenate([_bits(p, 4 * n + k * ((n + 7) // 8), n) for (_, _, p), n in zip(held, sizes, strict=True)]) for k in (0, 1))
+                tags = np.concatenate([np.frombuffer(p, np.uint8, n, 4 * n) for (_, _, p), n in zip(held, sizes, strict=True)])
+                several, many = (np.concatenate([_bits(p, 5 * n + k * ((n + 7) // 8), n) for (_, _, p), n in zip(held, sizes, strict=True)]) for k in (0, 1))
                 _, back, times = np.unique(marks, return_inverse=True, return_counts=True)
-                shared, common = times > 1, times >= COMMON
+                shared, common = times > 1, np.zeros(len(times), bool)
+                often = np.flatnonzero(times[back] >= COMMON)
+                which, kinds = np.unique(np.unique(back[often] * 256 + tags[often]) // 256, return_counts=True)
+                common[which] = kinds > KINDS
                 shared[back[several]] = True
                 common[back[many]] = True
                 shared, common = shared[back], common[back]
@@ -359,7 +398,7 @@ def _marked(docs: DataFrame, key: str, text: str, finish: Callable[[Block, np.nd
 
     def sent_of(block: Block, answers: list[tuple[int, bytes]]) -> Sent:
         block.windows(subs)
-        block.known, _, _ = block.distinct()
+        block.known = block.anchors()
         own = {sub: (a, b) for sub, a, b in _split((block.known >> np.uint64(32)).astype(np.int64))}
         shared, common = np.zeros(len(block.known), bool), np.zeros(len(block.known), bool)
         for sub, raw in answers:
@@ -371,7 +410,7 @@ def _marked(docs: DataFrame, key: str, text: str, finish: Callable[[Block, np.nd
         def rows() -> Iterator[tuple[int, int, bytes]]:
             for number, block, answers in _by_block(batches):
                 held: dict[int, list[tuple[bytes, int]]] = {}
-                for body, (sub, _, one, _) in sent_of(block, answers).units.items():
+                for body, (sub, _, one) in sent_of(block, answers).units.items():
                     held.setdefault(sub, []).append((body, one))
                 for sub, own in held.items():
                     yield sub, number, len(own).to_bytes(4, "little") + np.array([len(x) for x, _ in own], "<u2").tobytes() + np.array([y for _, y in own], "<i8").tobytes() + b"".join(x for x, _ in own)
