@@ -31,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from veilwright.llm import _io
 from veilwright.llm.induced import loads, suffix_array
 from veilwright.llm.wordtable import gather, places, text_buffer
 
-SPAN, GRAM, BLOCK, SHARD, STEP = 50, 24, 2_000_000, 2_000_000, 1 << 16
+SPAN, GRAM, BLOCK, SHARD, STEP = 50, 24, 2_000_000, 1_000_000, 1 << 16
 #: An anchor is common if a block has it in ``MANY`` surroundings, or ``COMMON`` blocks have it in more than ``KINDS``.
 MANY, COMMON, KINDS = 64, 1000, 8
 LAST = 2**63 - 1
@@ -301,7 +302,9 @@ def _groups(rows: list[tuple[int, int, bytes]], limit: int) -> Iterator[tuple[in
     bodies: dict[bytes, int] = {}
     least: list[int] = []
     members = []
-    for _, _, raw in rows:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for _, _, packed in rows:
+        raw = unpack(packed)
         n = int.from_bytes(raw[:4], "little")
         size = np.frombuffer(raw, "<u2", n, 4).astype(np.int64)
         ids = np.frombuffer(raw, "<i8", n, 4 + 2 * n)
@@ -407,13 +410,15 @@ def _marked(docs: DataFrame, key: str, text: str, finish: Callable[[Block, np.nd
         return block.passages(shared, common, subs)
 
     def send_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+
         def rows() -> Iterator[tuple[int, int, bytes]]:
             for number, block, answers in _by_block(batches):
                 held: dict[int, list[tuple[bytes, int]]] = {}
                 for body, (sub, _, one) in sent_of(block, answers).units.items():
                     held.setdefault(sub, []).append((body, one))
                 for sub, own in held.items():
-                    yield sub, number, len(own).to_bytes(4, "little") + np.array([len(x) for x, _ in own], "<u2").tobytes() + np.array([y for _, y in own], "<i8").tobytes() + b"".join(x for x, _ in own)
+                    yield sub, number, squeeze(len(own).to_bytes(4, "little") + np.array([len(x) for x, _ in own], "<u2").tobytes() + np.array([y for _, y in own], "<i8").tobytes() + b"".join(x for x, _ in own))
 
         return _triples(rows(), ("sub", "block", "payload"))
 
