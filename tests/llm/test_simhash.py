@@ -106,3 +106,27 @@ def test_keep_one_on_edge_rows(edge, empty):
     assert (5, "Another text with the same id.") in kept
     assert [k for k, t in kept if t == "a"] == [19]
     assert sum(k in (11, 12) for k, _ in kept) == 1
+
+
+def star(seed: int, copies: int) -> list[str]:
+    """An original and variants, each at 0.8 or more to it but not to one another."""
+    base = prose(300, seed).split()
+    out = [" ".join(base)]
+    for k in range(copies):
+        words, r = base.copy(), np.random.default_rng(1000 * seed + k)
+        for at in np.sort(r.choice(30, 5, replace=False)):
+            words[10 * int(at) + int(r.integers(0, 3))] += f"v{k}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("unit", [1 << 22, 6000])
+def test_copies_alike_to_one_original_only_are_one_group(spark, monkeypatch, unit):
+    monkeypatch.setattr(simhash, "UNIT", unit)
+    rows, groups = [], 4
+    for g in range(groups):
+        texts = star(70 + g, 60)
+        assert all(jaccard(texts[0], t) >= 0.8 for t in texts) and jaccard(texts[1], texts[2]) < 0.77
+        rows += [(1000 * g + (900 if k == 0 else k), t, "en") for k, t in enumerate(texts)]
+    got = simhash.keep_one(spark.createDataFrame(with_clashes(rows), SCHEMA).repartition(3))
+    assert len(got.collect()) <= groups + 0.05 * len(rows)

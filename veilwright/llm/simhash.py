@@ -20,13 +20,13 @@ linked through equal or near fingerprints; an empty table gives no rows; further
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.llm import _io
@@ -36,6 +36,8 @@ from veilwright.llm.wordtable import text_buffer
 MOST, SPLIT, FAN = 3, 2000, 8
 #: Sketches for :func:`keep_one`: similarity (a little below 0.8, by the estimate's error), bands and their rows, hashes.
 SIMILAR, BANDS, ROWS, HASHES = 0.77, 10, 5, 256
+#: Shingles that come together in one task of :func:`similar`, about.
+UNIT = 1 << 22
 _TIMES, _PLUS = np.random.default_rng(8).integers(0, 2**32, (2, HASHES), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -250,26 +252,35 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch(raw: bytes, width: int) -> tuple[bytes, np.ndarray, bytes]:
-    """The fingerprint, the keys of ``BANDS`` bands of least hashes, and two bits of each of ``HASHES`` least hashes."""
-    ones, n, least = np.zeros(64, np.int64), 0, np.full(HASHES, 2**32 - 1, np.uint32)
+def shingles(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The distinct shingles' hashes in order, how many shingles have each bit, and their number, repeats included."""
+    ones, n, parts = np.zeros(64, np.int64), 0, [np.zeros(0, np.uint64)]
     for hashes in shingle_hashes(raw, width):
         ones += majority(hashes)
         n += len(hashes)
-        top = np.ascontiguousarray(hashes).view(">u8")[:, 0].astype(np.uint64) >> np.uint64(32)
-        top = np.unique(top.astype(np.uint32))
-        for k in range(0, len(top), 1024):
-            np.minimum(least, (top[k : k + 1024, None] * _TIMES + _PLUS).min(axis=0), out=least)
+        parts.append(np.unique(np.ascontiguousarray(hashes).view(">u8")[:, 0].astype(np.uint64)))
+    return np.unique(np.concatenate(parts)) if len(parts) > 2 else parts[-1], ones, n
+
+
+def sketch(raw: bytes, width: int) -> tuple[bytes, np.ndarray, bytes, int, int]:
+    """The fingerprint, the keys of ``BANDS`` bands of least hashes, two bits of each of ``HASHES`` least hashes, and
+    the hash and the size of the shingle set."""
+    own, ones, n = shingles(raw, width)
+    least = np.full(HASHES, 2**32 - 1, np.uint32)
+    top = (own >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(top), 1024):
+        np.minimum(least, (top[k : k + 1024, None] * _TIMES + _PLUS).min(axis=0), out=least)
     keys = least[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         key = (key ^ (key >> np.uint64(31)) ^ keys[:, k]) * np.uint64(0x9E3779B97F4A7C15)
     pairs = ((least * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint8)
-    return np.packbits(2 * ones > n).tobytes(), key, np.packbits(np.stack([pairs >> 1, pairs & 1], axis=1).ravel()).tobytes()
+    bits = np.packbits(np.stack([pairs >> 1, pairs & 1], axis=1).ravel()).tobytes()
+    return np.packbits(2 * ones > n).tobytes(), key, bits, xxhash.xxh64_intdigest(own.tobytes(), 7) - (1 << 63), len(own)
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """doc_id, mark (SHA-256 of the text), fp, bands, bits (longs of the sketch) for every row."""
+    """doc_id, mark (SHA-256 of the text), fp, node (hash of the shingle set), size (shingles), bands, bits (longs of the sketch) for every row."""
     longs = HASHES // 32
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,35 +292,116 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             bands = np.concatenate([x[1] for x in made]).view(np.int64) if made else np.zeros(0, np.int64)
             bits = np.frombuffer(b"".join(x[2] for x in made), ">i8").astype(np.int64)
             each = lambda n: pa.array(np.arange(len(made) + 1, dtype=np.int32) * n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.ListArray.from_arrays(each(BANDS), pa.array(bands)), pa.ListArray.from_arrays(each(longs), pa.array(bits))], ["doc_id", "mark", "fp", "bands", "bits"])
+            node, size = (pa.array([x[k] for x in made], pa.int64()) for k in (3, 4))
+            columns = [batch.column(0), batch.column(1), pa.array(fps), node, size, pa.ListArray.from_arrays(each(BANDS), pa.array(bands)), pa.ListArray.from_arrays(each(longs), pa.array(bits))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "node", "size", "bands", "bits"])
 
     rows = _io.text_rows(docs, key, text)
-    return rows.select("doc_id", F.sha2("text", 256).alias("mark"), "text").mapInArrow(_io.tidy(work), "doc_id long, mark string, fp long, bands array<long>, bits array<long>")
+    kind = "doc_id long, mark string, fp long, node long, size long, bands array<long>, bits array<long>"
+    return rows.select("doc_id", F.sha2("text", 256).alias("mark"), "text").mapInArrow(_io.tidy(work), kind)
 
 
-def similar(marks: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """a, b: fingerprints of texts whose shingle sets are similar (Jaccard, estimated from the sketches) to that of
-    the least or greatest fingerprint in one of their bands.
+def differ(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """In how many of the ``HASHES`` bit pairs a sketch differs from each of others."""
+    x = others ^ own
+    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
 
-    Linear in the number of rows: a band of n rows gives at most 2n pairs. The ends of a band are found
-    by sums made before the shuffle, and Spark splits the join's hot bands.
-    """
-    longs = HASHES // 32
-    own = F.struct("fp", *(F.get("bits", F.lit(k)).alias(f"s{k}") for k in range(longs))).alias("own")
-    rows = marks.select(F.explode("bands").alias("band"), own)
-    ends = rows.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low.fp <> high.fp")
-    met = _io.stash(rows.join(_io.stash(ends, "bands"), "band"), "met")
-
-    def differ(a: str, b: str) -> Column:
-        total = F.lit(0)
-        for k in range(longs):
-            x = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
-            total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-        return total
 
+def meet_block(keys: list[np.ndarray], alike: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of places that share a key and are alike.
+
+    Breadth first: a place is tested against all partners not yet reached, so no link that connects is left out, and
+    a tight group costs little more than a test a member.
+    """
+    count = np.fromiter(map(len, keys), np.int64, len(keys))
+    flat, place = np.concatenate([np.zeros(0, np.int64), *keys]), np.repeat(np.arange(len(keys)), count)
+    order = np.argsort(flat, kind="stable")
+    cuts = np.flatnonzero(np.diff(flat[order])) + 1
+    members = np.split(place[order], cuts)
+    of = {int(flat[order[k]]): n for n, k in enumerate([0, *cuts.tolist()])} if len(flat) else {}
+    reached = np.zeros(len(keys), bool)
+    for start in range(len(keys)):
+        if reached[start]:
+            continue
+        reached[start] = True
+        todo = [start]
+        while todo:
+            here = todo.pop()
+            met = []
+            for k in keys[here].tolist():
+                left = members[of[k]]
+                if len(left):
+                    left = members[of[k]] = left[~reached[left]]
+                    met.append(left)
+            near = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+            if len(near):
+                near = near[alike(here, near)]
+                reached[near] = True
+                todo += near.tolist()
+                yield from ((here, x) for x in near.tolist())
+
+
+def meetings(keys: DataFrame, sizes: DataFrame, unit: int | None = None) -> DataFrame:
+    """node, group, keys: which nodes come together, so that any two that share a key do so in one group at least.
+
+    ``keys`` has node and key, ``sizes`` node and size. Nodes that keys connect make up one group where their sizes
+    sum up to ``unit`` or less. Otherwise each key is a group, dealt out over pairs of its parts if it is larger.
+    """
+    unit = unit or UNIT
+    ends = _io.stash(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", "low"), "bands")
+    met = _io.stash(keys.join(ends, "key").select("node", "key", "low").distinct(), "met")
+    roots = components(met.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    roots = _io.stash(roots.join(sizes, "node"), "meetings")
+    whole = roots.groupBy("root").agg(F.sum("size").alias("whole"))
+    met = met.join(roots.join(whole, "root"), "node").select("node", "key", "root", "size", "whole")
+    small = met.filter(F.col("whole") <= unit).groupBy("node", "root").agg(F.collect_set("key").alias("keys")).select("node", F.xxhash64("root").alias("group"), "keys")
+    large = _io.stash(met.filter(F.col("whole") > unit).select("node", "key", "size"), "large")
+    total = F.col("total")
+    parts = large.groupBy("key").agg(F.sum("size").alias("total")).select("key", F.when(total <= unit, 1).otherwise(F.ceil(2 * total / unit)).cast("int").alias("parts"))
+    dealt = large.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.filter("parts = 1 or part <> other").select("node", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("group"), F.array("key").alias("keys"))
+    return small.unionByName(dealt)
+
+
+def similar(marks: DataFrame, least: float = SIMILAR, unit: int | None = None) -> DataFrame:
+    """a, b: nodes, a spanning forest, group by group, of all pairs that share a band and whose shingle sets are similar (Jaccard,
+    estimated from the sketches)."""
+    one = marks.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    packs = meetings(marks.select("node", F.explode("bands").alias("key")), marks.select("node", (F.col("size") + 16).alias("size")).distinct(), unit)
     most = int(HASHES * 0.75 * (1 - least))  # of two unequal sets' bit pairs, a quarter agree by chance
-    pairs = [met.filter((F.col("own.fp") != F.col(f"{end}.fp")) & (differ("own", end) <= most)).select(F.col("own.fp").alias("a"), F.col(f"{end}.fp").alias("b")) for end in ("low", "high")]
-    return pairs[0].unionByName(pairs[1])
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        nodes = np.asarray(table.column("node"))
+        bits = np.array(table.column("bits").to_pylist(), np.int64).view(np.uint64)
+        keys = [np.array(x, np.int64) for x in table.column("keys").to_pylist()]
+        found = list(meet_block(keys, lambda here, near: differ(bits[here], bits[near]) <= most))
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+
+    return by_group(packs.join(one.select("node", "bits"), "node").select("group", "node", "keys", "bits"), solve, "a long, b long")
+
+
+def by_group(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], kind: str) -> DataFrame:
+    """``solve`` for the rows of each ``group``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            group = np.asarray(batch.column("group"))
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and group[a] != last:
+                    yield solve(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = group[a]
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_io.tidy(work), kind)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = SIMILAR) -> DataFrame:
@@ -323,7 +415,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     rows = marks.groupBy("fp", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
     first = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "mark", "n")
     codes = _io.stash(rows.groupBy("fp").agg(F.min(first).alias("first")), "codes")
-    roots = _io.stash(components(links(codes).unionByName(similar(marks, least))), "roots")
+    named = marks.groupBy("node").agg(F.min("fp").alias("fp"))
+    same = marks.join(named.withColumnRenamed("fp", "b"), "node").select(F.col("fp").alias("a"), "b")
+    met = _io.stash(similar(marks, least), "similar")
+    met = met.join(named.select(F.col("node").alias("a"), F.col("fp").alias("c")), "a").join(named.select(F.col("node").alias("b"), F.col("fp").alias("d")), "b").select(F.col("c").alias("a"), F.col("d").alias("b"))
+    roots = _io.stash(components(links(codes).unionByName(met).unionByName(same)), "roots")
     grouped = codes.join(roots, codes.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
     stay = grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark", "first.n")
     return _io.keep_rows(docs, _io.stash(stay, "stay"), key, F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
