@@ -130,3 +130,22 @@ def test_copies_alike_to_one_original_only_are_one_group(spark, monkeypatch, uni
         rows += [(1000 * g + (900 if k == 0 else k), t, "en") for k, t in enumerate(texts)]
     got = simhash.keep_one(spark.createDataFrame(with_clashes(rows), SCHEMA).repartition(3))
     assert len(got.collect()) <= groups + 0.05 * len(rows)
+
+
+def test_only_pairs_of_four_fifths_are_linked(spark):
+    rows, apart, copies = [], [], []
+    for k in range(150):
+        words = prose(150 + k, 4000 + k).split()
+        other = words.copy()
+        for at in range(5, 5 + 5 * max(1, round(len(words) * (0.028, 0.02)[k % 2])), 5):
+            other[at] += "x"
+        text, new = " ".join(words), " ".join(other)
+        rows += [(10 * k, text, "en"), (10 * k + 1, new, "en")]
+        (copies if jaccard(text, new) >= 0.8 else apart).append(10 * k + 1)
+        assert 0.7 <= jaccard(text, new) <= 0.9
+    heavy = "the same line comes again and again " * 60
+    rows += [(5000 + k, heavy + prose(12, 6000 + k), "en") for k in range(2)]
+    assert jaccard(rows[-1][1], rows[-2][1]) < 0.5
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(with_clashes(rows), SCHEMA)).collect()}
+    assert apart and copies and set(apart) <= kept and {5000, 5001} <= kept
+    assert len(kept & set(copies)) <= 1

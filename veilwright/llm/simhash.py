@@ -21,6 +21,7 @@ linked through equal or near fingerprints; an empty table gives no rows; further
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -34,8 +35,8 @@ from veilwright.llm.components import components
 from veilwright.llm.wordtable import text_buffer
 
 MOST, SPLIT, FAN = 3, 2000, 8
-#: Sketches for :func:`keep_one`: similarity (a little below 0.8, by the estimate's error), bands and their rows, hashes.
-SIMILAR, BANDS, ROWS, HASHES = 0.77, 10, 5, 256
+#: Similarity of :func:`keep_one`, its sketches' bands and their rows, hashes, and differing hashes beyond which a pair is not looked at.
+SIMILAR, BANDS, ROWS, HASHES, LOOSE = Fraction(4, 5), 20, 5, 256, 72
 #: Shingles that come together in one task of :func:`similar`, about.
 UNIT = 1 << 22
 _TIMES, _PLUS = np.random.default_rng(8).integers(0, 2**32, (2, HASHES), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
@@ -363,22 +364,50 @@ def meetings(keys: DataFrame, sizes: DataFrame, unit: int | None = None) -> Data
     return small.unionByName(dealt)
 
 
-def similar(marks: DataFrame, least: float = SIMILAR, unit: int | None = None) -> DataFrame:
-    """a, b: nodes, a spanning forest, group by group, of all pairs that share a band and whose shingle sets are similar (Jaccard,
-    estimated from the sketches)."""
-    one = marks.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
-    packs = meetings(marks.select("node", F.explode("bands").alias("key")), marks.select("node", (F.col("size") + 16).alias("size")).distinct(), unit)
-    most = int(HASHES * 0.75 * (1 - least))  # of two unequal sets' bit pairs, a quarter agree by chance
+def share(own: np.ndarray, others: list[np.ndarray], least: Fraction = SIMILAR) -> np.ndarray:
+    """Which sets (sorted) have a Jaccard similarity of ``least`` or more to ``own``; two empty ones have."""
+    n = np.fromiter(map(len, others), np.int64, len(others))
+    out = np.minimum(n, len(own)) * least.denominator >= np.maximum(n, len(own)) * least.numerator
+    for k in np.flatnonzero(out & (n > 0)).tolist():
+        at = np.searchsorted(own, others[k])
+        both = int((own[np.minimum(at, len(own) - 1)] == others[k]).sum())
+        out[k] = both * least.denominator >= (len(own) + int(n[k]) - both) * least.numerator
+    return out
+
+
+def similar(docs: DataFrame, marks: DataFrame, codes: DataFrame, key: str, text: str, width: int, least: Fraction = SIMILAR) -> DataFrame:
+    """a, b: nodes, a spanning forest, group by group, of all pairs whose shingle sets have a Jaccard similarity of ``least`` or
+    more, among those that share a band or a component of fingerprints within ``MOST`` bits.
+
+    Sketches only leave out pairs far below: ``LOOSE`` differing hashes lie six deviations above what similar sets have. What is left is computed
+    from the texts, of which only the nodes' that share a key move.
+    """
+    fps = marks.select("node", "fp").distinct()
+    roots = _io.stash(components(links(fps.select("fp").distinct())), "roots").withColumnRenamed("node", "fp")
+    gray = fps.join(roots, "fp", "left").select("node", F.xxhash64(F.coalesce("root", "fp"), F.lit("fp")).alias("key"))
+    keys = marks.select("node", F.explode("bands").alias("key")).unionByName(gray)
+    packs = meetings(keys, marks.select("node", (F.col("size") + 16).alias("size")).distinct())
+    bits = marks.groupBy("node").agg(F.first("bits").alias("bits"))
+    one = codes.select("node", "first.doc_id", "first.mark").join(bits, "node")
+    packs = _io.stash(packs.join(one, "node").select("group", "node", "keys", "bits", "doc_id", "mark"), "packs")
+    words = _io.text_rows(docs, key, text).withColumnRenamed("doc_id", "k").withColumn("m", F.sha2("text", 256))
+    rows = words.join(packs, (words.m == packs.mark) & words.k.eqNullSafe(packs.doc_id)).select("group", "node", "keys", "bits", "text")
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         nodes = np.asarray(table.column("node"))
         bits = np.array(table.column("bits").to_pylist(), np.int64).view(np.uint64)
         keys = [np.array(x, np.int64) for x in table.column("keys").to_pylist()]
-        found = list(meet_block(keys, lambda here, near: differ(bits[here], bits[near]) <= most))
-        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        sets = [shingles(x.as_py().encode(), width)[0] for x in table.column("text")]
+
+        def alike(here: int, near: np.ndarray) -> np.ndarray:
+            out = differ(bits[here], bits[near]) <= LOOSE
+            out[out] = share(sets[here], [sets[k] for k in near[out].tolist()], least)
+            return out
+
+        a, b = np.array(list(meet_block(keys, alike)), np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
-    return by_group(packs.join(one.select("node", "bits"), "node").select("group", "node", "keys", "bits"), solve, "a long, b long")
+    return by_group(rows, solve, "a long, b long")
 
 
 def by_group(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], kind: str) -> DataFrame:
@@ -404,23 +433,19 @@ def by_group(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], kind:
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_io.tidy(work), kind)
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = SIMILAR) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: Fraction = SIMILAR) -> DataFrame:
     """The rows that stay, one of each group (that of the least id, a null id last), with all their columns.
 
-    A group is linked by fingerprints within ``MOST`` bits and by similar shingle sets: texts that share four
+    A group is linked by pairs whose shingle sets have a Jaccard similarity of ``least`` or more. Texts that share four
     fifths of their five-word shingles differ in more bits (five to fourteen where measured) than the
-    index finds, so a banded sketch of least hashes adds these links.
+    index finds, so a banded sketch of least hashes adds candidates; each is judged by the shingle sets themselves.
     """
     marks = _io.stash(sketches(docs, key, text, width), "sketches")
-    rows = marks.groupBy("fp", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    rows = marks.groupBy("node", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
     first = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "mark", "n")
-    codes = _io.stash(rows.groupBy("fp").agg(F.min(first).alias("first")), "codes")
-    named = marks.groupBy("node").agg(F.min("fp").alias("fp"))
-    same = marks.join(named.withColumnRenamed("fp", "b"), "node").select(F.col("fp").alias("a"), "b")
-    met = _io.stash(similar(marks, least), "similar")
-    met = met.join(named.select(F.col("node").alias("a"), F.col("fp").alias("c")), "a").join(named.select(F.col("node").alias("b"), F.col("fp").alias("d")), "b").select(F.col("c").alias("a"), F.col("d").alias("b"))
-    roots = _io.stash(components(links(codes).unionByName(met).unionByName(same)), "roots")
-    grouped = codes.join(roots, codes.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    codes = _io.stash(rows.groupBy("node").agg(F.min(first).alias("first")), "codes")
+    roots = _io.stash(components(similar(docs, marks, codes, key, text, width, least)), "roots")
+    grouped = codes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     stay = grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark", "first.n")
     return _io.keep_rows(docs, _io.stash(stay, "stay"), key, F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
 
