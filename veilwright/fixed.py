@@ -68,3 +68,26 @@ TAX_CODE_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12
 FINDING_FIELDS = ("file", "entity_type", "text", "line", "column", "confidence", "context", "source")
 NAME_FIELDS = ("name", "folder", "file", "line", "column", "confidence", "source", "context")
 MAP_FIELDS = ("entity_type", "key", "original", "suggested_replacement", "replacement", "hits", "locations")
+
+#: Command-line flags with their defaults; ``list``: may be given several times, ``switch``: takes no value.
+FLAGS = (
+    ("--out-dir", "text", None),
+    ("--report-dir", "text", None),
+    ("--entities", "entities", None),
+    ("--name-scope", "scope", "context"),
+    ("--watchlist", "list", ()),
+    ("--employee-roster", "list", ()),
+    ("--default-name-watchlist", "text", None),
+    ("--no-default-name-watchlist", "switch", False),
+    ("--detect-unknown-names", "switch", False),
+    ("--unknown-name-min-length", "number", 4),
+    ("--names-only", "switch", False),
+    ("--no-presidio", "switch", False),
+    ("--presidio-model", "text", "it_core_news_sm"),
+    ("--create-map", "text", None),
+    ("--map-file", "text", None),
+    ("--scan-only", "switch", False),
+    ("--auto", "switch", False),
+    ("--salt", "text", None),
+)
+SCOPES = ("context", "all")

@@ -79,29 +79,26 @@ def labelled_staff_numbers(text: Column) -> Column:
     return F.concat(*(findings(matches(text, p, grouped=True), "MATRICOLA", 0.84) for p in STAFF_LABELLED))
 
 
-def classified_staff_numbers(text: Column, roster: Iterable[str]) -> Column:
-    """Every staff number that stands alone: known to the roster, or suspected."""
-    known = sorted(roster)
+def lone_staff_numbers(text: Column) -> Column:
+    """Every staff number that stands alone, as suspected; :func:`classified` tells those that a roster has.
 
-    def judge(s: Column) -> Column:
-        own = part(text, s["start"], s["end"]).isin(known)
-        pick = lambda a, b: F.when(own, a).otherwise(b)
-        return F.struct(pick("MATRICOLA", "SUSPECTED_MATRICOLA").alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), pick(0.99, 0.68).alias("confidence"), pick("employee_roster", "not_in_employee_roster").alias("source"))
-
-    return F.transform(matches(text, STAFF_NUMBER), judge).cast(FOUND)
+    Both kinds win and lose against the same entities, and two numbers never overlap, so overlaps can be resolved before.
+    """
+    return findings(matches(text, STAFF_NUMBER), "SUSPECTED_MATRICOLA", 0.68, "not_in_employee_roster")
 
 
-def classified_by_roster(texts: DataFrame, roster: DataFrame) -> DataFrame:
-    """file, entity_type, text, start, end, confidence, source: the same for a roster table (matricula) of any size.
+def classified(found: DataFrame, roster: DataFrame) -> DataFrame:
+    """Findings with suspected staff numbers that the roster (matricula) has made known ones.
 
-    The numbers leave their texts and are joined; Spark broadcasts the roster where it is measured small.
+    Only numbers are joined, on narrow rows; Spark broadcasts the roster where it is measured small and splits hot numbers otherwise.
     """
-    spans = texts.select("file", F.col("text").alias("body"), F.explode(matches(F.col("text"), STAFF_NUMBER)).alias("s"))
-    own = spans.select("file", part(F.col("body"), F.col("s.start"), F.col("s.end")).alias("text"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    known = roster.select(F.col("matricula").alias("text"), F.lit(True).alias("known")).distinct()
-    pick = lambda a, b: F.when(F.col("known"), a).otherwise(b)
-    judged = own.join(known, "text", "left")
-    return judged.select("file", pick("MATRICOLA", "SUSPECTED_MATRICOLA").alias("entity_type"), "text", "start", "end", pick(0.99, 0.68).alias("confidence"), pick("employee_roster", "not_in_employee_roster").alias("source"))
+    known = roster.select(F.col("matricula").alias("known")).distinct()
+    suspected = F.col("entity_type") == "SUSPECTED_MATRICOLA"
+    judged = found.withColumn("number", F.when(suspected, F.col("text"))).join(known, F.col("number") == F.col("known"), "left")
+    has = F.col("known").isNotNull()
+    pick = lambda name, value: F.when(has, F.lit(value)).otherwise(F.col(name)).alias(name)
+    new = {"entity_type": "MATRICOLA", "confidence": 0.99, "source": "employee_roster"}
+    return judged.select(*(pick(c, new[c]) if c in new else F.col(c) for c in found.columns))
 
 
 def in_address(text: Column, start: Column, end: Column) -> Column:
@@ -244,7 +241,7 @@ def with_findings(texts: DataFrame, options: ScanOptions, recognized: str | None
     if "CODICE_FISCALE" in want:
         out.append(tax_codes(text))
     if want & {"MATRICOLA", "SUSPECTED_MATRICOLA"}:
-        out.append(classified_staff_numbers(text, options.roster_matriculas) if options.roster_matriculas else labelled_staff_numbers(text))
+        out.append(lone_staff_numbers(text) if options.roster is not None else labelled_staff_numbers(text))
     if "PHONE" in want:
         out.append(phones(text))
     if "NAME" in want:

@@ -28,7 +28,12 @@ def edits_by_file(findings: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.groupBy("file").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("edits"))
 
 
-def apply_map(texts: DataFrame, findings: DataFrame, mapping: DataFrame) -> DataFrame:
-    """file, text, replacements (number of splices) for every text."""
-    own = texts.join(edits_by_file(findings, mapping), "file", "left").withColumn("edits", F.coalesce("edits", F.array().cast(EDITS)))
+def with_edits(texts: DataFrame, edits: DataFrame) -> DataFrame:
+    """file, text, replacements (number of splices) for every text; ``edits`` is that of :func:`edits_by_file`."""
+    own = texts.join(edits, "file", "left").withColumn("edits", F.coalesce("edits", F.array().cast(EDITS)))
     return own.select("file", spliced(F.col("text"), F.col("edits")).alias("text"), F.size("edits").alias("replacements"))
+
+
+def apply_map(texts: DataFrame, findings: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The same, from findings and their replacements."""
+    return with_edits(texts, edits_by_file(findings, mapping))

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-from veilwright.fixed import PRIORITY
+from veilwright.fixed import PRIORITY, SCOPES
 
 FINDING = T.StructType(
     [
@@ -30,7 +30,8 @@ FOUND = "array<struct<entity_type:string,start:int,end:int,confidence:double,sou
 class ScanOptions:
     """What to look for.
 
-    ``names``: watchlist entries; ``roster_names``, ``roster_matriculas``: from employee rosters;
+    ``names``: watchlist entries; ``roster_names``: name variants from employee rosters; ``roster``: a table
+    (matricula) of staff numbers, of any size: with it, every number that stands alone is reported as known or suspected;
     ``scope``: ``context`` (comments, literals and lines that speak of people) or ``all``;
     ``salt``: of pseudonyms, to be kept secret: with a known salt short numbers can be guessed.
     """
@@ -38,7 +39,7 @@ class ScanOptions:
     entities: frozenset[str] = frozenset(PRIORITY)
     names: tuple[str, ...] = ()
     roster_names: tuple[str, ...] = ()
-    roster_matriculas: frozenset[str] = frozenset()
+    roster: object | None = field(default=None, compare=False)
     scope: str = "context"
     unknown_names: bool = False
     unknown_min_length: int = 4
@@ -46,7 +47,7 @@ class ScanOptions:
     recognizer: object | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
-        if self.scope not in ("context", "all"):
+        if self.scope not in SCOPES:
             raise ValueError("scope is context or all")
         if unknown := set(self.entities) - set(PRIORITY):
             raise ValueError(f"unknown entities: {sorted(unknown)}")

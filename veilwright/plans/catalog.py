@@ -58,7 +58,8 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matricola_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.classified_by_roster(corpus.files(spark, sf_dir), roster(spark, sf_dir)).select("file", "entity_type", "text", "start", "end", "confidence", "source")
+    found = scan(corpus.files(spark, sf_dir), _only("MATRICOLA", roster=roster(spark, sf_dir)))
+    return found.select("file", "entity_type", "text", "start", "end", "confidence", "source")
 
 
 def _lines(spark: SparkSession, sf_dir: str, rule: Callable[[Column], Column]) -> DataFrame:
@@ -80,7 +81,7 @@ def unknown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(corpus.files(spark, sf_dir), _only("NAME", unknown_names=True)).select("file", "line_no", "text", "confidence")
 
 
-_ROSTER_LINE = "(case cast(c_custkey % 5 as int) when 0 then '5' || lpad(cast(c_custkey as varchar(20)), 6, '0') || ';Mario;Rossi' when 1 then 'Hamza;Abdul Kader,6' || lpad(cast(c_custkey as varchar(20)), 6, '0') when 2 then 'Wu' when 3 then '# note' else 'matricola;nome;cognome' end)"
+_ROSTER_LINE = "(case cast(c_custkey % 5 as int) when 0 then '5' || lpad(cast(c_custkey as varchar(20)), 6, '0') || ';Mario;Rossi' when 1 then 'Petra;Van Ness,6' || lpad(cast(c_custkey as varchar(20)), 6, '0') when 2 then 'Wu' when 3 then '# note' else 'matricola;nome;cognome' end)"
 
 
 def roster_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +314,7 @@ SELECT file, CASE WHEN m IS NULL THEN 'SUSPECTED_MATRICOLA' ELSE 'MATRICOLA' END
         "watchlist_names": f"WITH {corpus.LINES_SQL} {_NAMES_SQL}",
         "roster_variants": f"""WITH r AS (SELECT {_ROSTER_LINE} AS line FROM customer), v AS (
 SELECT 'matricula' AS kind, regexp_extract(line, '[567][0-9]{{6}}', 0) AS value FROM r
-UNION ALL SELECT 'name', unnest(CASE WHEN line LIKE '%Mario%' THEN ['Mario Rossi', 'Rossi Mario', 'M Rossi'] WHEN line LIKE '%Hamza%' THEN ['Hamza Abdul Kader', 'H Abdul Kader'] WHEN line = 'Wu' THEN ['Wu'] ELSE [] END) FROM r)
+UNION ALL SELECT 'name', unnest(CASE WHEN line LIKE '%Mario%' THEN ['Mario Rossi', 'Rossi Mario', 'M Rossi'] WHEN line LIKE '%Petra%' THEN ['Petra Van Ness', 'P Van Ness'] WHEN line = 'Wu' THEN ['Wu'] ELSE [] END) FROM r)
 SELECT kind, value, count(*) AS n FROM v WHERE value <> '' GROUP BY kind, value""",
         "unknown_name_candidates": _unknown_sql(),
         "overlaps_resolved": _overlaps_sql(),

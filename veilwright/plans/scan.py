@@ -1,16 +1,18 @@
-"""Scan plans: texts to findings."""
+"""Scan plans: texts, files or trees to findings."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.functions.text import col_no, context, line_no, part, stripped
-from veilwright.operators.detectors import with_findings
+from veilwright.operators.detectors import classified, with_findings
 from veilwright.options import FINDING, ScanOptions
+from veilwright.sources import files
 
 
 def explode_findings(texts: DataFrame, found: Column) -> DataFrame:
@@ -45,8 +47,23 @@ def recognize(texts: DataFrame, recognizer) -> DataFrame:
 
 
 def scan(texts: DataFrame, options: ScanOptions) -> DataFrame:
-    """Findings of ``texts`` (file, text), disjoint in each file. No shuffle: all order is inside a row."""
+    """Findings of ``texts`` (file, text), disjoint in each file. No shuffle: all order is inside a row.
+
+    With a roster, findings (not texts) are joined to it.
+    """
     recognized = None
     if options.recognizer is not None and "NAME" in options.entities:
         texts, recognized = recognize(texts, options.recognizer), "recognized"
-    return explode_findings(with_findings(texts, options, recognized), F.col("found"))
+    found = explode_findings(with_findings(texts, options, recognized), F.col("found"))
+    return found if options.roster is None else classified(found, options.roster)
+
+
+def scan_path(spark: SparkSession, root: str, options: ScanOptions, skip: Iterable[str] = (), without: Iterable[str] = ()) -> DataFrame:
+    """Findings of all text files below a folder, or of one file. ``skip``: folders, ``without``: files to leave out."""
+    return scan(files.texts(spark, root, skip, without), options)
+
+
+def scan_file(spark: SparkSession, path: str, options: ScanOptions, root: str | None = None) -> DataFrame:
+    """Findings of one file, whatever its suffix; it is named by its place below ``root`` (without: by its own name)."""
+    name = os.path.relpath(os.path.realpath(path), os.path.realpath(root)) if root else os.path.basename(path)
+    return scan(files.one_text(spark, path, name.replace(os.sep, "/")), options)

@@ -19,7 +19,6 @@ from veilwright.fixed import TEXT_EXTENSIONS
 from veilwright.functions.text import decoded
 
 
-
 def is_text(path: str) -> bool:
     """By its suffix, or for want of one."""
     suffix = os.path.splitext(path.rstrip("/").rsplit("/", 1)[-1])[1].lower()
@@ -52,17 +51,17 @@ def _table(spark: SparkSession, rows: list[tuple[str, str]], part_bytes: int = 6
     return spark.createDataFrame(rows or [], "file string, path string").repartition(parts)
 
 
-def contents(spark: SparkSession, root: str, skip: Iterable[str] = (), text_only: bool = True) -> DataFrame:
-    """file, content (bytes) of a tree."""
+def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            with open(path, "rb") as f:
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([f.read()], pa.binary())], ["file", "content"])
 
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with open(path, "rb") as f:
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([f.read()], pa.binary())], ["file", "content"])
 
+def contents(spark: SparkSession, root: str, skip: Iterable[str] = (), text_only: bool = True) -> DataFrame:
+    """file, content (bytes) of a tree."""
     rows = [(f, p) for f, p in listed(root, skip) if not text_only or is_text(f)]
-    return _table(spark, rows).mapInArrow(load, "file string, content binary")
+    return _table(spark, rows).mapInArrow(_load, "file string, content binary")
 
 
 def texts(spark: SparkSession, root: str, skip: Iterable[str] = (), without: Iterable[str] = ()) -> DataFrame:
@@ -73,6 +72,12 @@ def texts(spark: SparkSession, root: str, skip: Iterable[str] = (), without: Ite
     return base.filter(~F.col("file").isin(names)) if names else base
 
 
+def one_text(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """file, text of one file under a given name."""
+    rows = spark.createDataFrame([(name, path)], "file string, path string")
+    return rows.mapInArrow(_load, "file string, content binary").select("file", decoded(F.col("content")).alias("text"))
+
+
 def write_tree(spark: SparkSession, root: str, out: str, changed: DataFrame, skip: Iterable[str] = (), without: Iterable[str] = ()) -> None:
     """Copy a tree: text files from ``changed`` (file, text) as UTF-8 with LF, all others byte for byte.
 

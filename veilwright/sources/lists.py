@@ -58,11 +58,12 @@ def load_names(spark: SparkSession, paths: list[str]) -> tuple[str, ...]:
     return tuple(r.name for r in rows)
 
 
-def load_rosters(spark: SparkSession, paths: list[str]) -> tuple[tuple[str, ...], frozenset[str]]:
-    """Name variants, longest first, and staff numbers of roster files."""
-    rows = parsed_roster(_lines(spark, paths)).select("names", "matriculas").collect()  # a company's staff
-    names = {n for r in rows for n in r.names}
-    return tuple(sorted(names, key=lambda n: (-len(n), n.upper(), n))), frozenset(m for r in rows for m in r.matriculas)
+def load_rosters(spark: SparkSession, paths: list[str]) -> tuple[tuple[str, ...], DataFrame]:
+    """Name variants of roster files, longest first, and a table (matricula) of their distinct staff numbers."""
+    parsed = parsed_roster(_lines(spark, paths))
+    rows = parsed.select(F.explode("names").alias("name")).distinct().collect()  # they become patterns: a company's staff
+    names = sorted((r.name for r in rows), key=lambda n: (-len(n), n.upper(), n))
+    return tuple(names), parsed.select(F.explode("matriculas").alias("matricula")).distinct()
 
 
 def chosen_replacements(rows: DataFrame, order: Column | None = None) -> DataFrame:

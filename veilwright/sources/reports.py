@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import json
-import posixpath
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from veilwright.fixed import FINDING_FIELDS, MAP_FIELDS, NAME_FIELDS
 
 
-
 def report_rows(findings: DataFrame) -> DataFrame:
     """Findings without offsets, in report order, under the names of reports."""
     return findings.withColumnsRenamed({"line_no": "line", "col_no": "column"}).orderBy("file", "start", "end").select(*FINDING_FIELDS)
@@ -75,7 +73,3 @@ def name_table(root: str, findings: DataFrame) -> Iterator[str]:
         if not k:
             yield "\n" + " | ".join(("Name", "Folder", "File", "Line", "Column", "Source"))
         yield " | ".join(map(str, (r.name, r.folder, r.file, r.line, r.column, r.source or "unknown")))
-
-
-def base_name(path: str) -> str:
-    return posixpath.basename(path.rstrip("/"))

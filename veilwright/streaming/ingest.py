@@ -13,9 +13,20 @@ from veilwright.plans.scan import scan
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as the file source writes it before the names of its files."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/"
+
+
 def stream_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """file (its place below ``folder``), text of each new file.
+
+    Spark's file source leaves out names that begin with a dot or an underscore; :func:`veilwright.plans.scan.scan_path` has them.
+    """
     rows = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(folder)
-    return rows.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), decoded(F.col("content")).alias("text"))
+    root = _qualified(spark, folder)
+    return rows.select(F.when(F.col("path").startswith(root), F.substring("path", len(root) + 1, 1 << 30)).otherwise(F.col("path")).alias("file"), decoded(F.col("content")).alias("text"))
 
 
 def stream_findings(spark: SparkSession, folder: str, options: ScanOptions) -> DataFrame:
