@@ -1,4 +1,8 @@
-"""Regular-expression matches with their offsets, and folds over sorted spans, row by row."""
+"""Regular-expression matches with their offsets, and folds over sorted spans, row by row.
+
+Arrays are immutable, so a fold that appends to one copies it at each step. :func:`fold` works in blocks of the square
+root of the length: a file with a hundred thousand matches costs a few hundred copies an element, not fifty thousand.
+"""
 
 from __future__ import annotations
 
@@ -9,44 +13,84 @@ from pyspark.sql import functions as F
 
 from veilwright.options import SPAN
 
+#: Two code points that no text holds (Unicode sets them aside): one marks the edges of matches, the other stands for it in a text that has it.
+MARK, STAND_IN = "\uFDD0", "\uFDD1"
+SHORT = 64
+
 
 def int_of(c: Column) -> Column:
     return c.cast("int")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def fold(items: Column, state: Column, kind: str, step: Callable[[Column, Column], Column], last: Callable[[Column], Column] | None = None) -> Column:
+    """What ``step(acc, item)`` gathers: ``acc`` is a struct of ``state`` and ``out``, an array of type ``kind``.
+
+    ``last`` turns the final state into an array of what is still to be added.
+    """
+    empty = F.array().cast(kind)
+
+    def whole(own: Column, begin: Column) -> Column:
+        return F.aggregate(own, F.struct(begin.alias("state"), empty.alias("out")), step)
+
+    def end(acc: Column, out: Column) -> Column:
+        return F.concat(out, last(acc["state"])) if last else out
+
+    def in_blocks(own: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(own))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(own) / width).cast("int") - 1), lambda b: F.slice(own, b * width + 1, width))
+        start = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("outs"))
+        each = lambda acc, block: let(whole(block, acc["state"]), lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["outs"], r["out"]).alias("outs")))
+        return F.aggregate(blocks, start, each, lambda acc: end(acc, F.flatten(acc["outs"])))
+
+    return let(items, lambda own: F.when(F.size(own) <= SHORT, F.aggregate(own, F.struct(state.alias("state"), empty.alias("out")), step, lambda acc: end(acc, acc["out"]))).otherwise(in_blocks(own)))
+
+
+def runs(items: Column, kind: str, combine: Callable[[Column, Column], Column]) -> Column:
+    """Sorted ``items``, each folded into the one before where ``combine(last, item)`` is not null."""
+    element = kind.removeprefix("array<").removesuffix(">")
+
+    def step(acc: Column, x: Column) -> Column:
+        more = F.struct(x.alias("state"), F.array_append(acc["out"], acc["state"]).alias("out"))
+        joined = lambda c: F.when(c.isNull(), more).otherwise(F.struct(c.alias("state"), acc["out"].alias("out")))
+        return F.when(acc["state"].isNull(), F.struct(x.alias("state"), acc["out"].alias("out"))).otherwise(let(combine(acc["state"], x), joined))
+
+    return fold(items, F.lit(None).cast(element), kind, step, lambda s: F.when(s.isNull(), F.array().cast(kind)).otherwise(F.array(s)))
+
+
+def running(sizes: Column) -> Column:
+    """Sums up to and with each number."""
+    return fold(sizes, F.lit(0), "array<int>", lambda acc, x: F.struct((acc["state"] + x).alias("state"), F.array_append(acc["out"], acc["state"] + x).alias("out")))
+
+
 def matches(text: Column, pattern: Column | str, grouped: bool = False, keep: Callable[[Column], Column] | None = None) -> Column:
-    """Spans of all matches. ``grouped``: the pattern is ``(before)(value)``, the span that of the value.
+    """Spans of all matches. ``grouped``: the pattern is ``(before)(value)(after)``, the span that of the value.
 
-    The pieces between matches give the offsets: a match starts after all pieces and matches before it.
-    ``keep`` judges the matched strings; cutting them out of the text again would cost its length each time.
+    One pass: a replacement puts a mark at both edges of each match, and the lengths of the pieces between marks give the
+    offsets. ``keep`` judges the matched strings.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    before = F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), lambda x: F.length(x)) if grouped else F.transform(whole, lambda x: F.lit(0))
-    value = F.transform(F.regexp_extract_all(text, pattern, F.lit(2)), lambda x: F.length(x)) if grouped else F.transform(whole, lambda x: F.length(x))
-    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.greatest(F.size(whole), F.lit(0)))
-    judged = F.transform(whole, lambda x: keep(x) if keep else F.lit(True))
-    rows = F.arrays_zip(F.transform(whole, lambda x: F.length(x)).alias("m"), F.transform(pieces, lambda x: F.length(x)).alias("g"), before.alias("b"), value.alias("v"), judged.alias("k"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    clean = F.when(text.contains(MARK), F.translate(text, MARK, STAND_IN)).otherwise(text)
+    marked = F.regexp_replace(clean, pattern, F.lit(f"$1{MARK}$2{MARK}$3" if grouped else f"{MARK}$0{MARK}"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"] + x["b"]
-        more = F.array_append(acc["out"], F.struct(int_of(start).alias("start"), int_of(start + x["v"]).alias("end")))
-        return F.struct((acc["at"] + x["g"] + x["m"]).cast("int").alias("at"), F.when(x["k"], more).otherwise(acc["out"]).alias("out"))
+    def spans(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, lambda x: F.length(x)))
+        each = lambda e: F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda k: F.struct(F.get(e, k - 1).alias("start"), F.get(e, k).alias("end"), (keep(F.get(pieces, k)) if keep else F.lit(True)).alias("k")))
+        found = let(ends, each)
+        return F.transform(F.filter(found, lambda s: s["k"]) if keep else found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    found = F.aggregate(rows, empty, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, pattern), found).otherwise(F.array().cast(SPAN))
+    empty = F.array().cast(SPAN)
+    return let(F.split(marked, MARK, -1), lambda pieces: F.when(F.size(pieces) > 1, spans(pieces)).otherwise(empty))
 
 
 def merged(ranges: Column) -> Column:
     """The union of ranges; those that touch become one."""
-
-    def step(out: Column, x: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        joined = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(out) > 0) & (x["start"] <= last["end"]), joined).otherwise(F.array_append(out, x))
-
-    return F.aggregate(F.array_sort(ranges), F.array().cast(SPAN), step)
+    joined = lambda last, x: F.when(x["start"] <= last["end"], F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end")))
+    return runs(F.array_sort(ranges), SPAN, joined)
 
 
 def inside(start: Column, end: Column, ranges: Column) -> Column:

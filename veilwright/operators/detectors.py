@@ -31,8 +31,8 @@ from veilwright.fixed import (
     UNKNOWN_NAME_STOPWORDS,
     UPPER_NAME_TOKEN,
 )
-from veilwright.functions.spans import inside, int_of, matches
-from veilwright.functions.text import line_around, part
+from veilwright.functions.spans import inside, int_of, let, matches
+from veilwright.functions.text import Body
 from veilwright.operators.overlaps import joined_names, resolved
 from veilwright.operators.ranges import comment_line, name_ranges
 from veilwright.options import FOUND, SPAN, ScanOptions
@@ -41,13 +41,14 @@ FOLD = "(?iU)"
 STAFF_NUMBER = f"{FOLD}(?<![A-Z0-9]){MATRICOLA_VALUE}(?![A-Z0-9])"
 _LABEL = "|".join(map(re.escape, MATRICOLA_LABELS))
 _FIELD, _QUOTE, _STAFF = f"[\\w-]*(?:{_LABEL})[\\w-]*\\b", "['\"]?", f"({MATRICOLA_VALUE})(?![A-Z0-9])"
-#: Moved to a field, the value of a field, or after a label: ``(before)(number)``.
+#: Moved to a field, the value of a field, or after a label: ``(before)(number)(after)``.
 STAFF_LABELLED = (
-    f"{FOLD}(\\bMOVE\\s+{_QUOTE}){_STAFF}{_QUOTE}\\s+TO\\s+{_FIELD}",
-    f"{FOLD}(\\b{_FIELD}[^\\r\\n]{{0,90}}\\bVALUE\\s+{_QUOTE}){_STAFF}{_QUOTE}",
-    f"{FOLD}(\\b(?:{_LABEL})\\b\\s*[:=]\\s*{_QUOTE}){_STAFF}{_QUOTE}",
+    f"{FOLD}(\\bMOVE\\s+{_QUOTE}){_STAFF}({_QUOTE}\\s+TO\\s+{_FIELD})",
+    f"{FOLD}(\\b{_FIELD}[^\\r\\n]{{0,90}}\\bVALUE\\s+{_QUOTE}){_STAFF}({_QUOTE})",
+    f"{FOLD}(\\b(?:{_LABEL})\\b\\s*[:=]\\s*{_QUOTE}){_STAFF}({_QUOTE})",
 )
-PHONE_LABELLED = f"{FOLD}(\\b(?:{'|'.join(PHONE_LABELS)})\\b\\s*[:=]?\\s*)({PHONE_VALUE})"
+PHONE_LABELLED = f"{FOLD}(\\b(?:{'|'.join(PHONE_LABELS)})\\b\\s*[:=]?\\s*)({PHONE_VALUE})()"
+_REACH = 256  # characters around a span that are looked at first for its token
 WORD = "(?U)[\\w-]+"
 
 
@@ -101,13 +102,25 @@ def classified(found: DataFrame, roster: DataFrame) -> DataFrame:
     return judged.select(*(pick(c, new[c]) if c in new else F.col(c) for c in found.columns))
 
 
-def in_address(text: Column, start: Column, end: Column) -> Column:
-    """Whether the token around a span is an e-mail address or a URL."""
+def in_address(body: Body, start: Column, end: Column) -> Column:
+    """Whether the token around a span is an e-mail address or a URL.
+
+    The text near the span is looked at first; only a token that goes on beyond it makes the whole text be read.
+    """
     stop = "\\s\\x1C-\\x1F" + ADDRESS_STOPS
-    left = F.regexp_extract(F.substring_index(F.substring(text, F.lit(1), start), "\n", -1), f"(?U)[^{stop}]*$", 0)
-    right = F.regexp_extract(F.substring_index(F.substring(text, end + 1, F.length(text)), "\n", 1), f"(?U)^[^{stop}]*", 0)
-    token = F.concat(left, part(text, start, end), right)
-    return token.contains("@") | token.contains("://")
+    left = lambda t: F.regexp_extract(F.substring_index(t, "\n", -1), f"(?U)[^{stop}]*$", 0)
+    right = lambda t: F.regexp_extract(F.substring_index(t, "\n", 1), f"(?U)^[^{stop}]*", 0)
+    low = F.greatest(start - _REACH, F.lit(0))
+
+    def judged(t: Column) -> Column:
+        token = F.concat(
+            F.when((F.length(t["left"]) < start - low) | (low == 0), t["left"]).otherwise(left(F.substring(body.text, F.lit(1), start))),
+            body.part(start, end),
+            F.when(F.length(t["right"]) < _REACH, t["right"]).otherwise(right(F.substring(body.text, end + 1, F.length(body.text)))),
+        )
+        return let(token, lambda x: x.contains("@") | x.contains("://"))
+
+    return let(F.struct(left(body.part(low, start)).alias("left"), right(body.part(end, end + _REACH)).alias("right")), judged)
 
 
 def name_pattern(name: str, least: int) -> str | None:
@@ -141,15 +154,19 @@ def with_pattern(texts: DataFrame, column: str, names: Iterable[str], least: int
     return texts.withColumn(column + "_heads", present).withColumn(column, F.concat(F.lit("(?iU)(?<![\\w\\-])(?:"), some, F.lit(")(?![\\w\\-])")))
 
 
-def watchlist(text: Column, pattern: Column, ranges: Column, source: str = "watchlist", confidence: float = 0.70) -> Column:
-    """Names of a list inside ranges; ``pattern`` is that of :func:`with_pattern`."""
+def in_ranges(body: Body, pattern: Column | str, ranges: Column) -> Column:
+    """Spans of matches inside ranges."""
 
     def search(r: Column) -> Column:
-        return F.transform(matches(part(text, r["start"], r["end"]), pattern), lambda s: F.struct(int_of(r["start"] + s["start"]).alias("start"), int_of(r["start"] + s["end"]).alias("end")))
+        return F.transform(matches(body.part(r["start"], r["end"]), pattern), lambda s: F.struct(int_of(r["start"] + s["start"]).alias("start"), int_of(r["start"] + s["end"]).alias("end")))
+
+    return F.flatten(F.transform(ranges, search)).cast(SPAN)
 
-    spans = F.flatten(F.transform(ranges, search)).cast(SPAN)
-    spans = F.filter(spans, lambda s: ~in_address(text, s["start"], s["end"]))
-    found = joined_names(text, resolved(findings(spans, "NAME", confidence, source)))
+
+def watchlist(body: Body, pattern: Column, ranges: Column, source: str = "watchlist", confidence: float = 0.70) -> Column:
+    """Names of a list inside ranges; ``pattern`` is that of :func:`with_pattern`."""
+    spans = F.filter(in_ranges(body, pattern, ranges), lambda s: ~in_address(body, s["start"], s["end"]))
+    found = joined_names(body, resolved(findings(spans, "NAME", confidence, source)))
     return F.when(pattern.isNotNull(), found).otherwise(none())
 
 
@@ -162,65 +179,62 @@ def isolated_surname(value: Column) -> Column:
     return F.length(letters).between(4, 18) & ~letters.isin(*NAME_STOPWORDS, *UNKNOWN_NAME_STOPWORDS) & ~letters.rlike(f"({'|'.join(COMMON_ENDINGS)})$")
 
 
-def unknown_names(text: Column, ranges: Column, least: int = 4) -> Column:
-    """Upper-case words in comments and literals that look like surnames, for review."""
+def unknown_names(body: Body, ranges: Column, least: int = 4) -> Column:
+    """Upper-case words in comments and literals that look like surnames, for review. A word's value and line are read once."""
     stop = [*NAME_STOPWORDS, *UNKNOWN_NAME_STOPWORDS, *NAME_CONTEXT_WORDS]
 
-    def search(r: Column) -> Column:
-        return F.transform(matches(part(text, r["start"], r["end"]), "(?U)" + UPPER_NAME_TOKEN), lambda s: F.struct(int_of(r["start"] + s["start"]).alias("start"), int_of(r["start"] + s["end"]).alias("end")))
-
     def trim(s: Column) -> Column:
-        value = part(text, s["start"], s["end"])
-        left = F.length(value) - F.length(F.ltrim(value, F.lit(NAME_EDGES)))
-        return F.struct(int_of(s["start"] + left).alias("start"), int_of(s["start"] + left + F.length(F.trim(value, F.lit(NAME_EDGES)))).alias("end"))
+        def edges(value: Column) -> Column:
+            left = F.length(value) - F.length(F.ltrim(value, F.lit(NAME_EDGES)))
+            bare = F.trim(value, F.lit(NAME_EDGES))
+            return F.struct(int_of(s["start"] + left).alias("start"), int_of(s["start"] + left + F.length(bare)).alias("end"), F.translate(bare, "’", "'").alias("value"))
+
+        return let(body.part(s["start"], s["end"]), edges)
 
-    def value_of(s: Column) -> Column:
-        return F.translate(part(text, s["start"], s["end"]), "’", "'")
+    def shaped(w: Column) -> Column:
+        return (w["start"] < w["end"]) & (F.length(F.replace(w["value"], F.lit("'"), F.lit(""))) >= least) & ~F.upper(w["value"]).isin(stop) & ~F.upper(w["value"]).rlike(f"^({'|'.join(UNKNOWN_NAME_PREFIXES)})")
 
-    def looks_right(s: Column) -> Column:
-        value, line = value_of(s), line_around(text, s["start"], s["end"])
-        told = value.contains("'") | _person_word(line) | (comment_line(line) & isolated_surname(value))
-        shape = (F.length(F.replace(value, F.lit("'"), F.lit(""))) >= least) & ~F.upper(value).isin(stop) & ~F.upper(value).rlike(f"^({'|'.join(UNKNOWN_NAME_PREFIXES)})")
-        return (s["start"] < s["end"]) & ~in_address(text, s["start"], s["end"]) & shape & told
+    def judged(w: Column) -> Column:
+        def sure(line: Column) -> Column:
+            return F.when(w["value"].contains("'"), 0.72).when(_person_word(line), 0.68).when(comment_line(line) & isolated_surname(w["value"]), 0.58)
 
-    def finding(s: Column) -> Column:
-        sure = F.when(value_of(s).contains("'"), 0.72).when(_person_word(line_around(text, s["start"], s["end"])), 0.68).otherwise(0.58)
-        return F.struct(F.lit("NAME").alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), sure.alias("confidence"), F.lit("unknown_name_heuristic").alias("source"))
+        return F.struct(F.lit("NAME").alias("entity_type"), w["start"].alias("start"), w["end"].alias("end"), let(body.line(w["start"], w["end"]), sure).alias("confidence"), F.lit("unknown_name_heuristic").alias("source"))
 
-    spans = F.transform(F.flatten(F.transform(ranges, search)).cast(SPAN), trim)
-    return resolved(F.transform(F.filter(spans, looks_right), finding).cast(FOUND))
+    words = F.filter(F.transform(in_ranges(body, "(?U)" + UPPER_NAME_TOKEN, ranges), trim), shaped)
+    told = F.filter(F.transform(words, judged), lambda x: x["confidence"].isNotNull())
+    return resolved(F.filter(told, lambda x: ~in_address(body, x["start"], x["end"])).cast(FOUND))
 
 
-def recognized_names(text: Column, raw: Column, ranges: Column) -> Column:
+def recognized_names(body: Body, raw: Column, ranges: Column) -> Column:
     """Names from an entity recognizer (``raw``: start, end, score), trimmed and cleared of false positives."""
     edge = "|".join(NAME_STOPWORDS)
     blank = "[\\s\\x1C-\\x1F]"
 
     def trim(s: Column) -> Column:
-        value = part(text, s["start"], s["end"])
+        value = body.part(s["start"], s["end"])
         lead = F.length(F.regexp_extract(value, f"(?iU)^({blank}*([:,.;]*({edge})[:,.;]*(?={blank}|$){blank}*)*)", 0))
         rest = F.substring(value, lead + 1, F.length(value))
         tail = F.length(F.regexp_extract(rest, f"(?iU)(((?<={blank})|^)[:,.;]*({edge})[:,.;]*{blank}*)+$", 0))
-        body = F.regexp_replace(F.substring(rest, F.lit(1), F.length(rest) - tail), f"(?U){blank}+$", "")
-        return F.struct(int_of(s["start"] + lead).alias("start"), int_of(s["start"] + lead + F.length(body)).alias("end"), s["score"].alias("score"))
+        bare = F.regexp_replace(F.substring(rest, F.lit(1), F.length(rest) - tail), f"(?U){blank}+$", "")
+        return F.struct(int_of(s["start"] + lead).alias("start"), int_of(s["start"] + lead + F.length(bare)).alias("end"), s["score"].alias("score"))
 
     def real(s: Column) -> Column:
-        value = part(text, s["start"], s["end"])
+        value = body.part(s["start"], s["end"])
         words = F.split(F.upper(F.regexp_replace(F.trim(value), f"(?U){blank}+", " ")), " ")
         single = (F.size(words) == 1) & (value == F.upper(value)) & (value != F.lower(value))
         odd = value.rlike("(?U)[\\d='\"\\-]") | single | F.arrays_overlap(words, F.array(*map(F.lit, TECHNICAL_WORDS + NAME_STOPWORDS)))
-        return (s["start"] < s["end"]) & inside(s["start"], s["end"], ranges) & ~in_address(text, s["start"], s["end"]) & ~odd
+        return (s["start"] < s["end"]) & inside(s["start"], s["end"], ranges) & ~in_address(body, s["start"], s["end"]) & ~odd
 
     kept = F.filter(F.transform(raw, trim), real)
     return F.transform(kept, lambda s: F.struct(F.lit("NAME").alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].cast("double").alias("confidence"), F.lit("presidio_spacy").alias("source"))).cast(FOUND)
 
 
-def with_findings(texts: DataFrame, options: ScanOptions, recognized: str | None = None) -> DataFrame:
+def with_findings(texts: DataFrame, body: Body, options: ScanOptions, recognized: str | None = None) -> DataFrame:
     """With ``found``: findings of the selected detectors in ``text``; names are resolved among themselves first, then all.
 
     What several detectors share (ranges, patterns) are columns of their own, worked out once a row.
     """
-    text, want, out = F.col("text"), options.entities, []
+    text, want, out = body.text, options.entities, []
     if "NAME" in want:
         lists = [x for x in (("listed", options.names, 3, "watchlist", 0.70), ("known", options.roster_names, 2, "employee_roster", 0.92)) if x[1]]
         some = F.lit(recognized is not None)  # ranges are worked out where a name can occur
@@ -228,11 +242,11 @@ def with_findings(texts: DataFrame, options: ScanOptions, recognized: str | None
             texts = with_pattern(texts, column, entries, least)
             some = some | F.col(column).isNotNull()
         texts = texts.withColumn("ranges", F.when(some, name_ranges(text, options.scope)).otherwise(F.array().cast(SPAN)))
-        names = [recognized_names(text, F.col(recognized), F.col("ranges"))] if recognized else []
-        names += [watchlist(text, F.col(column), F.col("ranges"), source, sure) for column, _, _, source, sure in lists]
+        names = [recognized_names(body, F.col(recognized), F.col("ranges"))] if recognized else []
+        names += [watchlist(body, F.col(column), F.col("ranges"), source, sure) for column, _, _, source, sure in lists]
         if options.unknown_names:
             texts = texts.withColumn("comments", name_ranges(text, options.scope, comments_only=True))
-            names.append(unknown_names(text, F.col("comments"), options.unknown_min_length))
+            names.append(unknown_names(body, F.col("comments"), options.unknown_min_length))
         texts = texts.withColumn("names", resolved(F.concat(*names)) if names else none())
     if "EMAIL" in want:
         out.append(emails(text))

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilwright.fixed import PRIORITY
-from veilwright.functions.text import part
+from veilwright.functions.spans import let, runs
+from veilwright.functions.text import Body
 from veilwright.options import FOUND
 
 
@@ -24,29 +25,27 @@ def resolved(found: Column) -> Column:
     spans are disjoint and come by start, so a new one can only overlap the last of them.
     Of equals the earlier in the array stays.
     """
-    keyed = F.transform(found, lambda x, k: F.struct(x["start"].alias("s"), (-priority(x["entity_type"])).alias("p"), (x["start"] - x["end"]).alias("l"), k.alias("k"), x.alias("x")))
-    ordered = F.array_sort(keyed)
-    bare = F.transform(ordered, lambda y: F.struct(y["p"].alias("p"), y["l"].alias("l"), y["x"].alias("x")))
-    kind = "array<struct<p:int,l:int,x:struct<entity_type:string,start:int,end:int,confidence:double,source:string>>>"
-
-    def step(kept: Column, y: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        free = (F.size(kept) == 0) | (y["x"]["start"] >= last["x"]["end"])
+
+    def keyed(own: Column) -> Column:
+        return F.array_sort(F.transform(own, lambda x, k: F.struct(x["start"].alias("s"), (-priority(x["entity_type"])).alias("p"), (x["start"] - x["end"]).alias("l"), k.alias("k"), x.alias("x"))))
+
+    def combine(last: Column, y: Column) -> Column:
         stronger = (y["p"] < last["p"]) | ((y["p"] == last["p"]) & (y["l"] < last["l"]))
-        return F.when(free, F.array_append(kept, y)).when(stronger, F.array_append(F.slice(kept, F.lit(1), F.size(kept) - 1), y)).otherwise(kept)
+        return F.when(y["x"]["start"] < last["x"]["end"], F.when(stronger, y).otherwise(last))
 
-    return F.transform(F.aggregate(bare, F.array().cast(kind), step), lambda y: y["x"]).cast(FOUND)
+    kind = "array<struct<s:int,p:int,l:int,k:int,x:struct<entity_type:string,start:int,end:int,confidence:double,source:string>>>"
+    several = lambda own: F.transform(runs(keyed(own), kind, combine), lambda y: y["x"]).cast(FOUND)
+    return let(found, lambda own: F.when(F.size(own) > 1, several(own)).otherwise(own))
 
 
-def joined_names(text: Column, found: Column) -> Column:
+def joined_names(body: Body, found: Column) -> Column:
     """Names with only blanks between them on one line, as one; ``found`` is disjoint and sorted."""
 
-    def step(out: Column, x: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        gap, way = part(text, last["end"], x["start"]), part(text, last["start"], x["start"])
-        near = (F.size(out) > 0) & gap.rlike("(?U)^[\\s\\x1C-\\x1F]+$") & ~way.contains("\n")
+    def combine(last: Column, x: Column) -> Column:
+        gap, way = body.part(last["end"], x["start"]), body.part(last["start"], x["start"])
+        near = gap.rlike("(?U)^[\\s\\x1C-\\x1F]+$") & ~way.contains("\n")
         source = F.when(last["source"] == x["source"], x["source"]).otherwise("mixed")
         one = F.struct(x["entity_type"].alias("entity_type"), last["start"].alias("start"), x["end"].alias("end"), F.greatest(last["confidence"], x["confidence"]).alias("confidence"), source.alias("source"))
-        return F.when(near, F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), one)).otherwise(F.array_append(out, x))
+        return F.when(near, one)
 
-    return F.aggregate(found, F.array().cast(FOUND), step)
+    return runs(found, FOUND, combine)

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.functions.text import part
+from veilwright.functions.spans import let
+from veilwright.functions.text import Body, with_pages
 from veilwright.operators.groups import keyed
 
 EDITS = "array<struct<start:int,end:int,replacement:string>>"
 
 
-def spliced(text: Column, edits: Column) -> Column:
+def spliced(body: Body, edits: Column) -> Column:
     """The text with disjoint edits (any order), on offsets of the original."""
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, e: Column) -> Column:
-        return F.struct(e["end"].alias("at"), F.concat(acc["out"], F.array(part(text, acc["at"], e["start"]), e["replacement"])).alias("out"))
+    def pieces(own: Column) -> Column:
+        since = lambda k: F.when(k > 0, F.get(own, k - 1)["end"]).otherwise(0)
+        changed = F.transform(own, lambda e, k: F.concat(body.part(since(k), e["start"]), e["replacement"]))
+        rest = F.substring(body.text, F.coalesce(F.get(own, F.size(own) - 1)["end"], F.lit(0)) + 1, F.length(body.text))
+        return F.concat(F.array_join(changed, ""), rest)
 
-    return F.aggregate(F.array_sort(edits), first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(edits) > 0, let(F.array_sort(edits), pieces)).otherwise(body.text)
 
 
 def edits_by_file(findings: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -30,8 +33,9 @@ def edits_by_file(findings: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def with_edits(texts: DataFrame, edits: DataFrame) -> DataFrame:
     """file, text, replacements (number of splices) for every text; ``edits`` is that of :func:`edits_by_file`."""
-    own = texts.join(edits, "file", "left").withColumn("edits", F.coalesce("edits", F.array().cast(EDITS)))
-    return own.select("file", spliced(F.col("text"), F.col("edits")).alias("text"), F.size("edits").alias("replacements"))
+    own, body = with_pages(texts)
+    own = own.join(edits, "file", "left").withColumn("edits", F.coalesce("edits", F.array().cast(EDITS)))
+    return own.select("file", spliced(body, F.col("edits")).alias("text"), F.size("edits").alias("replacements"))
 
 
 def apply_map(texts: DataFrame, findings: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from veilwright.fixed import PRIORITY, REPORT_ORDER
 from veilwright.functions import pseudonyms
 from veilwright.functions.spans import matches
-from veilwright.functions.text import line_no, part
+from veilwright.functions.text import with_pages
 from veilwright.operators import detectors, groups, overlaps, ranges, replace
 from veilwright.options import FOUND, ScanOptions
 from veilwright.plans import corpus
-from veilwright.plans.scan import explode_findings, scan
+from veilwright.plans.scan import scan
 from veilwright.sources import lists, reports
+from veilwright.sources.shared import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 SALT = "catalog"
@@ -63,8 +64,9 @@ def matricola_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str, rule: Callable[[Column], Column]) -> DataFrame:
-    rows = corpus.files(spark, sf_dir).select("file", "text", F.explode(ranges.lines(F.col("text"))).alias("r"))
-    own = rows.select("file", line_no(F.col("text"), F.col("r.start")).alias("line_no"), part(F.col("text"), F.col("r.start"), F.col("r.end")).alias("line"))
+    texts, body = with_pages(corpus.files(spark, sf_dir))
+    line = lambda r: F.struct(body.line_no(r["start"]).alias("line_no"), body.part(r["start"], r["end"]).alias("line"))
+    own = texts.select("file", F.explode(F.transform(ranges.lines(body.text), line)).alias("x")).select("file", "x.*")
     return own.filter(rule(F.col("line"))).select("file", "line_no", F.rtrim("line", F.lit("\n")).alias("line"))
 
 
@@ -152,7 +154,7 @@ def detector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def names_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.name_rows(all_findings(spark, sf_dir)).select("name", "folder", "file", "line", "column", "confidence", "source")
+    return reports.name_rows(stash(all_findings(spark, sf_dir).filter("entity_type = 'NAME'"), "findings")).select("name", "folder", "file", "line", "column", "confidence", "source")
 
 
 def finding_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,21 +9,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.functions.text import col_no, context, line_no, part, stripped
+from veilwright.functions.spans import let
+from veilwright.functions.text import Body, stripped, with_pages
 from veilwright.operators.detectors import classified, with_findings
 from veilwright.options import FINDING, ScanOptions
 from veilwright.sources import files
 
 
-def explode_findings(texts: DataFrame, found: Column) -> DataFrame:
-    """One row a finding, with its text, place and context; ``texts`` has file and text."""
+def explode_findings(texts: DataFrame, body: Body) -> DataFrame:
+    """One row a finding, with its text, place and context; ``texts`` has file, text, pages and found.
+
+    Everything is worked out inside the row, so no copy of a text is made for each finding.
+    """
+
+    def placed(x: Column) -> Column:
+        own = F.struct(body.part(x["start"], x["end"]).alias("value"), body.line_begin(x["start"]).alias("begin"), x.alias("x"))
+        return let(own, shown)
+
+    def shown(o: Column) -> Column:
+        x, value = o["x"], o["value"]
+        text = F.when(x["source"] == "unknown_name_heuristic", F.translate(value, "’", "'")).when(x["source"] == "regex", stripped(value)).otherwise(value)
+        return F.struct(
+            x["entity_type"].alias("entity_type"), text.alias("text"), x["start"].alias("start"), x["end"].alias("end"), body.line_no(x["start"]).alias("line_no"),
+            (x["start"] - o["begin"] + 1).cast("int").alias("col_no"), x["confidence"].alias("confidence"), body.context(x["start"], x["end"]).alias("context"), x["source"].alias("source"),
+        )
+
     # the outer form: for the inner one Spark would put a filter before it that works all findings out again
-    rows = texts.select("file", F.col("text").alias("body"), F.explode_outer(found).alias("x")).filter("x is not null")
-    body, start, end = F.col("body"), F.col("x.start"), F.col("x.end")
-    value = part(body, start, end)
-    shown = F.when(F.col("x.source") == "unknown_name_heuristic", F.translate(value, "’", "'")).when(F.col("x.source") == "regex", stripped(value)).otherwise(value)
-    own = rows.select("file", F.col("x.entity_type").alias("entity_type"), shown.alias("text"), start.alias("start"), end.alias("end"), line_no(body, start).alias("line_no"), col_no(body, start).alias("col_no"), F.col("x.confidence").alias("confidence"), context(body, start, end).alias("context"), F.col("x.source").alias("source"))
-    return own.filter("text <> ''").select(*FINDING.fieldNames())
+    rows = texts.select("file", F.explode_outer(F.transform("found", placed)).alias("x")).filter("x is not null")
+    return rows.select("file", "x.*").filter("text <> ''").select(*FINDING.fieldNames())
 
 
 def recognize(texts: DataFrame, recognizer) -> DataFrame:
@@ -54,7 +67,8 @@ def scan(texts: DataFrame, options: ScanOptions) -> DataFrame:
     recognized = None
     if options.recognizer is not None and "NAME" in options.entities:
         texts, recognized = recognize(texts, options.recognizer), "recognized"
-    found = explode_findings(with_findings(texts, options, recognized), F.col("found"))
+    texts, body = with_pages(texts)
+    found = explode_findings(with_findings(texts, body, options, recognized), body)
     return found if options.roster is None else classified(found, options.roster)
 
 
