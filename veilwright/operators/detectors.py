@@ -53,7 +53,7 @@ WORD = "(?U)[\\w-]+"
 
 
 def findings(spans: Column, entity: str, confidence: float, source: str = "regex") -> Column:
-    return F.transform(spans, lambda s: F.struct(F.lit(entity).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))).cast(FOUND)
+    return F.call_function("transform", spans, F.expr(f"s -> struct('{entity}' as entity_type, s.start as start, s.end as end, {confidence}D as confidence, '{source}' as source)")).cast(FOUND)
 
 
 def none() -> Column:

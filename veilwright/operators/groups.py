@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilwright.functions.pseudonyms import suggestion
 from veilwright.functions.text import collapsed, finding_key
-from veilwright.sources.shared import stash
+from veilwright.sources.shared import spread, stash
 from veilwright.fixed import REPORT_ORDER, SHOWN_LOCATIONS
 
 
@@ -50,7 +50,7 @@ def ranked(groups: DataFrame) -> DataFrame:
     dealt = groups.withColumn("kind", order[0]).withColumn("name", order[1])
     keys = ["kind", "name", "first_file", "first_start", "key"]
     # written once: read by two branches that Spark might partition differently
-    placed = stash(dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id()), "ranked")
+    placed = stash(dealt.repartitionByRange(spread(groups.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id()), "ranked")
     placed = placed.withColumn("part", F.shiftright("place", 33)).withColumn("row", F.col("place").bitwiseAND((1 << 33) - 1))
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     base = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))  # a row a partition

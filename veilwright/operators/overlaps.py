@@ -6,18 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilwright.fixed import PRIORITY
-from veilwright.functions.spans import let, runs
+from veilwright.functions.spans import runs, runs_sql, worked_out
 from veilwright.functions.text import Body
 from veilwright.options import FOUND
 
 
-def priority(entity: Column) -> Column:
-    out = F.lit(0)
-    for name, rank in PRIORITY.items():
-        out = F.when(entity == name, rank).otherwise(out)
-    return out
-
-
 def resolved(found: Column) -> Column:
     """Disjoint findings by start: of overlapping ones the higher priority, then the longer stays.
 
@@ -26,16 +19,16 @@ def resolved(found: Column) -> Column:
     Of equals the earlier in the array stays.
     """
 
-    def keyed(own: Column) -> Column:
-        return F.array_sort(F.transform(own, lambda x, k: F.struct(x["start"].alias("s"), (-priority(x["entity_type"])).alias("p"), (x["start"] - x["end"]).alias("l"), k.alias("k"), x.alias("x"))))
+    rank = "case y.entity_type " + " ".join(f"when '{name}' then {-value}" for name, value in PRIORITY.items()) + " else 0 end"
+    keyed = f"array_sort(transform(own, (y, k) -> struct(y.start as s, {rank} as p, y.start - y.end as l, k as k, y as x)))"
 
-    def combine(last: Column, y: Column) -> Column:
-        stronger = (y["p"] < last["p"]) | ((y["p"] == last["p"]) & (y["l"] < last["l"]))
-        return F.when(y["x"]["start"] < last["x"]["end"], F.when(stronger, y).otherwise(last))
+    def combine(last: str, y: str) -> str:
+        stronger = f"{y}.p < {last}.p or ({y}.p = {last}.p and {y}.l < {last}.l)"
+        return f"if({y}.x.start < {last}.x.end, if({stronger}, {y}, {last}), null)"
 
-    kind = "array<struct<s:int,p:int,l:int,k:int,x:struct<entity_type:string,start:int,end:int,confidence:double,source:string>>>"
-    several = lambda own: F.transform(runs(keyed(own), kind, combine), lambda y: y["x"]).cast(FOUND)
-    return let(found, lambda own: F.when(F.size(own) > 1, several(own)).otherwise(own))
+    kept = runs_sql("sorted", f"array<struct<s:int,p:int,l:int,k:int,x:{FOUND.removeprefix('array<').removesuffix('>')}>>", combine)
+    several = f"get(transform(array({keyed}), sorted -> transform({kept}, y -> y.x)), 0)"
+    return worked_out(found, f"own -> if(size(own) > 1, {several}, own)").cast(FOUND)
 
 
 def joined_names(body: Body, found: Column) -> Column:

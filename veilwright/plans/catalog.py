@@ -7,22 +7,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilwright.fixed import PRIORITY, REPORT_ORDER
+from veilwright.fixed import PRIORITY, REPORT_ORDER, ROSTER_STOPWORDS, TAX_CODE_ODD
 from veilwright.functions import pseudonyms
 from veilwright.functions.spans import matches
-from veilwright.functions.text import with_pages
+from veilwright.functions.text import decoded, with_pages
 from veilwright.operators import detectors, groups, overlaps, ranges, replace
 from veilwright.options import FOUND, ScanOptions
 from veilwright.plans import corpus
 from veilwright.plans.scan import scan
 from veilwright.sources import lists, reports
-from veilwright.sources.shared import stash
+from veilwright.sources.shared import spread, stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 SALT = "catalog"
+ROSTER = ("Giulia Bianchi", "Bianchi Giulia", "G Bianchi", "Luca Conti", "Conti Luca", "L Conti")
 WATCHLIST = ("Mario", "Luca", "Giulia", "Francesca", "Rossi", "Bianchi", "Esposito", "De Luca", "Conti")
 _CHARS = {"EMAIL": "[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}"}
 
@@ -127,17 +128,71 @@ def replacement_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.replacement_map(groups.group_findings(own), SALT, _chosen(spark, sf_dir)).select("index", "entity_type", "key", "original", "suggested_replacement", "replacement", "hits")
 
 
+def _pseudonyms(spark: SparkSession, sf_dir: str, *entities: str) -> DataFrame:
+    """entity_type, key, original, suggested_replacement. These entities' pseudonyms do not depend on a group's number."""
+    own = groups.group_findings(scan(corpus.files(spark, sf_dir), _only(*entities))).select("entity_type", "key", "original")
+    return own.repartition(spread(spark)).withColumn("suggested_replacement", pseudonyms.suggestion(F.col("entity_type"), F.col("original"), F.col("key"), F.lit(0), SALT))
+
+
 def pseudonyms_of(entity: str) -> Query:
-    return lambda spark, sf_dir: groups.replacement_map(groups.group_findings(scan(corpus.files(spark, sf_dir), _only(entity))), SALT, auto=True).select("key", "original", "suggested_replacement")
+    return lambda spark, sf_dir: _pseudonyms(spark, sf_dir, entity).select("key", "original", "suggested_replacement")
 
 
 def pseudonym_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every account and tax code pseudonym: whether its check digits are right."""
-    own = pseudonyms_of("IBAN")(spark, sf_dir).select(F.lit("IBAN").alias("entity_type"), "key", F.col("suggested_replacement").alias("p"))
-    own = own.withColumn("valid", pseudonyms.mod97(F.concat(F.substring("p", 5, 99), F.substring("p", 1, 4))) == 1)
-    code = pseudonyms_of("CODICE_FISCALE")(spark, sf_dir).select(F.lit("CODICE_FISCALE").alias("entity_type"), "key", F.col("suggested_replacement").alias("p"))
-    code = code.withColumn("valid", (pseudonyms.tax_code_check(F.substring("p", 1, 15)) == F.substring("p", 16, 1)) & F.col("p").rlike("^[A-Z]{6}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]$"))
-    return own.unionByName(code).select("entity_type", "key", F.length("p").alias("size"), "valid")
+    own = _pseudonyms(spark, sf_dir, "IBAN", "CODICE_FISCALE").withColumnRenamed("suggested_replacement", "p")
+    account = pseudonyms.mod97(F.concat(F.substring("p", 5, 99), F.substring("p", 1, 4))) == 1
+    code = (pseudonyms.tax_code_check(F.substring("p", 1, 15)) == F.substring("p", 16, 1)) & F.col("p").rlike("^[A-Z]{6}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]$")
+    return own.select("entity_type", "key", F.length("p").alias("size"), F.when(F.col("entity_type") == "IBAN", account).otherwise(code).alias("valid"))
+
+
+def roster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a watchlist and of a roster together: where both find one, the longer or the first stays."""
+    return _found(corpus.files(spark, sf_dir), _only("NAME", names=WATCHLIST[:2], roster_names=ROSTER))
+
+
+def occurrence_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of entities that are not linked: a group an occurrence."""
+    own = scan(corpus.files(spark, sf_dir), _only("NAME", "MATRICOLA", names=WATCHLIST))
+    return groups.group_findings(own).select("entity_type", "key", "original", "hits", "locations")
+
+
+_JOINT = ("o_orderkey AS id", "'MARIO' || (case cast(o_orderkey % 6 as int) when 0 then ' ' when 1 then '   ' when 2 then chr(9) when 3 then chr(10) when 4 then ', ' else '' end) || 'ROSSI' AS text", "o_orderkey % 5 = 0 AS alike")
+
+
+def names_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two names side by side, of one source or of two: joined where only blanks of one line stand between them."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(*_JOINT)
+    own = "array(struct('NAME', 0, 5, 0.7D, 'watchlist'), struct('NAME', length(text) - 5, length(text), 0.92D, if(alike, 'watchlist', 'employee_roster')))"
+    texts, body = with_pages(rows.withColumn("found", F.expr(own).cast(FOUND)))
+    joined = texts.select("id", F.explode(overlaps.joined_names(body, F.col("found"))).alias("x"))
+    return joined.select("id", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.confidence").alias("confidence"), F.col("x.source").alias("source"))
+
+
+_RAW = "c_name || chr(13) || chr(10) || (case cast(c_custkey % 3 as int) when 0 then 'caff' || chr(233) when 1 then 'a' || chr(13) || 'b' else '' end) || chr(10) || c_mktsegment"
+
+
+def texts_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in UTF-8 or else Latin-1, with all sorts of newlines, as texts."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.expr(_RAW).alias("raw"))
+    content = F.when(F.col("c_custkey") % 2 == 0, F.encode("raw", "ISO-8859-1")).otherwise(F.encode("raw", "UTF-8"))
+    return rows.select("c_custkey", decoded(content).alias("text"))
+
+
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in the order of reports, each file's numbered."""
+    own = scan(corpus.files(spark, sf_dir), _only("IBAN", "EMAIL", "PHONE")).withColumns({"folder": reports.folder_of(F.col("file"))})
+    place = F.row_number().over(Window.partitionBy("file").orderBy("start", "end"))
+    return own.select("folder", "file", place.alias("place"), "entity_type", "text")
+
+
+_SEVERAL = "'       MOVE ''5' || lpad(cast(o_orderkey % 1000000 as varchar(20)), 6, '0') || chr(39) || ' TO WS-MATRICOLA. MATR: ' || lpad(cast(o_custkey % 1000000 as varchar(20)), 6, '0') || chr(13) || chr(10) || chr(9) || 'tel: 02' || lpad(cast(o_orderkey % 100000000 as varchar(20)), 8, '0') || ' a@b' || cast(o_custkey % 9 as varchar(20)) || '.it,c.d@e.org'"
+
+
+def several_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with Windows newlines, tabs, and several hits a line."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("file"), decoded(F.encode(F.expr(_SEVERAL), "UTF-8")).alias("text"))
+    return scan(rows, _only("EMAIL", "PHONE", "MATRICOLA")).select("file", "entity_type", "text", "start", "end", "line_no", "col_no", "context")
 
 
 def anonymized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +239,12 @@ def queries() -> dict[str, Query]:
         "pseudonym_cf": pseudonyms_of("CODICE_FISCALE"),
         "pseudonym_matricola": pseudonyms_of("MATRICOLA"),
         "pseudonym_checks": pseudonym_checks,
+        "roster_names": roster_names,
+        "occurrence_keys": occurrence_keys,
+        "names_joined": names_joined,
+        "texts_decoded": texts_decoded,
+        "report_order": report_order,
+        "several_hits": several_hits,
         "anonymized_text": anonymized_text,
         "detector_coverage": detector_coverage,
         "names_report": names_report,
@@ -290,6 +351,62 @@ acts AS (SELECT file, n, lead(act) OVER (PARTITION BY file ORDER BY n) AS later
 SELECT s.file, {kinds}[s.kind + 1] AS entity_type, s.s AS start, s.e AS "end" FROM acts a JOIN sorted s ON s.file = a.file AND s.n = a.n WHERE coalesce(a.later, 'keep') <> 'swap'"""
 
 
+_BIG, _TWO32 = 10**27, 1 << 32
+#: By entity: parts of the pseudonym as (suffix of the salt, kind, characters), and whether the group's key belongs to the hashed text.
+_PARTS = {
+    "IBAN": ((":iban-cin", "letters", 1), (":iban-bank", "digits", 10), (":iban-account", "digits", 12)),
+    "CODICE_FISCALE": ((":cf1", "letters", 6), (":cf2", "digits", 2), (":cf3", "letters", 1), (":cf4", "digits", 2), (":cf5", "letters", 1), (":cf6", "digits", 3)),
+    "MATRICOLA": ((":matricola", "digits", 6), (":matricola-prefix", "third", 1)),
+}
+
+
+def _divided(limbs: list[str], by: int, name: str) -> str:
+    """Columns of a long division of 32-bit limbs: remainders ``name`` r0 .. r7 and quotients ``name`` q0 .. q7."""
+    out, rest = [], "0::HUGEINT"
+    for k, limb in enumerate(limbs):
+        now = f"({rest} * {_TWO32}::HUGEINT + {limb})"
+        out += [f"{now} % {by}::HUGEINT AS {name}r{k}", f"{now} // {by}::HUGEINT AS {name}q{k}"]
+        rest = f"{name}r{k}"
+    return ", ".join(out)
+
+
+def _pseudonym_sql(groups_sql: str, entities: tuple[str, ...]) -> str:
+    """made: entity_type, key, original, p; ``groups_sql`` makes the table ``g`` (entity_type, key, original)."""
+    parts = [(e, k, *x) for e in entities for k, x in enumerate(_PARTS[e])]
+    values = ", ".join(f"('{e}', {k}, '{suffix}', '{kind}', {n})" for e, k, suffix, kind, n in parts)
+    limbs = ", ".join(f"CAST('0x' || h[{8 * k + 1}:{8 * k + 8}] AS HUGEINT) AS l{k}" for k in range(8))
+    top = "t0"
+    for k in range(1, 8):
+        top = f"({top} * {_TWO32}::HUGEINT + bq{k})" if k > 1 else f"(bq0 * {_TWO32}::HUGEINT + bq1)"
+    fold = lambda by: "".join("(" for _ in range(8)) + "0::HUGEINT" + "".join(f" * {_TWO32} + l{k}) % {by}" for k in range(8))
+    letters = " || ".join(f"chr(CAST((({fold(26**6)}) // {26**k}) % 26 + 65 AS INTEGER))" for k in range(6))
+    odd = ", ".join(map(str, TAX_CODE_ODD))
+    place = "CASE WHEN f[i] BETWEEN '0' AND '9' THEN ascii(f[i]) - 48 ELSE ascii(f[i]) - 65 END"
+    weights = f"list_sum([CASE WHEN i % 2 = 1 THEN [{odd}][({place}) + 1] ELSE {place} END FOR i IN range(1, 16)])"
+    to_digits = lambda x: f"list_aggregate([CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END FOR c IN string_split({x}, '')], 'string_agg', '')"
+    return f"""{groups_sql},
+part(entity_type, k, suffix, kind, n) AS (VALUES {values}),
+hashed AS (SELECT g.entity_type, key, original, k, kind, n, sha256('{SALT}' || suffix || ':' || upper(CASE WHEN g.entity_type = 'MATRICOLA' THEN original || ':' || key ELSE original END)) AS h FROM g JOIN part USING (entity_type)),
+limbs AS (SELECT *, {limbs} FROM hashed),
+once AS (SELECT *, {_divided([f"l{k}" for k in range(8)], _BIG, "a")} FROM limbs),
+twice AS (SELECT *, {_divided([f"aq{k}" for k in range(8)], _BIG, "b")} FROM once),
+number AS (SELECT *, ltrim(CAST({top.replace("t0", "bq0")} AS VARCHAR) || lpad(CAST(br7 AS VARCHAR), 27, '0') || lpad(CAST(ar7 AS VARCHAR), 27, '0'), '0') AS d, {letters} AS w, {fold(3)} AS third FROM twice),
+field AS (SELECT entity_type, key, original, k, CASE kind WHEN 'digits' THEN repeat(d, n)[1:n] WHEN 'letters' THEN w[1:n] ELSE '567'[CAST(third AS INTEGER) + 1] END AS v FROM number),
+bare AS (SELECT entity_type, key, original, max(CASE WHEN k = 0 THEN v END) AS v0, max(CASE WHEN k = 1 THEN v END) AS v1, string_agg(v, '' ORDER BY k) AS f FROM field GROUP BY entity_type, key, original),
+made AS (SELECT entity_type, key, original, CASE entity_type WHEN 'IBAN' THEN 'IT' || lpad(CAST(98 - CAST({to_digits("f || 'IT00'")} AS HUGEINT) % 97 AS VARCHAR), 2, '0') || f
+    WHEN 'CODICE_FISCALE' THEN f || chr(CAST({weights} % 26 + 65 AS INTEGER)) WHEN 'MATRICOLA' THEN CASE WHEN length(original) = 7 THEN v1 ELSE '' END || v0 END AS p FROM bare),
+checked AS (SELECT *, CASE entity_type WHEN 'IBAN' THEN CAST({to_digits("p[5:] || p[1:4]")} AS HUGEINT) % 97 = 1 ELSE regexp_full_match(p, '[A-Z]{{6}}[0-9]{{2}}[A-Z][0-9]{{2}}[A-Z][0-9]{{3}}[A-Z]') END AS valid FROM made)"""
+
+
+_LINKED = f"{_LINKABLE_SQL}, g AS (SELECT DISTINCT entity_type, upper(text) AS key, upper(text) AS original FROM found WHERE entity_type IN ('IBAN', 'CODICE_FISCALE'))"
+_STAFF_GROUPS = f"WITH s AS ({_STAFF_SQL}), g AS (SELECT entity_type, 'OCCURRENCE:' || file || ':' || line_no || ':' || col_no || ':' || text AS key, text AS original FROM s)"
+_PEOPLE = "(?:MARIO|LUCA)"
+_ROSTER_SQL = f"""SELECT file, 'NAME' AS entity_type, value AS text, CAST(line_start + strpos(line, value) - 1 AS INTEGER) AS start, CAST(line_start + strpos(line, value) - 1 + length(value) AS INTEGER) AS "end",
+    CAST(line_no AS INTEGER) AS line_no, CAST(strpos(line, value) AS INTEGER) AS col_no, CAST(CASE WHEN contains(value, ' ') THEN 0.92 ELSE 0.7 END AS DOUBLE) AS confidence, CASE WHEN contains(value, ' ') THEN 'employee_roster' ELSE 'watchlist' END AS source
+FROM (SELECT *, unnest(regexp_extract_all(split_part(line, ' MAIL ', 1), '\\b(?:GIULIA BIANCHI|LUCA CONTI|{_PEOPLE})\\b', 0, 'i')) AS value FROM lines WHERE line LIKE '      * %' OR line LIKE '%''%') WHERE value <> ''"""
+_TOKENS = "[t FOR t IN regexp_extract_all(regexp_replace(line, '[567]?[0-9]{6}', ' ', 'g'), '[A-Za-z][A-Za-z''-]*', 0) IF upper(t) NOT IN (" + ", ".join(f"'{w}'" for w in ROSTER_STOPWORDS) + ")]"
+
+
 def oracle_sql() -> dict[str, str]:
     shown = "coalesce(nullif(c.replacement, ''), '')"
     mapped = f"""{_LINKABLE_SQL}, {_group("(SELECT * FROM found WHERE entity_type IN ('EMAIL', 'PHONE'))")},
@@ -316,7 +433,8 @@ SELECT file, CASE WHEN m IS NULL THEN 'SUSPECTED_MATRICOLA' ELSE 'MATRICOLA' END
         "watchlist_names": f"WITH {corpus.LINES_SQL} {_NAMES_SQL}",
         "roster_variants": f"""WITH r AS (SELECT {_ROSTER_LINE} AS line FROM customer), v AS (
 SELECT 'matricula' AS kind, regexp_extract(line, '[567][0-9]{{6}}', 0) AS value FROM r
-UNION ALL SELECT 'name', unnest(CASE WHEN line LIKE '%Mario%' THEN ['Mario Rossi', 'Rossi Mario', 'M Rossi'] WHEN line LIKE '%Petra%' THEN ['Petra Van Ness', 'P Van Ness'] WHEN line = 'Wu' THEN ['Wu'] ELSE [] END) FROM r)
+UNION ALL SELECT 'name', unnest(list_distinct(CASE WHEN len(t) = 0 THEN [] WHEN len(t) = 1 THEN CASE WHEN length(t[1]) >= 2 THEN t ELSE [] END
+    ELSE [x FOR x IN [array_to_string(t, ' '), CASE WHEN len(t) = 2 THEN t[2] || ' ' || t[1] END, CASE WHEN length(t[1]) > 2 THEN t[1][1] || ' ' || array_to_string(t[2:], ' ') END] IF x IS NOT NULL] END)) FROM (SELECT {_TOKENS} AS t FROM r WHERE line NOT LIKE '#%'))
 SELECT kind, value, count(*) AS n FROM v WHERE value <> '' GROUP BY kind, value""",
         "unknown_name_candidates": _unknown_sql(),
         "overlaps_resolved": _overlaps_sql(),
@@ -324,12 +442,30 @@ SELECT kind, value, count(*) AS n FROM v WHERE value <> '' GROUP BY kind, value"
         "map_last_wins": _CHOSEN_SQL,
         "replacement_map": f"""{mapped} SELECT CAST(n.i AS INTEGER) AS index, n.entity_type, n.key, original, CASE n.entity_type WHEN 'EMAIL' THEN 'user' || CASE WHEN i < 1000 THEN lpad(cast(i as varchar), 3, '0') ELSE cast(i as varchar) END || '@example.invalid' ELSE repeat('0', greatest(length(original), 8)) END AS suggested_replacement,
 {shown} AS replacement, hits FROM numbered n LEFT JOIN ({_CHOSEN_SQL}) c ON c.entity_type = n.entity_type AND c.key = n.key""",
-        "pseudonym_checks": f"""{_LINKABLE_SQL} SELECT DISTINCT entity_type, upper(text) AS key, CAST(CASE entity_type WHEN 'IBAN' THEN 27 ELSE 16 END AS INTEGER) AS size, true AS valid FROM found WHERE entity_type IN ('IBAN', 'CODICE_FISCALE')""",
+        "pseudonym_iban": f"{_pseudonym_sql(_LINKED, ('IBAN',))} SELECT key, original, p AS suggested_replacement FROM made WHERE entity_type = 'IBAN'",
+        "pseudonym_cf": f"{_pseudonym_sql(_LINKED, ('CODICE_FISCALE',))} SELECT key, original, p AS suggested_replacement FROM made WHERE entity_type = 'CODICE_FISCALE'",
+        "pseudonym_matricola": f"{_pseudonym_sql(_STAFF_GROUPS, ('MATRICOLA',))} SELECT key, original, p AS suggested_replacement FROM made",
+        "pseudonym_checks": f"{_pseudonym_sql(_LINKED, ('IBAN', 'CODICE_FISCALE'))} SELECT entity_type, key, CAST(length(p) AS INTEGER) AS size, valid FROM checked",
+        "roster_names": f"WITH {corpus.LINES_SQL} {_ROSTER_SQL}",
+        "occurrence_keys": f"""WITH {corpus.LINES_SQL}, staff AS ({_STAFF_SQL}), every AS ({_NAMES_SQL} UNION ALL SELECT * FROM staff)
+SELECT entity_type, 'OCCURRENCE:' || file || ':' || line_no || ':' || col_no || ':' || upper(text) AS key, text AS original, CAST(1 AS BIGINT) AS hits, file || ':' || line_no AS locations FROM every""",
+        "names_joined": f"""WITH r AS (SELECT {', '.join(_JOINT)} FROM orders), j AS (SELECT *, regexp_full_match(text, 'MARIO[ \\t]+ROSSI') AS one FROM r)
+SELECT id, CAST(0 AS INTEGER) AS start, CAST(CASE WHEN one THEN length(text) ELSE 5 END AS INTEGER) AS "end", CAST(CASE WHEN one THEN 0.92 ELSE 0.7 END AS DOUBLE) AS confidence, CASE WHEN one AND NOT alike THEN 'mixed' ELSE 'watchlist' END AS source FROM j
+UNION ALL SELECT id, CAST(length(text) - 5 AS INTEGER), CAST(length(text) AS INTEGER), CAST(0.92 AS DOUBLE), CASE WHEN alike THEN 'watchlist' ELSE 'employee_roster' END FROM j WHERE NOT one""",
+        "texts_decoded": f"SELECT c_custkey, replace(replace({_RAW}, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM customer",
+        "report_order": f"{_LINKABLE_SQL} SELECT regexp_extract(file, '^(.*)/[^/]*$', 1) AS folder, file, CAST(row_number() OVER (PARTITION BY file ORDER BY start) AS INTEGER) AS place, entity_type, text FROM found WHERE entity_type <> 'CODICE_FISCALE'",
+        "several_hits": f"""WITH t AS (SELECT cast(o_orderkey as varchar) AS file, replace({_SEVERAL}, chr(13) || chr(10), chr(10)) AS body FROM orders),
+v AS (SELECT file, body, unnest([{{'e': 'MATRICOLA', 'p': 0, 'x': '5[0-9]{{6}}'}}, {{'e': 'MATRICOLA', 'p': 0, 'x': 'MATR: [0-9]{{6}}'}}, {{'e': 'PHONE', 'p': 5, 'x': 'tel: [0-9]+'}}, {{'e': 'EMAIL', 'p': 0, 'x': 'a@b[0-9][.]it'}}, {{'e': 'EMAIL', 'p': 0, 'x': 'c[.]d@e[.]org'}}]) AS w FROM t),
+m AS (SELECT file, body, w.e AS entity_type, regexp_extract(body, w.x, 0) AS whole FROM v),
+n AS (SELECT file, body, entity_type, regexp_replace(whole, '^(MATR: |tel: )', '') AS text, strpos(body, whole) - 1 + length(whole) AS "end" FROM m),
+o AS (SELECT *, "end" - length(text) AS start FROM n)
+SELECT file, entity_type, text, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", CAST(CASE WHEN start > strpos(body, chr(10)) THEN 2 ELSE 1 END AS INTEGER) AS line_no,
+    CAST(CASE WHEN start > strpos(body, chr(10)) THEN start - strpos(body, chr(10)) ELSE start END + 1 AS INTEGER) AS col_no, body[greatest(start - 75, 0) + 1:start] || '[[' || text || ']]' || body["end" + 1:"end" + 75] AS context FROM o""",
         "anonymized_text": f"""{_DOCS_EMAIL}, {_group('found')}, numbered AS (SELECT key, row_number() OVER (ORDER BY upper(original)) AS i FROM keyed),
 swap AS (SELECT f.file, f.body, f.start AS s, f."end" AS e, 'user' || CASE WHEN i < 1000 THEN lpad(cast(i as varchar), 3, '0') ELSE cast(i as varchar) END || '@example.invalid' AS r,
     coalesce(lag(f."end") OVER (PARTITION BY f.file ORDER BY f.start), 0) AS since, lead(f.start) OVER (PARTITION BY f.file ORDER BY f.start) IS NULL AS last FROM found f JOIN numbered n ON n.key = upper(f.text))
 SELECT file, string_agg(body[since + 1:s] || r || CASE WHEN last THEN body[e + 1:] ELSE '' END, '' ORDER BY s) AS text, CAST(count(*) AS INTEGER) AS replacements FROM swap GROUP BY file""",
         "detector_coverage": f"""SELECT lang, source, count(*) AS texts, CAST(sum(coalesce(len(regexp_extract_all(text, '{_WORD_EMAIL}', 0, 'i')), 0)) AS BIGINT) AS emails, CAST(grouping(lang, source) AS INTEGER) AS level FROM documents GROUP BY ROLLUP (lang, source)""",
-        "names_report": f"""WITH {corpus.LINES_SQL} SELECT text AS name, 'SRC' AS folder, file, line_no AS line, col_no AS "column", '0.7000' AS confidence, source FROM ({_NAMES_SQL})""",
+        "names_report": f"""WITH {corpus.LINES_SQL} SELECT text AS name, regexp_extract(file, '^(.*)/[^/]*$', 1) AS folder, file, line_no AS line, col_no AS "column", printf('%.4f', confidence) AS confidence, source FROM ({_NAMES_SQL})""",
         "finding_totals": totals,
     }

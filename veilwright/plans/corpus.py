@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwright.sources.shared import spread
+
 _KEY = "cast(o_orderkey as varchar(20))"
 _SEVEN = "lpad(cast(o_orderkey % 1000000 as varchar(20)), 6, '0')"
 FIRST, LAST = ("MARIO", "LUCA", "GIULIA", "Francesca"), ("ROSSI", "BIANCHI", "ESPOSITO", "De Luca", "CONTI")
@@ -47,5 +49,5 @@ LINES_SQL = f"""lines AS (SELECT {FILE} AS file, {LINE} AS line,
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, text."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.struct("o_orderkey", F.expr(LINE).alias("line")).alias("x"))
-    texts = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    texts = orders.repartition(spread(spark), "o_custkey").groupBy("o_custkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return texts.select(F.expr(FILE).alias("file"), F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("text"))

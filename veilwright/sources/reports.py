@@ -6,7 +6,7 @@ import csv
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from veilwright.fixed import FINDING_FIELDS, MAP_FIELDS, NAME_FIELDS
@@ -17,8 +17,12 @@ def report_rows(findings: DataFrame) -> DataFrame:
     return findings.withColumnsRenamed({"line_no": "line", "col_no": "column"}).orderBy("file", "start", "end").select(*FINDING_FIELDS)
 
 
+def folder_of(file: Column) -> Column:
+    return F.regexp_extract(file, "^(.*)/[^/]*$", 1)
+
+
 def name_rows(findings: DataFrame) -> DataFrame:
-    folder = F.regexp_extract("file", "^(.*)/[^/]*$", 1)
+    folder = folder_of(F.col("file"))
     own = findings.filter("entity_type = 'NAME'").orderBy("file", "start", "end")
     return own.select(F.col("text").alias("name"), folder.alias("folder"), "file", F.col("line_no").alias("line"), F.col("col_no").alias("column"), F.format_string("%.4f", "confidence").alias("confidence"), "source", "context")
 

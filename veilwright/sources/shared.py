@@ -41,6 +41,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions for rows that are few bytes but much work: adaptive execution, which goes by bytes, would merge them into one task."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it again."""
     spark = df.sparkSession
