@@ -72,15 +72,27 @@ def test_cuts_cost_least(steps):
     at = np.concatenate([[0], np.cumsum([x for x, _ in steps])])
     penalty = np.array([0, *(c for _, c in steps[:-1]), 0])
 
-    def cost(ends):
-        total, begin = 0, 0
-        for j in ends:
-            if at[j] - begin > 12:
-                return float("inf")
-            total += 12 - (at[j] - begin) + penalty[j]
-            begin = at[j]
-        return total
+    free = {1, 2, 4, 8, 12}
+    pairs_of = {a + b for a in free for b in free}
+
+    def stretch(n):
+        """One window, padded to 12 or not, or two without padding."""
+        one = packing.WINDOW_COST + (0 if n in free else 12 - n) if n <= 12 else float("inf")
+        return min(one, 2 * packing.WINDOW_COST + packing.INNER_COST if n in pairs_of else float("inf"))
+
+    def cost(places):
+        return sum(stretch(b - a) for a, b in zip([0, *places], places, strict=False))
 
     last = len(at) - 1
-    best = min(cost([j for j in range(1, last) if mask >> j & 1] + [last]) for mask in range(0, 1 << last, 2))
-    assert cost(packing.plan_cuts(at, penalty, 12).tolist()) == best
+    of = {int(a): int(c) for a, c in zip(at, penalty, strict=True)}
+    best = min(cost(own) + sum(of[p] for p in own) for mask in range(0, 1 << last, 2) for own in [[int(at[j]) for j in range(1, last) if mask >> j & 1] + [int(at[last])]])
+    ends = packing.plan_cuts(at, penalty, 12).tolist()
+    inner = [e for e in ends if e not in of]
+    windows = sum(packing.WINDOW_COST + (0 if b - a in free else 12 - (b - a)) for a, b in zip([0, *ends], ends, strict=False))
+    assert all(0 < b - a <= 12 for a, b in zip([0, *ends], ends, strict=False))
+    assert windows + sum(of.get(e, 0) for e in ends) + packing.INNER_COST * len(inner) <= best
+
+
+def test_no_padding_where_one_cut_saves_it():
+    at, penalty = np.array([0, 1024, 2049, 4097]), np.zeros(4, np.int64)
+    assert packing.plan_cuts(at, penalty, 2048).tolist() == [2048, 2049, 4097]

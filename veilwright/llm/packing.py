@@ -2,14 +2,20 @@
 
 Documents are dealt out by ranges of their id and keep their order. Within a segment the possible
 cuts are document ends (free), sentence ends (a small penalty) and, where no such end comes for
-``STRIDE`` tokens, places inside a sentence (a larger penalty). With ``best[j]`` the least cost of all
-windows up to cut ``j``::
+``STRIDE`` tokens, places inside a sentence (a larger penalty). A window of ``size`` tokens or of a power of two has no
+padding, any other is padded to ``size``; each window costs ``WINDOW_COST``, so that of equal plans the one with fewer
+windows is taken. With ``best[j]`` the least cost of all windows up to cut ``j``::
 
-    best[j] = penalty[j] + min over cuts i with 0 < at[j] - at[i] <= size of best[i] + size - (at[j] - at[i])
+    best[j] = penalty[j] + min of
+        best[i] + size - (at[j] - at[i])    over cuts i with 0 < at[j] - at[i] <= size
+        best[i]                             where at[j] - at[i] needs no padding
+        best[i] + INNER_COST                where at[j] - at[i] is the sum of two such lengths
 
-The padding is linear in ``at[i]``, so a monotone queue of ``best[i] + at[i]`` gives each minimum in
-constant amortised time. A window whose length is a power of two needs no padding: a segment's last
-window is cut into such lengths where the cuts cost less than its padding.
+The padding is linear in ``at[i]``, so a monotone queue of ``best[i] + at[i]`` gives the first minimum in
+constant amortised time; the others are a fixed number of lengths, looked up by place. The last line cuts at any token,
+wherever such a cut saves padding. The end of a segment is cut into powers of two where that costs less than its padding.
+
+A segment and a task end with a window; where the next document would have shared it, it is padded or cut as just told.
 
 Defined cases: a null or empty text is its end token alone; a null id sorts first; rows that share
 an id stay side by side; an empty table gives no rows; further columns are ignored.
@@ -31,30 +37,61 @@ from pyspark.sql import functions as F
 from veilwright.llm import _io, tokenizer
 from veilwright.llm.wordtable import text_slices
 
-SIZE, STRIDE, SENTENCE_COST, INNER_COST = 2048, 256, 4, 48
+SIZE, STRIDE, SENTENCE_COST, INNER_COST, WINDOW_COST = 2048, 256, 4, 48, 1
+
+
+@lru_cache(maxsize=8)
+def exact_lengths(size: int) -> tuple[tuple[int, int], ...]:
+    """(length, first window): stretches that one window (first: 0) or two fill without padding."""
+    free = sorted({size, *(1 << k for k in range(size.bit_length()))})
+    out = {a + b: max(a, b) for a in free for b in free}
+    return tuple(sorted((out | dict.fromkeys(free, 0)).items()))
+
+
+def exact_steps(at: np.ndarray, size: int) -> tuple[list[int], list[int], list[int]]:
+    """By place, from where it is reached without padding: where each place's own begin, the places, and the first window."""
+    number = np.full(int(at[-1]) + 1, -1, np.int32)
+    number[at] = np.arange(len(at), dtype=np.int32)
+    to, source, inner = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for length, first in exact_lengths(size):
+        j = np.arange(int(np.searchsorted(at, length)), len(at))
+        i = number[at[j] - length]
+        to.append(j[i >= 0])
+        source.append(i[i >= 0])
+        inner.append(np.full(len(source[-1]), first, np.int32))
+    to, source, inner = np.concatenate(to), np.concatenate(source), np.concatenate(inner)
+    order = np.argsort(to, kind="stable")
+    return np.searchsorted(to[order], np.arange(len(at) + 1)).tolist(), source[order].tolist(), inner[order].tolist()
 
 
 def plan_cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> np.ndarray:
-    """Indexes into ``at`` (ascending, from 0) where windows end, of least total cost."""
+    """Where windows end, of least total cost. ``at``: possible places, ascending from 0."""
     places, costs = at.tolist(), penalty.tolist()
-    back = [0] * len(places)
+    head, source, inner = exact_steps(at, size)
+    back, middle, best = [0] * len(places), [0] * len(places), [0] * len(places)
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # value best + at, place, index
-    last = len(places) - 1
     for j in range(1, len(places)):
         p = places[j]
         low = p - size
         while queue[0][1] < low:
             queue.popleft()
         value, _, i = queue[0]
-        back[j] = i
-        if j < last:
-            v = value + size + costs[j]  # best[j] + at[j]
-            while queue and queue[-1][0] >= v:
-                queue.pop()
-            queue.append((v, p, j))
-    out, j = [], last
+        value, cut = value + size - p + WINDOW_COST, 0
+        for k in range(head[j], head[j + 1]):
+            v = best[source[k]] + (INNER_COST + 2 * WINDOW_COST if inner[k] else WINDOW_COST)
+            if v < value:
+                value, i, cut = v, source[k], inner[k]
+        back[j], middle[j] = i, cut
+        best[j] = value = value + costs[j]
+        value += p
+        while queue and queue[-1][0] >= value:
+            queue.pop()
+        queue.append((value, p, j))
+    out, j = [], len(places) - 1
     while j:
-        out.append(j)
+        out.append(places[j])
+        if middle[j]:
+            out.append(places[back[j]] + middle[j])
         j = back[j]
     return np.array(out[::-1], np.int64)
 
@@ -102,7 +139,7 @@ def sentence_ends(path: str) -> np.ndarray:
 def pack_segment(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, sentence: np.ndarray, size: int, first: int) -> tuple[dict[str, np.ndarray], int]:
     """Pieces of one segment, and the next window's number. ``at``: offsets of documents and the end."""
     place, cost = candidates(ids, at[1:], sentence)
-    ends = split_tail(place[plan_cuts(place, cost, size)], size)
+    ends = split_tail(plan_cuts(place, cost, size), size)
     edges = np.union1d(at, ends)
     start, length = edges[:-1], np.diff(edges)
     doc = np.searchsorted(at, start, "right") - 1
@@ -152,8 +189,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SIZE, ke
     pieces = _io.stash(ordered.mapInArrow(_io.tidy(work), columns), "pieces")
     counts = pieces.groupBy("pid").agg((F.max("window") + 1).alias("n"))
     past = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    base = counts.withColumn("base", F.coalesce(F.sum("n").over(past), F.lit(0).cast("long"))).select("pid", "base")
-    out = pieces.join(F.broadcast(base), "pid").withColumn("sequence_id", F.col("base") + F.col("window"))
+    base = _io.stash(counts.withColumn("base", F.coalesce(F.sum("n").over(past), F.lit(0).cast("long"))).select("pid", "base"), "bases")
+    out = pieces.join(base, "pid").withColumn("sequence_id", F.col("base") + F.col("window"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else []))
 
 
