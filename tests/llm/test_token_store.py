@@ -21,26 +21,64 @@ def expected(text: str) -> tuple[int, int]:
 @pytest.mark.parametrize("which", ["edge", "smoke_docs"])
 def test_read_back_equals_library(which, request):
     docs = request.getfixturevalue(which)
-    rows = token_store.write_store(docs, PATH, 2, shard_tokens=3000).documents().collect()
+    rows = token_store.write_store(docs, PATH, 2, shard_tokens=3000).documents(docs, step_tokens=5000).collect()
     assert order((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == order((k, *expected(t)) for k, t in pairs(docs))
     rows.sort(key=lambda r: r.start)
     at = 0
     for r in rows:
         assert r.start == at
         at += r.n_tokens
-    keys = [token_store.NULL_KEY if r.doc_id is None else r.doc_id for r in rows]
+    keys = [(r.doc_id is not None, r.doc_id or 0) for r in rows]
     assert keys == sorted(keys)
 
 
+def test_read_back_is_spread(smoke_docs):
+    store = token_store.write_store(smoke_docs, PATH, 2, shard_tokens=3000)
+    assert store.shards > 8 and store.documents(smoke_docs).rdd.getNumPartitions() == store.shards
+
+
+def found(rows):
+    return order((r.doc_id, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in rows)
+
+
 def test_lookup(spark, edge):
-    store = token_store.write_store(edge, PATH, 2, shard_tokens=500)
-    want = spark.createDataFrame([(5,), (19,), (999,), (None,)], "doc_id long")
-    got = [(r.doc_id, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in store.lookup(want).collect()]
-    assert order(got) == order((k, *expected(t)) for k, t in pairs(edge) if k in (5, 19, None))
+    """Strangers, null, repeated keys, and the extreme keys beside null."""
+    low, high = -(2**63), 2**63 - 1
+    docs = edge.select("doc_id", "text").unionByName(spark.createDataFrame([(low, "the least key"), (high, "the largest key"), (high, "again")], "doc_id long, text string"))
+    store = token_store.write_store(docs, PATH, 2, shard_tokens=500)
+    ask = lambda *keys: store.lookup(spark.createDataFrame([(k,) for k in keys], "doc_id long")).collect()
+    want = lambda *keys: order((k, *expected(t)) for k, t in pairs(docs) if k in keys)
+    assert found(ask(5, 19, 999, None, -7)) == want(5, 19, None)
+    assert found(ask(low)) == want(low) and len(ask(None)) == 2
+    assert found(ask(high, high, 11)) == want(high, 11)
+    assert ask(999) == []
+
+
+def test_a_lookup_reads_one_entry(spark, tmp_path):
+    docs = spark.range(5000).selectExpr("id * 3 AS doc_id", "concat('word ', id) AS text").coalesce(1)
+    store = token_store.write_store(docs, PATH, 2, folder=f"file://{tmp_path}")
+    (row,) = spark.read.parquet(store.manifest).collect()
+    shard = token_store.Shard(row.file)
+    read = []
+    real = shard.file
+    shard.file = type("Counted", (), {"read_at": lambda self, n, at: read.append(n) or real.read_at(n, at)})()
+    ((_, _, size, ids),) = shard.fetch(shard.find(np.array([300, 301], np.int64)), 1000)
+    assert len(ids) == size[0] == expected("word 100")[0]
+    assert sum(read) <= 2 * token_store.ENTRY.itemsize + 8 + 2 * len(ids)
 
 
 def test_empty(empty):
-    assert token_store.write_store(empty, PATH, 2).documents().collect() == []
+    assert token_store.write_store(empty, PATH, 2).documents(empty).collect() == []
+
+
+def test_long_words_do_not_pile_up():
+    from veilwright.llm.wordtable import WordTable
+    import pyarrow as pa
+
+    table = WordTable(lambda raw: [len(raw)], most=10_000)
+    for k in range(50):
+        ids, _ = table.encode_rows(pa.array([f"{k:08d}" + "x" * 1000 + f" {k:08d}" + "y" * 1000]), lambda t: [0])
+        assert ids.tolist() == [1008, 1009] and table.long_bytes <= 12_100
 
 
 @settings(max_examples=30, deadline=None)

@@ -56,11 +56,11 @@ class WordTable:
     """Ids by word.
 
     ``encode``: the ids of one word with the white-space byte before it (none at a text's start).
-    ``limit``: words held; the table is emptied beyond it, which costs time only.
+    ``limit``: words held, ``most``: ids and bytes of long words held; the table is emptied beyond them, which costs time only.
     """
 
-    def __init__(self, encode: Callable[[bytes], Sequence[int]], dtype: str = "<u2", limit: int = 1_200_000, keep_white: bool = True):
-        self.encode, self.dtype, self.limit, self.keep_white = encode, dtype, limit, keep_white
+    def __init__(self, encode: Callable[[bytes], Sequence[int]], dtype: str = "<u2", limit: int = 1_200_000, keep_white: bool = True, most: int = 16 << 20):
+        self.encode, self.dtype, self.limit, self.keep_white, self.most = encode, dtype, limit, keep_white, most
         self._clear()
 
     def _clear(self) -> None:
@@ -70,7 +70,7 @@ class WordTable:
         self.slot = np.full(1 << bits, -1, np.int32)
         self.lo, self.hi, self.meta = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint16)
         self.at, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.pool, self.filled, self.count, self.long = np.zeros(1 << 14, self.dtype), 0, 0, {}
+        self.pool, self.filled, self.count, self.long, self.long_bytes = np.zeros(1 << 14, self.dtype), 0, 0, {}, 0
 
     def _add(self, ids: Sequence[int]) -> int:
         k, e = self.count, self.filled + len(ids)
@@ -130,7 +130,7 @@ class WordTable:
 
     def entries(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray) -> np.ndarray:
         """The entry of each word; unseen words are encoded and kept."""
-        if self.count + len(self.long) > self.limit:
+        if self.count + len(self.long) > self.limit or self.filled > self.most or self.long_bytes > self.most:
             self._clear()
         out = np.full(len(starts), -1, np.int64)
         size = ends - starts
@@ -167,6 +167,7 @@ class WordTable:
             word = (bytes([before[i]]) if before[i] else b"") + buf[starts[i] : ends[i]].tobytes()
             if word not in self.long:
                 self.long[word] = self._add(self.encode(word))
+                self.long_bytes += len(word)
             out[i] = self.long[word]
         return out
 
