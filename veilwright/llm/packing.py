@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -48,51 +48,80 @@ def exact_lengths(size: int) -> tuple[tuple[int, int], ...]:
     return tuple(sorted((out | dict.fromkeys(free, 0)).items()))
 
 
-def exact_steps(at: np.ndarray, size: int) -> tuple[list[int], list[int], list[int]]:
-    """By place, from where it is reached without padding: where each place's own begin, the places, and the first window."""
-    number = np.full(int(at[-1]) + 1, -1, np.int32)
-    number[at] = np.arange(len(at), dtype=np.int32)
-    to, source, inner = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for length, first in exact_lengths(size):
-        j = np.arange(int(np.searchsorted(at, length)), len(at))
-        i = number[at[j] - length]
-        to.append(j[i >= 0])
-        source.append(i[i >= 0])
-        inner.append(np.full(len(source[-1]), first, np.int32))
-    to, source, inner = np.concatenate(to), np.concatenate(source), np.concatenate(inner)
-    order = np.argsort(to, kind="stable")
-    return np.searchsorted(to[order], np.arange(len(at) + 1)).tolist(), source[order].tolist(), inner[order].tolist()
+class Steps:
+    """Places from which a place is reached without padding, by one window or by two. Held as arrays, read as lists ``PART`` places at a time."""
+
+    PART = 4096
+
+    def __init__(self, at: np.ndarray, number: np.ndarray, lengths: Sequence[tuple[int, int]]):
+        to, source, first = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int16)]
+        for length, begin in lengths:
+            j = np.arange(int(np.searchsorted(at, length)), len(at), dtype=np.int32)
+            i = number[at[j] - length]
+            to.append(j[i >= 0])
+            source.append(i[i >= 0])
+            first.append(np.full(len(source[-1]), begin, np.int16))
+        to, source, first = np.concatenate(to), np.concatenate(source), np.concatenate(first)
+        order = np.argsort(to, kind="stable").astype(np.int32)
+        self.source, self.first = source[order], first[order]
+        self.head = np.searchsorted(to[order], np.arange(len(at) + 1))
+
+    def part(self, k: int) -> tuple[list[int], list[int], list[int]]:
+        """For places ``k`` and on: where each one's steps begin in the two lists, from where they come, and the first window's length."""
+        head = self.head[k : k + self.PART + 1]
+        return (head - head[0]).tolist(), self.source[head[0] : head[-1]].tolist(), self.first[head[0] : head[-1]].tolist()
 
 
 def plan_cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> np.ndarray:
-    """Where windows end, of least total cost. ``at``: possible places, ascending from 0."""
-    places, costs = at.tolist(), penalty.tolist()
-    head, source, inner = exact_steps(at, size)
-    back, middle, best = [0] * len(places), [0] * len(places), [0] * len(places)
+    """Where windows end, of least total cost. ``at``: possible places, ascending from 0.
+
+    Steps of two windows cost ``INNER_COST`` more, so they are only looked at where the best of the places that they can come
+    from leaves them a chance.
+    """
+    number = np.full(int(at[-1]) + 1, -1, np.int32)
+    number[at] = np.arange(len(at), dtype=np.int32)
+    one, two = (Steps(at, number, [x for x in exact_lengths(size) if bool(x[1]) == several]) for several in (False, True))
+    del number
+    places, costs, reach, more = at.tolist(), penalty.tolist(), 2 * size, INNER_COST + 2 * WINDOW_COST
+    back, middle, best = np.zeros(len(places), np.int32), np.zeros(len(places), np.int16), [0] * len(places)
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # value best + at, place, index
-    for j in range(1, len(places)):
-        p = places[j]
-        low = p - size
-        while queue[0][1] < low:
-            queue.popleft()
-        value, _, i = queue[0]
-        value, cut = value + size - p + WINDOW_COST, 0
-        for k in range(head[j], head[j + 1]):
-            v = best[source[k]] + (INNER_COST + 2 * WINDOW_COST if inner[k] else WINDOW_COST)
-            if v < value:
-                value, i, cut = v, source[k], inner[k]
-        back[j], middle[j] = i, cut
-        best[j] = value = value + costs[j]
-        value += p
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, p, j))
+    least: deque[tuple[int, int]] = deque([(0, 0)])  # best of the last 2 * size ids, place
+    for block in range(0, len(places), Steps.PART):
+        head1, source1, _ = one.part(block)
+        head2, source2, first2 = two.part(block)
+        for j in range(max(1, block), min(block + Steps.PART, len(places))):
+            p = places[j]
+            low = p - size
+            while queue[0][1] < low:
+                queue.popleft()
+            value, _, i = queue[0]
+            value, cut = value + size - p + WINDOW_COST, 0
+            k = j - block
+            for x in source1[head1[k] : head1[k + 1]]:
+                if best[x] + WINDOW_COST < value:
+                    value, i = best[x] + WINDOW_COST, x
+            low = p - reach
+            while least[0][1] < low:
+                least.popleft()
+            if least[0][0] + more < value:
+                for n in range(head2[k], head2[k + 1]):
+                    if best[source2[n]] + more < value:
+                        value, i, cut = best[source2[n]] + more, source2[n], first2[n]
+            back[j], middle[j] = i, cut
+            best[j] = value = value + costs[j]
+            while least and least[-1][0] >= value:
+                least.pop()
+            least.append((value, p))
+            value += p
+            while queue and queue[-1][0] >= value:
+                queue.pop()
+            queue.append((value, p, j))
     out, j = [], len(places) - 1
     while j:
         out.append(places[j])
         if middle[j]:
-            out.append(places[back[j]] + middle[j])
-        j = back[j]
+            out.append(places[back[j]] + int(middle[j]))
+        j = int(back[j])
     return np.array(out[::-1], np.int64)
 
 
@@ -150,7 +179,7 @@ def pack_segment(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, sentence: np
     return {"doc": keys[doc], "start": start - at[doc], "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": np.diff(at)[doc], "window": first + window, "offset": start - begin}, first + len(ends)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SIZE, key: str = "doc_id", text: str = "text", segment_tokens: int = 8_000_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SIZE, key: str = "doc_id", text: str = "text", segment_tokens: int = 4_000_000, with_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     A task packs its range of documents in segments of about ``segment_tokens``, which bounds its
