@@ -9,7 +9,7 @@ windows is taken. With ``best[j]`` the least cost of all windows up to cut ``j``
     best[j] = penalty[j] + min of
         best[i] + size - (at[j] - at[i])    over cuts i with 0 < at[j] - at[i] <= size
         best[i]                             where at[j] - at[i] needs no padding
-        best[i] + INNER_COST                where at[j] - at[i] is the sum of two such lengths
+        best[i] + INNER_COST                where at[j] - at[i] is the sum of two such lengths, the first of size / 2 or more
 
 The padding is linear in ``at[i]``, so a monotone queue of ``best[i] + at[i]`` gives the first minimum in
 constant amortised time; the others are a fixed number of lengths, looked up by place. The last line cuts at any token,
@@ -42,9 +42,9 @@ SIZE, STRIDE, SENTENCE_COST, INNER_COST, WINDOW_COST = 2048, 256, 4, 48, 1
 
 @lru_cache(maxsize=8)
 def exact_lengths(size: int) -> tuple[tuple[int, int], ...]:
-    """(length, first window): stretches that one window (first: 0) or two fill without padding."""
+    """(length, first window): stretches that one window (first: 0) or two, the first of half of ``size`` or more, fill without padding."""
     free = sorted({size, *(1 << k for k in range(size.bit_length()))})
-    out = {a + b: max(a, b) for a in free for b in free}
+    out = {a + b: a for a in free if 2 * a >= size for b in free if b <= a}
     return tuple(sorted((out | dict.fromkeys(free, 0)).items()))
 
 
