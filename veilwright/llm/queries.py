@@ -34,6 +34,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from veilwright.llm import exact_dedup, url_filter
+    from veilwright.llm import exact_dedup, suffix_dedup, url_filter
 
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_url_filter": url_filter.OP3_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_url_filter": url_filter.OP3_SQL, "op5_suffix_dedup": suffix_dedup.OP5_SQL}

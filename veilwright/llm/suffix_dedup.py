@@ -510,3 +510,17 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 6
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(_io.read(spark, sf_dir, "documents"))
+
+
+#: A self-join of all windows of 50 bytes, as hexadecimal text; a text is cut into pieces first, so that windows are not counted from its start.
+OP5_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT *, length(h) // 2 AS n FROM d),
+p AS (SELECT r, doc_id, n, k, h[400 * k + 1:400 * k + 498] AS piece FROM (SELECT *, unnest(range(0, (n + 150) // 200)) AS k FROM s)),
+w AS (SELECT r, doc_id, 200 * k + j AS a, piece[2 * j + 1:2 * j + 100] AS x FROM (SELECT *, unnest(range(0, least(200, length(piece) // 2 - 49))) AS j FROM p WHERE length(piece) >= 100)),
+f AS (SELECT x, min(coalesce(doc_id, 9223372036854775807)) AS first FROM w GROUP BY x),
+hit AS (SELECT r, a FROM w JOIN f USING (x) WHERE first < coalesce(doc_id, 9223372036854775807)),
+mark AS (SELECT r, a, CASE WHEN a <= lag(a) OVER (PARTITION BY r ORDER BY a) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+isle AS (SELECT r, min(a) AS b, max(a) + 50 AS e FROM (SELECT r, a, sum(new) OVER (PARTITION BY r ORDER BY a) AS k FROM mark) GROUP BY r, k),
+gap AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS since FROM isle),
+gone AS (SELECT r, sum(e - b) AS removed, count(*) AS spans, max(e) AS last, string_agg(h[2 * since + 1:2 * b], '' ORDER BY b) AS kept FROM gap JOIN s USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || h[2 * coalesce(last, 0) + 1:])) AS kept_sha256 FROM s LEFT JOIN gone USING (r)"""
