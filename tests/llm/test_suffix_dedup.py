@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 
 from tests.llm.conftest import order, pairs, prose
 from veilwright.llm import suffix_dedup
-from veilwright.llm.induced import suffix_array
+from veilwright.llm.induced import sorted_suffixes, suffix_array
 
 LAST = 2**63 - 1
 
@@ -109,3 +110,38 @@ def test_suffix_array_and_common_prefixes(values, limit, depth):
     for k in range(1, len(keys)):  # past the end of the text zeros may or may not count
         own = shared(keys[k], keys[k - 1])
         assert common[k] == own or own >= min(ends[k], ends[k - 1]) <= common[k] <= depth
+
+
+@pytest.mark.parametrize("limit", [1000, 100_000])
+def test_runs_of_leftmost_suffixes_are_merged(limit):
+    r = np.random.default_rng(limit)
+    text = np.concatenate([r.integers(97, 101, 40_000, dtype=np.uint8)] * 2 + [np.full(3000, 97, np.uint8), r.integers(0, 256, 20_000, dtype=np.uint8)])
+    small, large = suffix_array(text, 50, limit), suffix_array(text, 50)
+    raw = text.tobytes() + bytes(50)
+    assert [raw[k : k + 50] for k in small[0].tolist()] == [raw[k : k + 50] for k in large[0].tolist()]
+    keys = [raw[k : k + 50] for k in small[0].tolist()]
+    for k in range(1, len(keys)):
+        if max(small[0][k], small[0][k - 1]) < len(text) - 50:
+            assert small[1][k] == shared(keys[k], keys[k - 1])
+
+
+def test_a_shard_far_larger_than_memory(tmp_path):
+    """Six MB of text in a mapped file, with a limit of a quarter MB: what is allocated does not follow the text's size."""
+    path = tmp_path / "text"
+    r = np.random.default_rng(4)
+    words_ = [bytes(r.integers(97, 123, int(n), dtype=np.uint8)) for n in r.integers(2, 9, 3000)]
+    with path.open("wb") as f:
+        for _ in range(6):
+            f.write(b" ".join(words_[k] for k in r.integers(0, len(words_), 170_000))[: 1 << 20])
+    text = np.memmap(path, np.uint8, "r")
+    tracemalloc.start()
+    n, before, own = 0, None, 1 << 18
+    for start, common in sorted_suffixes(text, 50, own):
+        n += len(start)
+        for k in (0, len(start) // 2, len(start) - 1):
+            key = text[start[k] : start[k] + 50].tobytes().ljust(50, b"\0")
+            assert before is None or before <= key
+            before = key
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(text) and peak < 40 << 20  # in memory it takes over 40 bytes a byte

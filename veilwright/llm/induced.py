@@ -4,30 +4,79 @@ Suffixes are told apart by type (S: smaller than the next suffix, L: larger). Th
 (LMS) are sorted; a scan upward then induces the order of all L suffixes, and a scan downward that
 of all S suffixes: each scanned suffix hands its predecessor to the queue of the predecessor's
 first byte. Since a scan meets suffixes in order, a priority queue keyed by (byte, time of arrival) gives
-them back in order. :class:`Queues` is that queue: one first-in-first-out list a byte, kept on disk
-beyond ``limit`` bytes of memory, and popped and pushed in whole runs rather than one by one.
+them back in order. :class:`Queues` is that queue: one first-in-first-out list a byte, popped and pushed in runs
+of up to ``PIECE`` tuples rather than one by one.
 
 A queue's tuple is a suffix and the length of its common prefix with the tuple before it. Two
 predecessors with one first byte share one byte more than the suffixes that handed them over, and those share
 the least of the values scanned between them: :class:`Least` keeps that for every queue.
 
 Only the first ``depth`` bytes of suffixes are told apart, which is all that matching passages of a
-fixed length needs. The LMS suffixes are refined eight bytes at a time, group by group, down to that depth.
+fixed length needs. The LMS suffixes are refined eight bytes at a time, group by group, down to that depth, in runs that fit
+memory; runs are merged by their first ``depth`` bytes.
+
+Everything whose size follows the text's (types, LMS suffixes, queues, the result) moves to disk beyond ``limit`` bytes: arrays as mapped
+files, lists as files read by pieces. Files have no name, belong to one task and vanish with it; a rerun task makes its own.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 
+PIECE, FAN = 1 << 16, 16
+
+
+def room(n: int, kind: type | np.dtype, limit: int) -> np.ndarray:
+    """A zeroed array: in memory, or beyond ``limit`` bytes a mapped file without a name."""
+    if n * np.dtype(kind).itemsize <= limit:
+        return np.zeros(n, kind)
+    return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=(n,))
+
+
+class Spool:
+    """Numbers in order, on disk beyond ``limit`` bytes, read back by ranges."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held, self.n, self.file = limit, [], 0, None
+
+    def add(self, values: np.ndarray) -> None:
+        self.n += len(values)
+        self.held.append(np.ascontiguousarray(values, np.int64))
+        if self.file is not None or 8 * self.n > self.limit:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.seek(0, 2)
+            for x in self.held:
+                self.file.write(x.data)
+            self.held = []
+
+    def read(self, low: int = 0, high: int | None = None, piece: int = PIECE) -> Iterator[np.ndarray]:
+        high = self.n if high is None else high
+        if self.file is None:
+            self.held = [np.concatenate(self.held)] if len(self.held) > 1 else self.held
+        for k in range(low, high, piece):
+            upto = min(k + piece, high)
+            if self.file is None:
+                yield self.held[0][k:upto]
+            else:
+                self.file.seek(8 * k)
+                yield np.frombuffer(self.file.read(8 * (upto - k)), np.int64)
+
+    def backward(self) -> Iterator[np.ndarray]:
+        for high in range(self.n, 0, -PIECE):
+            low = max(0, high - PIECE)
+            yield next(self.read(low, high))[::-1]
+
 
 class Queues:
-    """Lists by first byte, on disk beyond ``limit`` bytes. Files have no name and vanish with the task."""
+    """Lists by first byte, on disk beyond ``limit`` bytes."""
 
     def __init__(self, limit: int = 64 << 20):
         self.limit, self.size, self.file = limit, 0, None
-        self.held: list[list] = [[] for _ in range(256)]
+        self.held: list[deque] = [deque() for _ in range(256)]
 
     def push(self, first: np.ndarray, values: np.ndarray) -> None:
         """``values`` to the lists ``first``, which ascend."""
@@ -44,34 +93,36 @@ class Queues:
             self.spill()
 
     def spill(self) -> None:
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()  # noqa: SIM115  closed with the queue
+        self.file = self.file or tempfile.TemporaryFile()
         self.file.seek(0, 2)
-        for c, parts in enumerate(self.held):
-            for k, part in enumerate(parts):
-                if isinstance(part, np.ndarray):
-                    at = self.file.tell()
-                    self.file.write(part.tobytes())
-                    self.held[c][k] = (at, len(part), part.dtype)
+        at = self.file.tell()
+        for parts in self.held:
+            fresh = []
+            while parts and isinstance(parts[-1], np.ndarray):  # what came since the last time
+                fresh.append(parts.pop())
+            for k in range(0, sum(map(len, fresh)), PIECE) if fresh else ():
+                if k == 0:
+                    whole = np.concatenate(fresh[::-1])
+                own = np.ascontiguousarray(whole[k : k + PIECE])
+                self.file.write(own.data)
+                parts.append((at, len(own)))
+                at += own.nbytes
         self.size = 0
 
-    def pop(self, c: int) -> np.ndarray:
-        parts, self.held[c] = self.held[c], []
-        out = []
-        for part in parts:
+    def take(self, c: int) -> np.ndarray:
+        """The first tuples of a list, about ``PIECE`` of them; none if it is empty."""
+        parts, out, n = self.held[c], [], 0
+        while parts and n < PIECE:
+            part = parts.popleft()
             if isinstance(part, tuple):
-                at, n, kind = part
-                self.file.seek(at)
-                part = np.frombuffer(self.file.read(n * kind.itemsize), kind)
+                self.file.seek(part[0])
+                part = np.frombuffer(self.file.read(8 * part[1]), np.int64)
             else:
                 self.size -= part.nbytes
             out.append(part)
+            n += len(part)
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
-
 
 def loads(text: np.ndarray) -> np.ndarray:
     """The eight bytes at each place as a big-endian number; the text is continued by zeros."""
@@ -79,12 +130,33 @@ def loads(text: np.ndarray) -> np.ndarray:
     return np.ndarray(shape=(len(text),), dtype=">u8", buffer=padded.data, strides=(1,))
 
 
-def types(text: np.ndarray) -> np.ndarray:
-    """Whether each suffix is smaller than the next one (the empty suffix is the smallest)."""
-    out = np.zeros(len(text), bool)
-    if len(text) > 1:
-        turn = np.flatnonzero(text[:-1] != text[1:])
-        out[: turn[-1] + 1 if len(turn) else 0] = np.repeat(text[turn] < text[turn + 1], np.diff(np.concatenate([[-1], turn])))
+def eight(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same at some places only, also past the end, without a copy of the text."""
+    n = len(text)
+    whole = np.ndarray(shape=(max(n - 7, 0),), dtype=">u8", buffer=text, strides=(1,))
+    if n > 7 and len(at) and int(at.max()) <= n - 8:
+        return whole[at].astype(np.uint64)
+    out, inside = np.zeros(len(at), np.uint64), at <= n - 8
+    out[inside] = whole[at[inside]]
+    rest = np.flatnonzero(~inside & (at < n))
+    if len(rest):
+        first = max(0, n - 7)
+        out[rest] = loads(np.concatenate([text[first:], np.zeros(1, np.uint8)]))[at[rest] - first].astype(np.uint64)
+    return out
+
+
+def types(text: np.ndarray, limit: int, step: int = 1 << 20) -> np.ndarray:
+    """Whether each suffix is smaller than the next one (the empty suffix is the smallest), worked out from the end, ``step`` bytes at a time."""
+    n = len(text)
+    out, after = room(n, bool, limit), False
+    for high in range(n - 1, 0, -step):
+        low = max(0, high - step)
+        here, following = text[low:high], text[low + 1 : high + 1]
+        turn = np.where(here != following, np.arange(high - low), high - low)
+        turn = np.minimum.accumulate(turn[::-1])[::-1]  # the next place where two bytes differ
+        rises = np.append(here < following, after)
+        out[low:high] = rises[turn]
+        after = bool(out[low])
     return out
 
 
@@ -141,7 +213,6 @@ def sort_places(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.nd
     common = np.zeros(len(places), np.uint8)
     if not len(places):
         return places, common
-    word, last = loads(text), len(text) - 1
 
     def fresh(key: np.ndarray, joined: np.ndarray, step: int, which: np.ndarray) -> np.ndarray:
         """Where a new group begins, of rows ``which``; ``joined``: those that were one group with the row before."""
@@ -154,7 +225,7 @@ def sort_places(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.nd
         common[which[now + 1]] = np.minimum(step + zeros // 8, depth)
         return differ
 
-    key = word[places].astype(np.uint64)
+    key = eight(text, places)
     order = np.argsort(key)
     places, key = places[order], key[order]
     begin = fresh(key, np.ones(len(key), bool), 0, np.arange(len(key)))
@@ -165,8 +236,7 @@ def sort_places(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.nd
         if not len(which):
             break
         group = np.cumsum(begin)[which].astype(np.uint64)
-        own = places[which].astype(np.int64) + step
-        key = np.where(own <= last, word[np.minimum(own, last)].astype(np.uint64), np.uint64(0))
+        key = eight(text, places[which].astype(np.int64) + step)
         order = np.argsort((group << np.uint64(32)) | _ranks(key))
         places[which], key = places[which][order], key[order]
         joined = np.zeros(len(which), bool)
@@ -176,20 +246,97 @@ def sort_places(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.nd
     return places, common
 
 
-def suffix_array(text: np.ndarray, depth: int, limit: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all suffixes, ordered by at least their first ``depth`` (at most 255) bytes, and the length of the prefix
+def words(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """The first ``depth`` bytes at each place as big-endian numbers, one row each eight bytes; the text is continued by zeros."""
+    out = np.stack([eight(text, places + k) for k in range(0, depth, 8)])
+    if depth % 8:
+        out[-1] &= np.uint64(2**64 - 2 ** (64 - 8 * (depth % 8)))
+    return out
+
+
+def shared_bytes(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefixes, in bytes, of columns of :func:`words`."""
+    out, open_ = np.zeros(a.shape[1], np.int64), np.ones(a.shape[1], bool)
+    for k in range(depth):
+        shift = np.uint64(56 - 8 * (k % 8))
+        open_ &= (a[k // 8] ^ b[k // 8]) >> shift & np.uint64(255) == 0
+        out += open_
+    return out
+
+
+def sorted_lms(text: np.ndarray, small: np.ndarray, depth: int, limit: int) -> tuple[Spool, np.ndarray]:
+    """LMS places in order of their first ``depth`` bytes, packed with what each shares with the one before, and how many begin with each byte."""
+    most = max(1024, limit // 32)
+    runs: list[Spool] = []
+    held, n = [], 0
+    counts = np.zeros(256, np.int64)
+
+    def flush() -> None:
+        nonlocal held, n
+        places, common = sort_places(text, np.concatenate(held), depth)
+        runs.append(Spool(limit))
+        runs[-1].add(places << 8 | common)
+        held, n = [], 0
+
+    for low in range(1, len(text), 1 << 20):
+        high = min(len(text), low + (1 << 20))
+        own = np.flatnonzero(small[low:high] & ~small[low - 1 : high - 1]) + low
+        counts += np.bincount(text[own], minlength=256)
+        for k in range(0, len(own), most):
+            held.append(own[k : k + most])
+            n += len(held[-1])
+            if n >= most:
+                flush()
+    if n or not runs:
+        held = held or [np.zeros(0, np.int64)]
+        flush()
+    while len(runs) > 1:
+        runs = [merge_runs(text, runs[k : k + FAN], depth, limit) for k in range(0, len(runs), FAN)]
+    return runs[0], counts
+
+
+def merge_runs(text: np.ndarray, runs: list[Spool], depth: int, limit: int) -> Spool:
+    """One run of many: what is not above the least of the runs' last keys in memory comes next."""
+    step = max(64, min(PIECE, limit // (64 * len(runs))))
+    readers = [run.read(piece=step) for run in runs]
+    held = [next(r, np.zeros(0, np.int64)) for r in readers]
+    out, last = Spool(limit), None
+    while any(map(len, held)):
+        live = [k for k, x in enumerate(held) if len(x)]
+        whole = np.concatenate([held[k] for k in live]) >> 8
+        of = np.repeat(np.arange(len(live)), [len(held[k]) for k in live])
+        key = words(text, whole, depth)
+        order = np.lexsort((of, *key[::-1]))
+        ends = np.cumsum([len(held[k]) for k in live]) - 1
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        upto = order[: int(rank[ends].min()) + 1]
+        sorted_key = key[:, upto]
+        before = np.concatenate([sorted_key[:, :1] if last is None else last, sorted_key[:, :-1]], axis=1)
+        common = shared_bytes(before, sorted_key, depth)
+        if last is None:
+            common[0] = 0
+        out.add(whole[upto] << 8 | common)
+        last = sorted_key[:, -1:]
+        taken = np.bincount(of[upto], minlength=len(live))
+        for k, n in zip(live, taken.tolist(), strict=True):
+            held[k] = held[k][n:]
+            if not len(held[k]):
+                held[k] = next(readers[k], np.zeros(0, np.int64))
+    return out
+
+
+def sorted_suffixes(text: np.ndarray, depth: int, limit: int = 64 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts of all suffixes by pieces, ordered by at least their first ``depth`` (at most 255) bytes, and the length of the prefix
     (counted up to ``depth``) that each shares with the one before. The text is continued by zeros; whether
-    these count as shared is left open.
+    these count as shared is left open. ``text`` may be a mapped file.
     """
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    small = types(text)
-    lms, shared = sort_places(text, np.flatnonzero(small[1:] & ~small[:-1]) + 1, depth)
-    heads = np.searchsorted(text[lms], np.arange(257))
-
-    def pack(places: np.ndarray, common: np.ndarray) -> np.ndarray:
-        return (places.astype(np.int64) << 8) | common
+        return
+    small = types(text, limit)
+    lms, counts = sorted_lms(text, small, depth, limit)
+    heads = np.concatenate([[0], np.cumsum(counts)]).tolist()
 
     def unpack(tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuples >> 8, (tuples & 255).astype(np.uint8)
@@ -201,52 +348,62 @@ def suffix_array(text: np.ndarray, depth: int, limit: int = 64 << 20) -> tuple[n
             k += 1
         return k
 
-    def hand_over(places: np.ndarray, common: np.ndarray, c: int, kind: bool, least: Least, queues: Queues) -> np.ndarray:
-        """Push the predecessors of type ``kind``; gives those of byte ``c`` itself, which are scanned next."""
+    def hand_over(places: np.ndarray, common: np.ndarray, kind: bool, least: Least, queues: Queues) -> None:
+        """Push the predecessors of type ``kind``; those of the byte scanned come behind what its list holds."""
         at = np.flatnonzero(places > 0)
         at = at[small[places[at] - 1] == kind]
         first = text[places[at] - 1]
         order = np.argsort(first, kind="stable")
         at, first = at[order], first[order]
-        tuples = pack(places[at] - 1, np.minimum(least.through(common, at, first), depth - 1) + np.uint8(1))
-        a, b = np.searchsorted(first, [c, c + 1]).tolist()
-        queues.push(first[:a], tuples[:a])
-        queues.push(first[b:], tuples[b:])
-        return tuples[a:b]
-
-    up, done, least = Queues(limit), Queues(limit), Least(depth)
-    up.push(text[n - 1 :], pack(np.array([n - 1]), np.zeros(1, np.uint8)))
+        queues.push(first, (places[at] - 1) << 8 | (np.minimum(least.through(common, at, first), depth - 1) + np.uint8(1)))
+
+    up, least, done, ends = Queues(limit), Least(depth), Spool(limit), [0]
+    up.push(text[n - 1 :], np.array([(n - 1) << 8]))
     for c in range(256):
-        last, now = -1, up.pop(c)
-        while len(now):
+        last = -1
+        while len(now := up.take(c)):
             places, common = unpack(now)
             if last < 0:
                 common[0] = 0
             last = int(places[-1])
-            done.put(c, pack(places, common))
-            now = hand_over(places, common, c, False, least, up)
-        if heads[c] < heads[c + 1]:
-            places, common = lms[heads[c] : heads[c + 1]], shared[heads[c] : heads[c + 1]].copy()
-            common[0] = edge(last, int(places[0])) if last >= 0 else 0
-            hand_over(places, common, c, False, least, up)
-    up.close()
-    down, least, out = Queues(limit), Least(depth), []
+            done.add(places << 8 | common)
+            hand_over(places, common, False, least, up)
+        for now in lms.read(heads[c], heads[c + 1]):
+            places, common = unpack(now)
+            if last >= -1:
+                common[0] = edge(last, int(places[0])) if last >= 0 else 0
+            last = -2  # only the first of them meets an L suffix
+            hand_over(places, common, False, least, up)
+        ends.append(done.n)
+    down, least, out = Queues(limit), Least(depth), Spool(limit)
     for c in range(255, -1, -1):
-        last, now = -1, down.pop(c)
-        while len(now):
+        last = -1
+        while len(now := down.take(c)):
             places, common = unpack(now)
             if last < 0:
                 common[0] = 0
             last = int(places[-1])
-            out.append(pack(places, common))
-            now = hand_over(places, common, c, True, least, down)
-        large, common = unpack(done.pop(c))
-        if len(large):
-            top = edge(int(large[-1]), last) if last >= 0 else 0
-            large, common = large[::-1], np.concatenate([[top], common[:0:-1]]).astype(np.uint8)
-            out.append(pack(large, common))
-            hand_over(large, common, c, True, least, down)
-    done.close()
-    down.close()
-    places, common = unpack(np.concatenate(out))
-    return places[::-1], np.concatenate([np.zeros(1, np.uint8), common[:0:-1]])
+            out.add(places << 8 | common)
+            hand_over(places, common, True, least, down)
+        high, top = ends[c + 1], None
+        while high > ends[c]:  # the L suffixes from the largest down: each shares with the one above it what that shares with the one before it
+            low = max(ends[c], high - PIECE)
+            large, common = unpack(next(done.read(low, high)))
+            large, common = large[::-1], common[::-1]
+            if top is None:
+                top = edge(int(large[0]), last) if last >= 0 else 0
+            shifted = np.concatenate([[top], common[:-1]]).astype(np.uint8)
+            top, high = int(common[-1]), low
+            out.add(large << 8 | shifted)
+            hand_over(large, shifted, True, least, down)
+    before = 0
+    for now in out.backward():
+        places, common = unpack(now)
+        yield places, np.concatenate([[before], common[:-1]]).astype(np.uint8)
+        before = int(common[-1])
+
+
+def suffix_array(text: np.ndarray, depth: int, limit: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The same in one piece."""
+    pieces = list(sorted_suffixes(text, depth, limit))
+    return np.concatenate([np.zeros(0, np.int64), *(x for x, _ in pieces)]), np.concatenate([np.zeros(0, np.uint8), *(x for _, x in pieces)])

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.llm import _io
-from veilwright.llm.induced import loads, suffix_array
+from veilwright.llm.induced import loads, room, sorted_suffixes
 from veilwright.llm.wordtable import gather, places, text_buffer
 
 SPAN, GRAM, BLOCK, SHARD, STEP = 50, 24, 2_000_000, 1_000_000, 1 << 16
@@ -282,19 +282,27 @@ def _least_by_window(text: np.ndarray, size: np.ndarray, least: np.ndarray, limi
     text = np.concatenate([text, np.zeros(64, np.uint8)])
     count = size - SPAN + 1
     at = places(np.cumsum(size) - size, count)
-    number = np.full(len(text), -1, np.int64)
-    number[at] = np.arange(len(at))
-    order, common = suffix_array(text, SPAN, limit)
-    group = np.cumsum(common < SPAN)
-    window = number[order]
-    live = window >= 0
-    window, group = window[live], group[live]
-    head = np.ones(len(group), bool)
-    head[1:] = group[1:] != group[:-1]
-    best = np.minimum.reduceat(np.repeat(least, count)[window], np.flatnonzero(head))
-    found = np.empty(len(at), np.int64)
-    found[window] = best[np.cumsum(head) - 1]
-    return found
+    number = room(len(text), np.int64, limit)
+    number[at] = np.arange(1, len(at) + 1)
+    of = np.repeat(least, count)
+    group, best = room(len(at), np.int64, limit), room(len(at), np.int64, limit)
+    best[:] = LAST
+    suffixes, groups, last = 0, 0, -1  # groups of suffixes; of those, groups with windows; the last of these
+    for start, common in sorted_suffixes(text, SPAN, limit):
+        own = suffixes + np.cumsum(common < SPAN)
+        suffixes = int(own[-1])
+        window = number[start] - 1
+        live = window >= 0
+        window, own = window[live], own[live]
+        if not len(window):
+            continue
+        new = np.append(own[0] != last, own[1:] != own[:-1])
+        which = groups - 1 + np.cumsum(new)
+        head = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        best[which[head]] = np.minimum(best[which[head]], np.minimum.reduceat(of[window], head))
+        group[window] = which
+        groups, last = int(which[-1]) + 1, int(own[-1])
+    return best[group]
 
 
 def _groups(rows: list[tuple[int, int, bytes]], limit: int) -> Iterator[tuple[int, int, bytes]]:
