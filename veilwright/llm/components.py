@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from veilwright.llm import _io
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node reachable) for every node of an edge; columns ``a`` and ``b`` are longs.
 
     Each round writes a table, so lineage stays short; sums of neighbours are made before they are
-    shuffled. Rounds grow with the logarithm of the longest path.
+    shuffled. Rounds grow with the logarithm of the longest path, and go on until one changes nothing: every round brings
+    nodes nearer to the least they can reach, so that comes for any graph.
     """
     now = _io.stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _io.stash(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -27,4 +28,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         was, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == was:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
