@@ -44,6 +44,20 @@ def test_files(spark, tree):
     assert files.is_text("x.CBL") and files.is_text("dir.d/none") and not files.is_text("a.png") and files.is_text(".hidden")
 
 
+def test_listing_goes_to_executors(spark, tmp_path):
+    wanted = set()
+    for k in range(40):
+        for name in (f"d{k % 7}/e{k % 3}/f{k}.cbl", f"d{k % 7}/.h{k}", f"g{k}.PNG", f"d{k % 5}/x.y/_{k}."):
+            path = tmp_path / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(name)
+            wanted.add(name)
+    for most in (1, 10, 1000):
+        rows = files.listed(spark, str(tmp_path), [str(tmp_path / "d1")], most).withColumn("t", files.has_text(F.col("file"))).collect()
+        assert {r.file for r in rows} == {x for x in wanted if not x.startswith("d1/")} and all(r.size == len(r.file) for r in rows)
+        assert all(r.t == files.is_text(r.file) for r in rows)
+
+
 def test_lists(spark, tree, tmp_path):
     assert lists.load_names(spark, [str(tmp_path / "names.txt"), str(tmp_path / "absent")]) == ("De Luca", "Giulia", "Mario", "Rossi")
     roster = tmp_path / "r.txt"

@@ -1,7 +1,7 @@
 """Trees of source files as tables, and copies of trees as a sink.
 
-Spark's own file source leaves out names that begin with a dot or an underscore, so the tree is listed on the
-driver (names only) and the files are opened by the executors.
+Spark's own file source leaves out names that begin with a dot or an underscore, so trees are listed here, and files are opened by the
+executors.
 """
 
 from __future__ import annotations
@@ -9,14 +9,16 @@ from __future__ import annotations
 import os
 import posixpath
 import shutil
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.fixed import TEXT_EXTENSIONS
 from veilwright.functions.text import decoded
+from veilwright.sources.shared import stash
 
 
 def is_text(path: str) -> bool:
@@ -30,25 +32,62 @@ def within(path: str, root: str) -> bool:
     return path == root or path.startswith(root.rstrip("/") + "/")
 
 
-def listed(root: str, skip: Iterable[str] = ()) -> list[tuple[str, str]]:
-    """(relative name, path) of all files below a folder, or of the one file."""
-    if os.path.isfile(root):
-        return [(os.path.basename(root), root)]
-    skip = [s for s in skip if s]
-    out = []
-    for folder, _, names in os.walk(root, followlinks=False):
-        for name in names:
-            path = os.path.join(folder, name)
-            if os.path.isfile(path) and not any(within(path, s) for s in skip):
-                out.append((posixpath.join(*os.path.relpath(path, root).split(os.sep)), path))
-    return sorted(out)
+def _entries(folder: str, skip: list[str]) -> tuple[list[str], list[str]]:
+    """Files and folders right below a folder; links to folders are left out."""
+    names, folders = [], []
+    with os.scandir(folder) as found:
+        for x in found:
+            if any(within(x.path, s) for s in skip):
+                continue
+            if x.is_dir(follow_symlinks=False):
+                folders.append(x.path)
+            elif os.path.isfile(x.path):
+                names.append(x.path)
+    return names, folders
+
 
+def listed(spark: SparkSession, root: str, skip: Iterable[str] = (), most: int = 1000) -> DataFrame:
+    """file (relative name), path, size of all files below a folder, or of the one file.
 
-def _table(spark: SparkSession, rows: list[tuple[str, str]], part_bytes: int = 64 << 20) -> DataFrame:
-    """The names, dealt out so that a partition holds about ``part_bytes`` of files."""
-    total = sum(os.path.getsize(p) for _, p in rows)
-    parts = max(1, min(len(rows), max(spark.sparkContext.defaultParallelism * 4, total // part_bytes)))
-    return spark.createDataFrame(rows or [], "file string, path string").repartition(parts)
+    The driver goes through folders until it has met ``most`` names; what is left of them goes to the executors, a folder a task.
+    """
+    kind, skip = "file string, path string, size long", [s for s in skip if s]
+    if os.path.isfile(root):
+        return spark.createDataFrame([(os.path.basename(root), root, os.path.getsize(root))], kind)
+    row = lambda path: (posixpath.join(*os.path.relpath(path, root).split(os.sep)), path, os.path.getsize(path))
+    names, todo = [], deque([root])
+    while todo and len(names) + len(todo) < most:
+        own, folders = _entries(todo.popleft(), skip)
+        names += own
+        todo += folders
+    near = spark.createDataFrame([row(x) for x in names], kind)
+    if not todo:
+        return near
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = batch.column(0).to_pylist()
+            while left:
+                own, folders = _entries(left.pop(), skip)
+                left += folders
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*map(row, own), strict=True)], ["file", "path", "size"])
+
+    far = spark.createDataFrame([(x,) for x in todo], "folder string").repartition(len(todo)).mapInArrow(walk, kind)
+    return near.unionByName(far)
+
+
+def has_text(file: Column) -> Column:
+    """:func:`is_text` of a column."""
+    name = F.ltrim(F.regexp_extract(file, "([^/]*)$", 1), F.lit("."))
+    return F.lower(F.regexp_extract(name, "(\\.[^.]*)$", 1)).isin("", *TEXT_EXTENSIONS)
+
+
+def _dealt(names: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
+    """The names, written once and dealt out so that a partition holds about ``part_bytes`` of files."""
+    names = stash(names, "names")
+    n, total = names.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return names.repartition(max(1, min(n, max(names.sparkSession.sparkContext.defaultParallelism * 4, total // part_bytes))))
 
 
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,18 +97,20 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([f.read()], pa.binary())], ["file", "content"])
 
 
-def contents(spark: SparkSession, root: str, skip: Iterable[str] = (), text_only: bool = True) -> DataFrame:
-    """file, content (bytes) of a tree."""
-    rows = [(f, p) for f, p in listed(root, skip) if not text_only or is_text(f)]
-    return _table(spark, rows).mapInArrow(_load, "file string, content binary")
+def contents(names: DataFrame) -> DataFrame:
+    """file, content (bytes) of listed files."""
+    return _dealt(names).select("file", "path").mapInArrow(_load, "file string, content binary")
 
 
 def texts(spark: SparkSession, root: str, skip: Iterable[str] = (), without: Iterable[str] = ()) -> DataFrame:
     """file, text (newlines normalized) of a tree's text files; ``without``: paths to leave out, such as rosters."""
-    left_out = [os.path.realpath(p) for p in without]
-    base = contents(spark, root, skip).select("file", decoded(F.col("content")).alias("text"))
-    names = [f for f, p in listed(root) if os.path.realpath(p) in left_out]
-    return base.filter(~F.col("file").isin(names)) if names else base
+    names = _without(listed(spark, root, skip).filter(has_text(F.col("file"))), root, without)
+    return contents(names).select("file", decoded(F.col("content")).alias("text"))
+
+
+def _without(names: DataFrame, root: str, without: Iterable[str]) -> DataFrame:
+    own = [os.path.relpath(os.path.realpath(p), os.path.realpath(root)).replace(os.sep, "/") for p in without]
+    return names.filter(~F.col("file").isin(own)) if own else names
 
 
 def one_text(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -84,8 +125,7 @@ def write_tree(spark: SparkSession, root: str, out: str, changed: DataFrame, ski
     ``without``: files that must not reach the copy, such as rosters inside the input. Files are written
     under a name of their own and renamed, so a rerun task leaves whole files.
     """
-    left_out = {os.path.realpath(p) for p in without}
-    plain = [(f, p) for f, p in listed(root, [out, *skip]) if not is_text(f) and os.path.realpath(p) not in left_out]
+    plain = _without(listed(spark, root, [out, *skip]).filter(~has_text(F.col("file"))), root, without)
 
     def save(rows: Iterator) -> None:
         for row in rows:
@@ -104,5 +144,4 @@ def write_tree(spark: SparkSession, root: str, out: str, changed: DataFrame, ski
 
     os.makedirs(out, exist_ok=True)
     changed.select("file", "text").foreachPartition(save)
-    if plain:
-        _table(spark, plain).foreachPartition(copy)
+    _dealt(plain).foreachPartition(copy)
