@@ -179,7 +179,7 @@ def pack_segment(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, sentence: np
     return {"doc": keys[doc], "start": start - at[doc], "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": np.diff(at)[doc], "window": first + window, "offset": start - begin}, first + len(ends)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SIZE, key: str = "doc_id", text: str = "text", segment_tokens: int = 4_000_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SIZE, key: str = "doc_id", text: str = "text", segment_tokens: int = 2_000_000, with_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     A task packs its range of documents in segments of about ``segment_tokens``, which bounds its
