@@ -181,18 +181,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             for row, last, text_, of in features(batch.column(0)):
                 kinds = {x: k for k, x in enumerate(dict.fromkeys(names[row:last].tolist()))}
                 kind = np.array([kinds[x] for x in names[row:last].tolist()], np.int64)
-                grams = list(hashed(text_, of))
-                if not grams:
-                    continue
-                of_kind, column = kind[np.concatenate([r for r, _ in grams])], np.concatenate([c for _, c in grams])
-                order = np.argsort(of_kind, kind="stable") if len(kinds) > 1 else slice(None)
-                of_kind, column = of_kind[order], column[order]
-                for name, k in kinds.items():
-                    own = column[np.searchsorted(of_kind, k) : np.searchsorted(of_kind, k, "right")]
-                    if name not in held and len(held) == GROUP:
-                        yield from sums_of(held)
-                    got = np.bincount(own, minlength=BUCKETS)
-                    held[name] = held[name] + got if name in held else got
+                for rows_, columns in hashed(text_, of):
+                    of_kind = kind[rows_]
+                    if len(kinds) > 1:
+                        order = np.argsort(of_kind, kind="stable")
+                        of_kind, columns = of_kind[order], columns[order]
+                    for name, k in kinds.items():
+                        own = columns[np.searchsorted(of_kind, k) : np.searchsorted(of_kind, k, "right")]
+                        if not len(own):
+                            continue
+                        if name not in held and len(held) == GROUP:
+                            yield from sums_of(held)
+                        got = np.bincount(own, minlength=BUCKETS)
+                        held[name] = held[name] + got if name in held else got
         yield from sums_of(held)
 
     labelled = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter("lang is not null")
