@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilwright.fixed import TAX_CODE_ODD
+from veilwright.fixed import PRIORITY, TAX_CODE_ODD
 
 
 def digest(value: Column, salt: str) -> Column:
@@ -87,21 +89,31 @@ def tax_code(value: Column, salt: str) -> Column:
     return F.concat(first, tax_code_check(first))
 
 
-def suggestion(entity: Column, original: Column, key: Column, index: Column, salt: str) -> Column:
-    """What a group's value is replaced with unless someone chooses otherwise."""
+def suggestion(entity: Column, original: Column, key: Column, index: Column, salt: str, kinds: Collection[str] = tuple(PRIORITY)) -> Column:
+    """What a group's value is replaced with unless someone chooses otherwise. ``kinds``: the entities that can occur."""
     number = F.when(index < 1000, F.lpad(index.cast("string"), 3, "0")).otherwise(index.cast("string"))
     only = F.regexp_replace(original, "(?U)\\D", "")
-    seed = F.concat(original, F.lit(":"), key)
-    name = F.concat(F.lit("Nome"), number)
-    name = F.when(F.size(F.split(original, "(?U)\\s+")) > 1, F.concat(name, F.lit(" Cognome"), number)).otherwise(name)
-    six = digits(seed, salt + ":matricola", 6)
-    staff = F.when(F.length(only) == 7, F.concat(F.substring(F.lit("567"), remainder(seed, salt + ":matricola-prefix", 3).cast("int") + 1, F.lit(1)), six)).otherwise(six)
-    return (
-        F.when(entity == "NAME", name)
-        .when(entity == "IBAN", iban(original, salt))
-        .when(entity == "CODICE_FISCALE", tax_code(original, salt))
-        .when(entity == "EMAIL", F.concat(F.lit("user"), number, F.lit("@example.invalid")))
-        .when(entity == "PHONE", F.repeat(F.lit("0"), F.greatest(F.length(only), F.lit(8))))
-        .when(entity.isin("MATRICOLA", "SUSPECTED_MATRICOLA"), staff)
-        .otherwise(F.concat(F.lit("ANON_"), number))
-    )
+
+    def name() -> Column:
+        first = F.concat(F.lit("Nome"), number)
+        return F.when(F.size(F.split(original, "(?U)\\s+")) > 1, F.concat(first, F.lit(" Cognome"), number)).otherwise(first)
+
+    def staff() -> Column:
+        seed = F.concat(original, F.lit(":"), key)
+        six = digits(seed, salt + ":matricola", 6)
+        prefix = F.substring(F.lit("567"), remainder(seed, salt + ":matricola-prefix", 3).cast("int") + 1, F.lit(1))
+        return F.when(F.length(only) == 7, F.concat(prefix, six)).otherwise(six)
+
+    made = {
+        ("NAME",): name,
+        ("IBAN",): lambda: iban(original, salt),
+        ("CODICE_FISCALE",): lambda: tax_code(original, salt),
+        ("EMAIL",): lambda: F.concat(F.lit("user"), number, F.lit("@example.invalid")),
+        ("PHONE",): lambda: F.repeat(F.lit("0"), F.greatest(F.length(only), F.lit(8))),
+        ("MATRICOLA", "SUSPECTED_MATRICOLA"): staff,
+    }
+    out = F.concat(F.lit("ANON_"), number)
+    for names, make in made.items():
+        if any(x in kinds for x in names):
+            out = F.when(entity.isin(*names), make()).otherwise(out)
+    return out

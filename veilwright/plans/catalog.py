@@ -131,7 +131,7 @@ def replacement_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pseudonyms(spark: SparkSession, sf_dir: str, *entities: str) -> DataFrame:
     """entity_type, key, original, suggested_replacement. These entities' pseudonyms do not depend on a group's number."""
     own = groups.group_findings(scan(corpus.files(spark, sf_dir), _only(*entities))).select("entity_type", "key", "original")
-    return own.repartition(spread(spark)).withColumn("suggested_replacement", pseudonyms.suggestion(F.col("entity_type"), F.col("original"), F.col("key"), F.lit(0), SALT))
+    return own.repartition(spread(spark)).withColumn("suggested_replacement", pseudonyms.suggestion(F.col("entity_type"), F.col("original"), F.col("key"), F.lit(0), SALT, entities))
 
 
 def pseudonyms_of(entity: str) -> Query:
