@@ -374,6 +374,7 @@ def _marked(docs: DataFrame, key: str, text: str, finish: Callable[[Block, np.nd
     blocks = _io.stash(_blocks(docs, key, text), "blocks")
     total = blocks.agg(F.sum("size")).first()[0] or 0
     subs = max(64, total // BLOCK)  # as many buckets as blocks
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (2 * BLOCK))  # a partition has two blocks or buckets, whatever the setting
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, int, bytes]]:
@@ -460,8 +461,8 @@ def _marked(docs: DataFrame, key: str, text: str, finish: Callable[[Block, np.nd
             yield finish(block, np.cumsum(edge[:-1]) > 0)
 
     triple, back = "sub long, block long, payload binary", "block long, sub long, payload binary"
-    bucketed = lambda df: df.repartition("sub").sortWithinPartitions("sub", "block")
-    gathered = lambda df: df.repartition("block").sortWithinPartitions("block", "sub")
+    bucketed = lambda df: df.repartition(parts, "sub").sortWithinPartitions("sub", "block")
+    gathered = lambda df: df.repartition(parts, "block").sortWithinPartitions("block", "sub")
     masks = _io.stash(bucketed(blocks.select("block", "payload").mapInArrow(_io.tidy(send_anchors), triple)).mapInArrow(_io.tidy(find_shared), back), "masks")
     own = blocks.select("block", F.lit(-1).cast("long").alias("sub"), "payload")
     sent = gathered(own.unionByName(masks)).mapInArrow(_io.tidy(send_passages), triple)
