@@ -374,7 +374,7 @@ def _marked(docs: DataFrame, key: str, text: str, finish: Callable[[Block, np.nd
     blocks = _io.stash(_blocks(docs, key, text), "blocks")
     total = blocks.agg(F.sum("size")).first()[0] or 0
     subs = max(64, total // BLOCK)  # as many buckets as blocks
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (2 * BLOCK))  # a partition has two blocks or buckets, whatever the setting
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (4 * BLOCK))  # a partition has four blocks or buckets, whatever the setting
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, int, bytes]]:
