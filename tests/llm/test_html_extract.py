@@ -1,9 +1,10 @@
+import functools
 import random
 import resource
 
 from tests.llm.conftest import order
 from veilwright.llm import html_extract
-from veilwright.llm.html_extract import CELLS, Tree, blocks, simple_tree_matching, skeleton
+from veilwright.llm.html_extract import ASKED, CELLS, Tree, blocks, simple_tree_matching, skeleton
 
 SCHEMA = "page_id long, url string, html string, host string, text string, keys string, skeleton string"
 
@@ -95,6 +96,60 @@ def test_long_lists_are_aligned_by_equal_parts():
     assert same == many - 5
 
 
+def table_match(left, right):
+    """The weight by plain tables of all pairs of children, however many."""
+
+    @functools.cache
+    def weight(x, y):
+        if left.tag[x] != right.tag[y]:
+            return 0.0
+        if left.hash[x] == right.hash[y]:
+            return 1.5 * left.count[x]
+        row = [0.0] * (len(right.below[y]) + 1)
+        for c in left.below[x]:
+            above, row = row, [0.0]
+            for j, d in enumerate(right.below[y]):
+                row.append(max(row[j], above[j + 1], above[j] + weight(c, d)))
+        return 1.0 + row[-1]
+
+    return weight(0, 0)
+
+
+def test_many_children_are_aligned_as_few_are():
+    """Past a limit, lists of children were aligned in order, with less than the best weight."""
+    r = random.Random(4)
+    entry = lambda: f"<div><p>{r.choice('abcdef')}</p><p>{r.choice('abcdef')} {r.choice('xyz')}</p></div>"
+    line = lambda: f"<p>{r.choice('abcdefgh')}</p>"
+    for n, part in ((int(ASKED**0.5) + 2, entry), (int(CELLS**0.5) + 80, line)):
+        left, right = (Tree(skeleton("<body>" + "".join(part() for _ in range(n)) + "</body>")[0]) for _ in range(2))
+        assert simple_tree_matching(left, right)[0] == table_match(left, right)
+
+
+def test_limits_do_not_change_the_mapping(monkeypatch):
+    r = random.Random(10)
+    for _ in range(200):
+        left, right = (Tree(skeleton("<body>" + "".join(random_page(r, 4) for _ in range(r.randint(1, 6))) + "</body>")[0]) for _ in range(2))
+        got = []
+        for cells, asked, held in ((CELLS, ASKED, html_extract.HELD), (0, 0, html_extract.HELD), (0, 0, 40), (0, 0, 0)):
+            for name, value in (("CELLS", cells), ("ASKED", asked), ("HELD", held)):
+                monkeypatch.setattr(html_extract, name, value)
+            got.append(simple_tree_matching(left, right))
+            monkeypatch.undo()
+        assert got[0][0] == table_match(left, right) and all(x == got[0] for x in got)
+
+
+def test_template_between_many_stories_goes(spark):
+    def wide(k):
+        third = lambda t: "".join(f"<div><p>Story {k}.{t}.{j}</p><p>told by writer {k}/{t}/{j}</p></div>" for j in range(47 + k))
+        return "<body><div>" + "".join(third(t) + "<div><p>Follow us</p><p>on all channels</p></div>" for t in range(3)) + f"<div><p>The end</p><p>of page {k}</p></div></div></body>"
+
+    rows = [(k, f"https://wide.org/{k}", wide(k)) for k in range(12)]
+    got = {r.page_id: r.text for r in html_extract.extract(frame(spark, rows)).collect()}
+    for k in range(12):
+        assert got[k].startswith(f"Story {k}.0.0 told by writer {k}/0/0") and f"Story {k}.2.{46 + k} told" in got[k] and got[k].endswith(f"of page {k}")
+        assert "Follow us" not in got[k] and "on all channels" not in got[k]
+
+
 def page(k: int, extra: str = "") -> str:
     return f"<body><div>Welcome to us</div><div>Story number {k} is about {k * 7} things</div>{extra}<div>All rights held</div></body>"
 

@@ -18,7 +18,7 @@ sorts and merges otherwise, splitting hot hosts.
 
 Defined cases: null html is an empty page with empty text; a page without host belongs to no wrapper;
 unclosed and misnested elements are closed as browsers do for paragraphs and list items; trees of any depth and width are parsed and aligned without
-recursion, and lists of children too long for a table of all pairs (``CELLS``, or ``ASKED`` pairs of branching ones) are aligned by their equal subtrees, and between these in order;
+recursion; children that are many (``CELLS`` pairs, or ``ASKED`` pairs to be matched themselves) are weighed a level at a time, with a table in parts, and get the same mapping as few;
 rows that share an id are extracted each; an empty table gives no rows; further columns are ignored.
 """
 
@@ -26,9 +26,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
-from collections import Counter, deque
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,6 +40,7 @@ from veilwright.llm import _io
 from veilwright.llm.url_filter import url_host
 
 SHARE, CELLS, ASKED, Z2 = 0.6, 1 << 20, 1 << 14, 3.84
+HELD = 1 << 23  # numbers held at once by the matching of many children
 _ROW = np.dtype([("depth", "<i4"), ("tag", "<i4"), ("path", "<i8"), ("key", "<i8"), ("plain", "<i4"), ("size", "<i4"), ("holder", "?")])
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?>[^<>=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s<>"'][^\s<>]*+)|=)*+)>|<[!?][^>]*>""", re.S
@@ -377,8 +377,11 @@ class Tree:
         self.lone = [len(x) == 1 and not self.tag[x[0]] for x in self.below]
 
 
-def _pair_children(left: Tree, right: Tree, a: list[int], b: list[int]):
-    """A generator: asks for the matches of pairs of children, and returns the best weight and the chosen matches."""
+def _pair_children(left: Tree, right: Tree, a: list[int], b: list[int], many: bool, levels: Levels | None):
+    """A generator: asks for the matches of pairs of children, and returns the best weight and the chosen matches.
+
+    ``many``: the trees have many pairs to be asked for; ``levels``: weights that are already known. Neither changes the result.
+    """
     n, head, tail = min(len(a), len(b)), 0, 0  # equal beginnings and ends match in some best mapping
     while head < n and left.hash[a[head]] == right.hash[b[head]]:
         head += 1
@@ -389,11 +392,12 @@ def _pair_children(left: Tree, right: Tree, a: list[int], b: list[int]):
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     if len(a) == len(b) == 1:
         if left.tag[a[0]] == right.tag[b[0]]:
-            chosen.append((yield a[0], b[0]))
+            chosen.append((yield a[0], b[0], levels))
     elif a and b:
         wide = [sum(bool(t.below[x]) and not t.lone[x] for x in own) for t, own in ((left, a), (right, b))]
-        if len(a) * len(b) > CELLS or wide[0] * wide[1] > ASKED:
-            middle = yield from _pair_long(left, right, a, b)
+        asks = wide[0] * len(b) + len(a) * wide[1]
+        if levels or len(a) * len(b) > CELLS or asks > ASKED or many and asks:
+            middle = yield from _pair_levels(left, right, a, b, levels)
         else:
             middle = yield from _pair_table(left, right, a, b)
         chosen += middle
@@ -406,17 +410,17 @@ def _pair_table(left: Tree, right: Tree, a: list[int], b: list[int]):
     lone_b = np.array([right.lone[x] for x in b])
     deep_b = np.array([bool(right.below[x]) for x in b])
     found: dict[tuple[int, int], tuple] = {}
-    best = np.zeros((len(a) + 1, len(b) + 1), np.float32)
+    best = np.zeros((len(a) + 1, len(b) + 1))
     for i, x in enumerate(a):
         same = lb == left.tag[x]
-        w = same * np.where(kb == left.hash[x], np.float32(1.5), np.float32(1.0))
+        w = same * np.where(kb == left.hash[x], 1.5, 1.0)
         if left.below[x]:
             ask = same & deep_b
             if left.lone[x]:
                 w[ask & lone_b] *= 2
                 ask &= ~lone_b
             for j in np.flatnonzero(ask).tolist():
-                found[i, j] = yield x, b[j]
+                found[i, j] = yield x, b[j], None
                 w[j] = found[i, j][0]
         np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + w), out=best[i + 1, 1:])
     out, i, j = [], len(a), len(b)
@@ -440,56 +444,188 @@ def _plain_pair(left: Tree, right: Tree, x: int, y: int) -> tuple:
     return 1.0, x, y, []
 
 
-def _pair_long(left: Tree, right: Tree, a: list[int], b: list[int]):
-    """Long lists: by the longest common run of subtrees that occur once in each, and between these tag by tag in order."""
-    once_a, once_b = Counter(left.hash[x] for x in a), Counter(right.hash[x] for x in b)
-    place = {right.hash[y]: j for j, y in enumerate(b) if once_b[right.hash[y]] == 1}
-    tops: list[int] = []
-    ends: list[tuple[int, int, int]] = []  # place in a, in b, the one before
-    at: list[int] = []
-    for i, x in enumerate(a):
-        j = place.get(left.hash[x], -1) if once_a[left.hash[x]] == 1 else -1
-        if j >= 0:
-            k = bisect_left(tops, j)
-            ends.append((i, j, at[k - 1] if k else -1))
-            tops[k : k + 1], at[k : k + 1] = [j], [len(ends) - 1]
-    anchors, k = [], at[-1] if at else -1
-    while k >= 0:
-        anchors.append(ends[k][:2])
-        k = ends[k][2]
-    out, i, j = [], 0, 0
-    for x, y in [*anchors[::-1], (len(a), len(b))]:
-        waiting: dict[int, deque] = {}
-        for k in range(j, y):
-            waiting.setdefault(right.tag[b[k]], deque()).append(k)
-        last = j - 1
-        for k in range(i, x):
-            mine = waiting.get(left.tag[a[k]])
-            while mine and mine[0] <= last:
-                mine.popleft()
-            if mine:
-                last = mine.popleft()
-                out.append((yield a[k], b[last]))
-        if x < len(a):
-            out.append((1.5 * left.count[a[x]], a[x], b[y], None))
-        i, j = x + 1, y + 1
+class _Level:
+    """Nodes of one depth, parent by parent: each parent takes a place for "none of its children" and one a child.
+
+    ``base`` is the number of the parent times a step larger than any weight, so that one running maximum serves all parents.
+    Weights are counted in halves.
+    """
+
+    def __init__(self, tree: Tree, families: list[list[int]], step: int):
+        sizes = np.array([len(x) + 1 for x in families], np.int64)
+        self.last = np.cumsum(sizes) - 1  # of each parent
+        self.first = self.last - sizes + 1
+        self.nodes = [y for x in families for y in x]
+        of = np.repeat(np.arange(len(families)), sizes)
+        at = np.ones(len(of), bool)
+        at[self.first] = False
+        self.at = np.flatnonzero(at)
+        self.kind = np.int32 if step * len(families) < 1 << 31 else np.int64
+        self.base = (of * step).astype(self.kind)
+        self.tag = np.array([tree.tag[y] for y in self.nodes], np.int64)
+        self.deep = any(tree.below[y] for y in self.nodes)
+        self.text = np.array([2 * any(not tree.tag[c] for c in tree.below[y]) for y in self.nodes], self.kind)
+        self.equal: dict[int, list[int]] = defaultdict(list)
+        self.texts: dict[int, list[int]] = defaultdict(list)  # places of parents of a text
+        for k, y in zip(self.at.tolist(), self.nodes, strict=True):
+            self.equal[tree.hash[y]].append(k)
+            for c in tree.below[y]:
+                if not tree.tag[c]:
+                    self.texts[tree.hash[c]].append(k)
+        self.flat: dict[tuple[int, bool], np.ndarray] = {}
+        self.same: dict[int, np.ndarray] = {}
+
+    def alone(self, tag: int, text: bool) -> np.ndarray:
+        """By place: the weight of an element of that tag without children, or with one text alone that differs from all."""
+        if (tag, text) not in self.flat:
+            out = np.zeros(len(self.base), self.kind)
+            out[self.at] = self.like(tag) * (2 + self.text * text)
+            self.flat[tag, text] = out
+        return self.flat[tag, text]
+
+    def like(self, tag: int) -> np.ndarray:
+        if tag not in self.same:
+            self.same[tag] = self.tag == tag
+        return self.same[tag]
+
+
+class Levels:
+    """Weights of a left node against all nodes of one depth below the children ``b`` at once; all of them are kept when they are few."""
+
+    def __init__(self, left: Tree, right: Tree, a: list[int], b: list[int]):
+        self.left, step = left, 3 * len(right.tag) + 1
+        self.levels = [_Level(right, [b], step)]
+        while self.levels[-1].deep:
+            self.levels.append(_Level(right, [right.below[y] for y in self.levels[-1].nodes], step))
+        self.top = left.depth[a[0]]
+        self.place = {y: k for level in self.levels for y, k in zip(level.nodes, level.at.tolist(), strict=True)}
+        cells, row = 0, a
+        for level in self.levels:
+            cells += len(row) * len(level.base)
+            row = [c for x in row for c in left.below[x]]
+        self.kept: dict[int, np.ndarray] | None = {} if cells <= HELD else None
+
+    def row(self, x: int) -> np.ndarray:
+        """By place in its level: the best weight of ``x`` with the node there. No recursion: open elements stand on a list."""
+        left, kept = self.left, self.kept
+        opened: list[tuple] = []
+        while True:
+            level = self.levels[left.depth[x] - self.top]
+            if kept is not None and x in kept:
+                w = kept[x]
+            elif left.below[x] and not left.lone[x] and level.deep and level.like(left.tag[x]).any():
+                rest = iter(left.below[x])
+                opened.append((x, rest, self.levels[left.depth[x] - self.top + 1].base.copy()))
+                x = next(rest)
+                continue
+            else:
+                w = self._weight(level, x, None)
+            while True:
+                if kept is not None:
+                    kept[x] = w
+                if not opened:
+                    return w
+                x, rest, best = opened[-1]
+                _add(best, w, best)
+                child = next(rest, None)
+                if child is not None:
+                    x = child
+                    break
+                opened.pop()
+                w = self._weight(self.levels[left.depth[x] - self.top], x, best)
+
+    def _weight(self, level: _Level, x: int, best: np.ndarray | None) -> np.ndarray:
+        left, tag = self.left, self.left.tag[x]
+        equal = level.equal.get(left.hash[x])
+        if best is not None:
+            below = self.levels[left.depth[x] - self.top + 1]
+            w = np.zeros(len(level.base), level.kind)
+            w[level.at] = level.like(tag) * (2 + best[below.last] - below.base[below.last])
+        else:
+            w = level.alone(tag, left.lone[x])
+            near = level.texts.get(left.hash[left.below[x][0]]) if left.lone[x] else None
+            if near or equal:
+                w = w.copy()
+            if near:
+                w[near] = np.where(w[near] > 0, 5, 0)
+        if equal:
+            w[equal] = 3 * left.count[x]
+        return w
+
+
+def _add(best: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
+    """The next row of a table of best weights."""
+    new = best[:-1] + w[1:]
+    np.maximum(new, best[1:], out=new)
+    np.maximum.accumulate(new, out=out[1:])
+
+
+def _pair_levels(left: Tree, right: Tree, a: list[int], b: list[int], levels: Levels | None):
+    """The mapping :func:`_pair_table` gives, in bounded memory and without asking for each pair."""
+    levels = levels or Levels(left, right, a, b)
+    own = slice(levels.place[b[0]] - 1, levels.place[b[-1]] + 1)  # b is a part of one family
+    path = _best_path(len(a), len(b), lambda i: levels.row(a[i])[own], np.int32 if 3 * len(right.tag) < 1 << 31 else np.int64)
+    if levels.kept is None:
+        levels = None
+    out = []
+    for i, j in path:
+        out.append((yield a[i], b[j], levels))
     return out
 
 
+def _best_path(n: int, m: int, row: Callable[[int], np.ndarray], kind: type) -> list[tuple[int, int]]:
+    """Pairs on the best path through a table of which ``HELD`` cells are held: every so many rows first, then those between, from the last."""
+    keep, out, j = max(2, HELD // (m + 1)), [], m
+    todo = [(0, n, np.zeros(m + 1, kind))]
+    while todo and j:
+        lo, hi, best = todo.pop()
+        best = best[: j + 1]
+        if hi - lo <= keep:
+            table = np.zeros((hi - lo + 1, j + 1), kind)
+            table[0] = best
+            for i in range(lo, hi):
+                _add(table[i - lo], row(i)[: j + 1], table[i - lo + 1])
+            i = hi
+            while i > lo and j:
+                if table[i - lo, j] == table[i - lo - 1, j]:
+                    i -= 1
+                elif table[i - lo, j] == table[i - lo, j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+        else:
+            cuts = [lo + (hi - lo) * k // keep for k in range(keep + 1)]
+            todo.append((lo, cuts[1], best))
+            best = best.copy()
+            for k in range(1, keep):
+                for i in range(cuts[k - 1], cuts[k]):
+                    _add(best, row(i)[: j + 1], best)
+                todo.append((cuts[k], cuts[k + 1], best.copy()))
+    return out[::-1]
+
+
+def _asks(left: Tree, right: Tree) -> int:
+    """Pairs of branching nodes at equal depths."""
+    a, b = (Counter(t.depth[x] for x in range(len(t.tag)) if t.below[x] and not t.lone[x]) for t in (left, right))
+    return sum(n * b[depth] for depth, n in a.items())
+
+
 def simple_tree_matching(left: Tree, right: Tree) -> tuple[float, list[tuple[int, int]]]:
     """The weight of the best mapping of two trees, and its pairs of places.
 
     A pair of nodes counts 1 and, where the two are equal, a little more, so that equal texts align. Matches of children are asked for by
     generators on a stack of our own, so depth costs no recursion.
     """
+    many = len(left.tag) * len(right.tag) > 4 * ASKED and _asks(left, right) > ASKED
 
-    def solve(x: int, y: int):
+    def solve(x: int, y: int, levels: Levels | None):
         if left.hash[x] == right.hash[y] or not left.below[x] or not right.below[y] or left.lone[x] and right.lone[y]:
             return _plain_pair(left, right, x, y)
-        score, below = yield from _pair_children(left, right, left.below[x], right.below[y])
+        score, below = yield from _pair_children(left, right, left.below[x], right.below[y], many, levels)
         return 1.0 + score, x, y, below
 
-    stack, answer = [solve(0, 0)], None
+    stack, answer = [solve(0, 0, None)], None
     while stack:
         try:
             ask = stack[-1].send(answer)
