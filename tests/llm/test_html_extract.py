@@ -126,12 +126,18 @@ def test_many_children_are_aligned_as_few_are():
 
 
 def test_limits_do_not_change_the_mapping(monkeypatch):
+    """Random trees, and long lists of which one is an edited copy of the other."""
     r = random.Random(10)
-    for _ in range(200):
-        left, right = (Tree(skeleton("<body>" + "".join(random_page(r, 4) for _ in range(r.randint(1, 6))) + "</body>")[0]) for _ in range(2))
+    for k in range(100):
+        if k % 2:
+            pages = [[random_page(r, 4) for _ in range(r.randint(1, 6))] for _ in range(2)]
+        else:
+            parts = [random_page(r, 2).replace("one", str(r.randint(0, 40))) for _ in range(r.randint(20, 60))]
+            pages = [parts, [r.choice(parts) if r.random() < 0.1 else x for x in parts if r.random() < 0.9] + parts[: k % 9]]
+        left, right = (Tree(skeleton("<body>" + "".join(x) + "</body>")[0]) for x in pages)
         got = []
-        for cells, asked, held in ((CELLS, ASKED, html_extract.HELD), (0, 0, html_extract.HELD), (0, 0, 40), (0, 0, 0)):
-            for name, value in (("CELLS", cells), ("ASKED", asked), ("HELD", held)):
+        for limits in ((CELLS, ASKED, html_extract.HELD, html_extract.BAND), (0, 0, html_extract.HELD, 32), (0, 0, 40, 1), (0, 0, 0, 2), (CELLS, 8, 0, 1)):
+            for name, value in zip(("CELLS", "ASKED", "HELD", "BAND"), limits, strict=True):
                 monkeypatch.setattr(html_extract, name, value)
             got.append(simple_tree_matching(left, right))
             monkeypatch.undo()

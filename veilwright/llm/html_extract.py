@@ -26,9 +26,12 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ from veilwright.llm import _io
 from veilwright.llm.url_filter import url_host
 
 SHARE, CELLS, ASKED, Z2 = 0.6, 1 << 20, 1 << 14, 3.84
-HELD = 1 << 23  # numbers held at once by the matching of many children
+HELD, BAND, FEW = 1 << 23, 32, 64  # numbers held at once by the matching of many children, how far off the diagonals it looks first, and pairs that are asked for however large
 _ROW = np.dtype([("depth", "<i4"), ("tag", "<i4"), ("path", "<i8"), ("key", "<i8"), ("plain", "<i4"), ("size", "<i4"), ("holder", "?")])
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?>[^<>=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s<>"'][^\s<>]*+)|=)*+)>|<[!?][^>]*>""", re.S
@@ -396,11 +399,13 @@ def _pair_children(left: Tree, right: Tree, a: list[int], b: list[int], many: bo
     elif a and b:
         wide = [sum(bool(t.below[x]) and not t.lone[x] for x in own) for t, own in ((left, a), (right, b))]
         asks = wide[0] * len(b) + len(a) * wide[1]
-        if levels or len(a) * len(b) > CELLS or asks > ASKED or many and asks:
-            middle = yield from _pair_levels(left, right, a, b, levels)
-        else:
-            middle = yield from _pair_table(left, right, a, b)
-        chosen += middle
+        if not levels and (len(a) * len(b) > CELLS or asks > ASKED or many and asks):
+            levels = Levels(left, right, a, b)
+            if levels.kept is None and len(a) * len(b) <= CELLS and asks <= FEW:
+                levels = None  # a few large children: each pair finds its own way
+        way = _pair_levels(left, right, a, b, levels) if levels else _pair_table(left, right, a, b)
+        del levels  # the generator holds them as long as it needs them
+        chosen += yield from way
     return sum(x[0] for x in chosen), chosen
 
 
@@ -504,22 +509,41 @@ class Levels:
             cells += len(row) * len(level.base)
             row = [c for x in row for c in left.below[x]]
         self.kept: dict[int, np.ndarray] | None = {} if cells <= HELD else None
-
-    def row(self, x: int) -> np.ndarray:
+        self.whole = self.cuts(0, len(b))
+
+    def cuts(self, p: int, q: int) -> list[tuple]:
+        """By level, what lies below the children ``p`` to ``q`` of the first: its places, parents and nodes, each from and to."""
+        out = [(p, q + 1, 0, 1, p, q)]
+        for level in self.levels[1:]:
+            f, g = out[-1][4:]
+            if f == g:
+                break
+            s, t = int(level.first[f]), int(level.last[g - 1]) + 1
+            out.append((s, t, f, g, s - f, t - g))
+        return out
+
+    def row(self, x: int, p: int, q: int) -> np.ndarray:
+        """The best weight of ``x`` with each of the children ``p`` to ``q``, behind one number of no meaning."""
+        if self.kept is None:
+            return self._row(x, self.cuts(p, q))
+        return self._row(x, self.whole)[p : q + 1]
+
+    def _row(self, x: int, cuts: list[tuple]) -> np.ndarray:
         """By place in its level: the best weight of ``x`` with the node there. No recursion: open elements stand on a list."""
         left, kept = self.left, self.kept
         opened: list[tuple] = []
         while True:
-            level = self.levels[left.depth[x] - self.top]
+            d = left.depth[x] - self.top
+            level = self.levels[d]
             if kept is not None and x in kept:
                 w = kept[x]
-            elif left.below[x] and not left.lone[x] and level.deep and level.like(left.tag[x]).any():
+            elif left.below[x] and not left.lone[x] and d + 1 < len(cuts) and level.like(left.tag[x])[cuts[d][4] : cuts[d][5]].any():
                 rest = iter(left.below[x])
-                opened.append((x, rest, self.levels[left.depth[x] - self.top + 1].base.copy()))
+                opened.append((x, rest, self.levels[d + 1].base[cuts[d + 1][0] : cuts[d + 1][1]].copy()))
                 x = next(rest)
                 continue
             else:
-                w = self._weight(level, x, None)
+                w = self._weight(cuts, x, None)
             while True:
                 if kept is not None:
                     kept[x] = w
@@ -532,18 +556,20 @@ class Levels:
                     x = child
                     break
                 opened.pop()
-                w = self._weight(self.levels[left.depth[x] - self.top], x, best)
+                w = self._weight(cuts, x, best)
 
-    def _weight(self, level: _Level, x: int, best: np.ndarray | None) -> np.ndarray:
-        left, tag = self.left, self.left.tag[x]
-        equal = level.equal.get(left.hash[x])
+    def _weight(self, cuts: list[tuple], x: int, best: np.ndarray | None) -> np.ndarray:
+        left, tag, d = self.left, self.left.tag[x], self.left.depth[x] - self.top
+        level, (s, t, _, _, g, h) = self.levels[d], cuts[d]
+        equal = _between(level.equal.get(left.hash[x]), s, t)
         if best is not None:
-            below = self.levels[left.depth[x] - self.top + 1]
-            w = np.zeros(len(level.base), level.kind)
-            w[level.at] = level.like(tag) * (2 + best[below.last] - below.base[below.last])
+            below, (base, _, f, e, _, _) = self.levels[d + 1], cuts[d + 1]
+            last = below.last[f:e]
+            w = np.zeros(t - s, level.kind)
+            w[level.at[g:h] - s] = level.like(tag)[g:h] * (2 + best[last - base] - below.base[last])
         else:
-            w = level.alone(tag, left.lone[x])
-            near = level.texts.get(left.hash[left.below[x][0]]) if left.lone[x] else None
+            w = level.alone(tag, left.lone[x])[s:t]
+            near = _between(level.texts.get(left.hash[left.below[x][0]]), s, t) if left.lone[x] else None
             if near or equal:
                 w = w.copy()
             if near:
@@ -553,6 +579,11 @@ class Levels:
         return w
 
 
+def _between(places: list[int] | None, s: int, t: int) -> list[int]:
+    """Those of ascending places from ``s`` up to ``t``, counted from ``s``."""
+    return [k - s for k in places[bisect_left(places, s) : bisect_left(places, t)]] if places else []
+
+
 def _add(best: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
     """The next row of a table of best weights."""
     new = best[:-1] + w[1:]
@@ -560,49 +591,90 @@ def _add(best: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
     np.maximum.accumulate(new, out=out[1:])
 
 
-def _pair_levels(left: Tree, right: Tree, a: list[int], b: list[int], levels: Levels | None):
-    """The mapping :func:`_pair_table` gives, in bounded memory and without asking for each pair."""
-    levels = levels or Levels(left, right, a, b)
-    own = slice(levels.place[b[0]] - 1, levels.place[b[-1]] + 1)  # b is a part of one family
-    path = _best_path(len(a), len(b), lambda i: levels.row(a[i])[own], np.int32 if 3 * len(right.tag) < 1 << 31 else np.int64)
+def _bounds(left: Tree, right: Tree, a: list[int], b: list[int]) -> list[int]:
+    """By number of pairs: a bound for the weight that so many of ``a`` can have. Nodes count 2, or 3 where the right has an equal one."""
+    mine, other = slice(a[0], a[-1] + left.count[a[-1]]), slice(b[0], b[-1] + right.count[b[-1]])
+    hashes, tags = set(right.hash[other]), set(right.tag[other])
+    sums = [0]
+    for h, tag in zip(left.hash[mine], left.tag[mine], strict=True):
+        sums.append(sums[-1] + (2 + (h in hashes)) * (tag in tags))
+    each = sorted((sums[x - a[0] + left.count[x]] - sums[x - a[0]] for x in a), reverse=True)
+    return [0, *accumulate(each)]
+
+
+def _pair_levels(left: Tree, right: Tree, a: list[int], b: list[int], levels: Levels):
+    """The mapping :func:`_pair_table` gives, in bounded memory and without asking for each pair.
+
+    Only cells ``k`` off the diagonals of both ends are looked at. A path beyond these has ``k + 1`` pairs less than there may be;
+    if so many cannot have the weight found, all best paths are inside. If they can, ``k`` grows.
+    """
+    n, m, k = len(a), len(b), BAND
+    at = levels.place[b[0]] - 1  # b is a part of one family
+    kind = np.int32 if 3 * len(right.tag) < 1 << 31 else np.int64
     if levels.kept is None:
-        levels = None
+        outside = [*map(min, _bounds(left, right, a, b), _bounds(right, left, b, a))]  # up to the shorter list
+    else:
+        k, outside = max(n, m), [0]
+    path = None
+    while path is None:
+        weight, path = _best_path(n, m, lambda i, p, q: levels.row(a[i], at + p, at + q), kind, k, outside[min(n, m) - k - 1] if k < min(n, m) else -1)
+        k = min(8 * k, min(n, m) - bisect_left(outside, weight))
+    known = None if levels.kept is None else levels
+    del levels
     out = []
     for i, j in path:
-        out.append((yield a[i], b[j], levels))
+        out.append((yield a[i], b[j], known))
     return out
 
 
-def _best_path(n: int, m: int, row: Callable[[int], np.ndarray], kind: type) -> list[tuple[int, int]]:
-    """Pairs on the best path through a table of which ``HELD`` cells are held: every so many rows first, then those between, from the last."""
-    keep, out, j = max(2, HELD // (m + 1)), [], m
-    todo = [(0, n, np.zeros(m + 1, kind))]
+def _best_path(n: int, m: int, row: Callable[[int, int, int], np.ndarray], kind: type, k: int, outside: int) -> tuple[int, list[tuple[int, int]] | None]:
+    """The best weight and the pairs of a table's best path up to ``k`` off its diagonals; no pairs if the weight is not above ``outside``.
+
+    ``HELD`` cells are held: every so many rows first, then those between, from the last.
+    """
+    under, over = min(0, m - n) - k, max(0, m - n) + k
+    width = min(m + 1, over - under + 1)
+    keep = max(2, HELD // (m + 1), (isqrt(width * width + 4 * HELD) - width) // 2)
+    weight, out, j = 0, [], m
+    todo = [(0, n, np.zeros(min(m, over) + 1, kind))]  # rows from and to, and the cells of the first
     while todo and j:
-        lo, hi, best = todo.pop()
-        best = best[: j + 1]
+        lo, hi, first = todo.pop()
+        c, e = max(0, lo + under), min(j, hi + over) + 1  # columns
         if hi - lo <= keep:
-            table = np.zeros((hi - lo + 1, j + 1), kind)
-            table[0] = best
+            table = np.full((hi - lo + 1, e - c), -1, kind)
+            table[0, : len(first)] = first[: e - c]
             for i in range(lo, hi):
-                _add(table[i - lo], row(i)[: j + 1], table[i - lo + 1])
+                p, q = max(0, i + under), min(j, i + 1 + over)
+                if i + 1 + under <= 0:
+                    table[i + 1 - lo, 0] = 0
+                if q > p:
+                    _add(table[i - lo, p - c : q + 1 - c], row(i, p, q), table[i + 1 - lo, p - c : q + 1 - c])
+            if hi == n:
+                weight = int(table[-1, m - c])
+                if weight <= outside:
+                    return weight, None
             i = hi
             while i > lo and j:
-                if table[i - lo, j] == table[i - lo - 1, j]:
+                here = table[i - lo, j - c]
+                if here == table[i - lo - 1, j - c]:
                     i -= 1
-                elif table[i - lo, j] == table[i - lo, j - 1]:
+                elif j > c and here == table[i - lo, j - 1 - c]:
                     j -= 1
                 else:
                     i, j = i - 1, j - 1
                     out.append((i, j))
         else:
-            cuts = [lo + (hi - lo) * k // keep for k in range(keep + 1)]
-            todo.append((lo, cuts[1], best))
-            best = best.copy()
-            for k in range(1, keep):
-                for i in range(cuts[k - 1], cuts[k]):
-                    _add(best, row(i)[: j + 1], best)
-                todo.append((cuts[k], cuts[k + 1], best.copy()))
-    return out[::-1]
+            cuts = [lo + (hi - lo) * x // keep for x in range(keep + 1)]
+            best = np.zeros(m + 1, kind)
+            best[c : c + len(first)] = first
+            todo.append((lo, cuts[1], first))
+            for x in range(1, keep):
+                for i in range(cuts[x - 1], cuts[x]):
+                    p, q = max(0, i + under), min(j, i + 1 + over)
+                    if q > p:
+                        _add(best[p : q + 1], row(i, p, q), best[p : q + 1])
+                todo.append((cuts[x], cuts[x + 1], best[max(0, cuts[x] + under) : min(j, cuts[x] + over) + 1].copy()))
+    return weight, out[::-1]
 
 
 def _asks(left: Tree, right: Tree) -> int:
