@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -81,6 +82,27 @@ def test_long_words_do_not_pile_up():
         assert ids.tolist() == [1008, 1009] and table.long_bytes <= 12_100
 
 
+def test_rows_are_encoded_in_parts():
+    """Rows get the ids they get by themselves, and memory beyond the ids does not grow with the batch."""
+    from veilwright.llm.wordtable import WordTable
+    import pyarrow as pa
+
+    table = WordTable(lambda word: list(word[:3]))
+    whole = lambda text: list(text.encode())
+    texts = ["", "one  two", "é" * 40, *(f"word{k % 997} a{k % 89} " * 20 + "end" for k in range(18_000)), "x " * 400_000 + "y", ""]
+    ids, at = table.encode_rows(pa.array(texts), whole, 7)
+    for k in (*range(9), 9_000, *range(len(texts) - 4, len(texts))):
+        own, _ = table.encode_rows(pa.array([texts[k]]), whole, 7)
+        assert ids[at[k] : at[k + 1]].tolist() == own.tolist()
+    assert len(at) == len(texts) + 1 and at[-1] == len(ids)
+    column = pa.array(texts[3:-2])
+    tracemalloc.start()
+    some, _ = table.encode_rows(column, whole, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * some.nbytes + 30_000_000, (peak, some.nbytes)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=300))
 def test_perfect_hash_is_minimal(keys):

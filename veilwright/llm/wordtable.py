@@ -59,6 +59,8 @@ class WordTable:
     ``limit``: words held, ``most``: ids and bytes of long words held; the table is emptied beyond them, which costs time only.
     """
 
+    PART = 500_000
+
     def __init__(self, encode: Callable[[bytes], Sequence[int]], dtype: str = "<u2", limit: int = 1_200_000, keep_white: bool = True, most: int = 16 << 20):
         self.encode, self.dtype, self.limit, self.keep_white, self.most = encode, dtype, limit, keep_white, most
         self._clear()
@@ -189,9 +191,20 @@ class WordTable:
     def encode_rows(self, column: pa.Array, whole: Callable[[str], Sequence[int]], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the offsets of rows in them.
 
-        ``whole`` encodes a whole text, for odd rows. ``end``: an id to add to each row.
+        ``whole`` encodes a whole text, for odd rows. ``end``: an id to add to each row. Rows are encoded ``PART`` bytes at a
+        time (or one longer row), as the arrays by word and by id are many times the text.
         """
         buf, offsets = text_buffer(column)
+        ids, sizes, a, rows = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], 0, len(offsets) - 1
+        while a < rows:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + self.PART, "right")) - 1)
+            some, at = self._encode(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], whole, end)
+            ids.append(some)
+            sizes.append(np.diff(at))
+            a = b
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def _encode(self, buf: np.ndarray, offsets: np.ndarray, whole: Callable[[str], Sequence[int]], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offsets) - 1
         starts, ends, before, odd = self.words(buf, offsets)
         row = np.searchsorted(offsets, starts, "right") - 1
