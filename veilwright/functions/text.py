@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ BREAKS = "\\n\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029"  # what ends a line, once n
 BLANK = "[\\s\\x1C-\\x1F]"
 _BITS = 12
 PAGE = 1 << _BITS
+_ODD_BREAKS = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def decoded(content: Column) -> Column:
@@ -22,6 +25,12 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(text, "\\r\\n?", "\n")
 
 
+def lines_by_newline(text: Column) -> Column:
+    """The text with a newline for each character of ``BREAKS``: the same offsets, and a pattern of lines needs one plain class."""
+    odd = reduce(or_, (text.contains(x) for x in _ODD_BREAKS))
+    return F.when(odd, F.translate(text, _ODD_BREAKS, "\n" * len(_ODD_BREAKS))).otherwise(text)
+
+
 def part(text: Column, start: Column, end: Column) -> Column:
     """Characters ``start`` .. ``end`` (0-based, half open)."""
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))

@@ -110,6 +110,7 @@ def in_address(body: Body, start: Column, end: Column) -> Column:
     stop = "\\s\\x1C-\\x1F" + ADDRESS_STOPS
     left = lambda t: F.regexp_extract(F.substring_index(t, "\n", -1), f"(?U)[^{stop}]*$", 0)
     right = lambda t: F.regexp_extract(F.substring_index(t, "\n", 1), f"(?U)^[^{stop}]*", 0)
+    marks = lambda t: t.contains("@") | t.contains("://")
     low = F.greatest(start - _REACH, F.lit(0))
 
     def judged(t: Column) -> Column:
@@ -118,9 +119,16 @@ def in_address(body: Body, start: Column, end: Column) -> Column:
             body.part(start, end),
             F.when(F.length(t["right"]) < _REACH, t["right"]).otherwise(right(F.substring(body.text, end + 1, F.length(body.text)))),
         )
-        return let(token, lambda x: x.contains("@") | x.contains("://"))
+        return let(token, marks)
 
-    return let(F.struct(left(body.part(low, start)).alias("left"), right(body.part(end, end + _REACH)).alias("right")), judged)
+    def near(t: Column) -> Column:
+        # a token does not leave its line, so a line near the span that holds no mark and ends there decides
+        before, after = F.substring_index(t["before"], "\n", -1), F.substring_index(t["after"], "\n", 1)
+        ends = ((F.length(before) < start - low) | (low == 0)) & (F.length(after) < _REACH)
+        none = ends & ~marks(F.concat(before, body.part(start, end), after))
+        return F.when(none, F.lit(False)).otherwise(let(F.struct(left(t["before"]).alias("left"), right(t["after"]).alias("right")), judged))
+
+    return let(F.struct(body.part(low, start).alias("before"), body.part(end, end + _REACH).alias("after")), near)
 
 
 def name_pattern(name: str, least: int) -> str | None:
@@ -134,16 +142,26 @@ def name_pattern(name: str, least: int) -> str | None:
     return "\\s+".join(quoted)
 
 
+def listed(names: Iterable[str], least: int) -> list[str]:
+    """The entries that are looked for, longest first."""
+    return sorted({n for n in names if name_pattern(n, least)}, key=lambda n: (-len(n), n.upper()))
+
+
+def head(name: str) -> str:
+    """The word that a text must have for an entry to occur."""
+    return m[0].upper() if (m := re.search(r"[\w-]+", name)) else ""
+
+
 def with_pattern(texts: DataFrame, column: str, names: Iterable[str], least: int = 3) -> DataFrame:
     """With ``column``: a pattern of just the entries that can occur in ``text``, longest first; null if there are none.
 
     The words of the text are looked up in the list by hash, so most texts are never searched. The words
     found are a column of their own: inside the filter below they would be worked out for each entry.
     """
-    entries = sorted({n for n in names if name_pattern(n, least)}, key=lambda n: (-len(n), n.upper()))
+    entries = listed(names, least)
     if not entries:
         return texts.withColumn(column, F.lit(None).cast("string"))
-    first = {n: (m[0].upper() if (m := re.search(r"[\w-]+", n)) else "") for n in entries}
+    first = {n: head(n) for n in entries}
     table = F.from_json(F.lit(json.dumps([{"head": first[n], "pattern": name_pattern(n, least)} for n in entries])), "array<struct<head:string,pattern:string>>")
     heads = sorted({x for x in first.values() if x})
     present = F.array_distinct(F.filter(F.regexp_extract_all(F.upper("text"), F.lit(WORD), F.lit(0)), lambda w: w.isin(heads)))
@@ -247,7 +265,8 @@ def with_findings(texts: DataFrame, body: Body, options: ScanOptions, recognized
         if options.unknown_names:
             texts = texts.withColumn("comments", name_ranges(text, options.scope, comments_only=True))
             names.append(unknown_names(body, F.col("comments"), options.unknown_min_length))
-        texts = texts.withColumn("names", resolved(F.concat(*names)) if names else none())
+        settled = len(names) == 1 and not recognized  # names of one list are disjoint already
+        texts = texts.withColumn("names", names[0] if settled else resolved(F.concat(*names)) if names else none())
     if "EMAIL" in want:
         out.append(emails(text))
     if "IBAN" in want:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from veilwright.fixed import NAME_LINE_MARKERS, QUOTED
 from veilwright.functions.spans import int_of, matches, merged
-from veilwright.functions.text import BLANK, BREAKS
+from veilwright.functions.text import BLANK, lines_by_newline
 from veilwright.options import SPAN
 
-LINE = f"[^{BREAKS}]*[{BREAKS}]|[^{BREAKS}]+"
+LINE = "[^\\n]*\\n|[^\\n]+"  # of a text whose lines all end by newlines
 
 
 def comment_line(line: Column) -> Column:
@@ -23,7 +23,7 @@ def name_line(line: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return matches(text, LINE)
+    return matches(lines_by_newline(text), LINE)
 
 
 def name_ranges(text: Column, scope: str, comments_only: bool = False) -> Column:
@@ -31,5 +31,5 @@ def name_ranges(text: Column, scope: str, comments_only: bool = False) -> Column
     if scope == "all":
         return F.array(F.struct(F.lit(0).alias("start"), int_of(F.length(text)).alias("end"))).cast(SPAN)
     rule = comment_line if comments_only else name_line
-    chosen = matches(text, LINE, keep=rule)
+    chosen = matches(lines_by_newline(text), LINE, keep=rule)
     return merged(F.concat(chosen, matches(text, QUOTED)))

@@ -107,8 +107,8 @@ def overlaps_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("file", F.col("x.entity_type").alias("entity_type"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
-def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(corpus.files(spark, sf_dir), ScanOptions(names=WATCHLIST))
+def all_findings(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    return scan(corpus.files(spark, sf_dir), ScanOptions(names=WATCHLIST), fields or None)
 
 
 def value_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +213,7 @@ def names_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finding_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_findings(spark, sf_dir).groupBy("entity_type", "source").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("file").alias("files"))
+    return all_findings(spark, sf_dir, "file", "entity_type", "source").groupBy("entity_type", "source").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("file").alias("files"))
 
 
 def queries() -> dict[str, Query]:
