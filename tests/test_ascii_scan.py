@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilwright.operators import ascii_scan
 from veilwright.options import ScanOptions
+from veilwright.plans import catalog
 from veilwright.plans.scan import scan
 
 PIECES = (
@@ -54,3 +55,11 @@ def test_wanted_columns_alone(texts):
     got = scan(texts, CASES["all"], ["file", "entity_type", "line_no"])
     assert got.columns == ["file", "entity_type", "line_no"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, scan(texts, CASES["all"]).select(*got.columns).collect()))
+
+
+@pytest.mark.parametrize("query", ["finding_totals", "occurrence_keys"])
+def test_queries_work_out_no_context(spark, smoke, monkeypatch, query):
+    asked, scanned = [], ascii_scan.with_done
+    monkeypatch.setattr(ascii_scan, "with_done", lambda texts, options, fields: asked.append(fields) or scanned(texts, options, fields))
+    catalog.queries()[query](spark, smoke)
+    assert len(asked) == 1 and "context" not in asked[0]

@@ -153,7 +153,7 @@ def roster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def occurrence_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of entities that are not linked: a group an occurrence."""
-    own = scan(corpus.files(spark, sf_dir), _only("NAME", "MATRICOLA", names=WATCHLIST))
+    own = scan(corpus.files(spark, sf_dir), _only("NAME", "MATRICOLA", names=WATCHLIST), ("file", "entity_type", "text", "start", "line_no", "col_no"))
     return groups.group_findings(own).select("entity_type", "key", "original", "hits", "locations")
 
 
