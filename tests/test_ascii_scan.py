@@ -57,7 +57,7 @@ def test_wanted_columns_alone(texts):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, scan(texts, CASES["all"]).select(*got.columns).collect()))
 
 
-@pytest.mark.parametrize("query", ["finding_totals", "occurrence_keys"])
+@pytest.mark.parametrize("query", ["finding_totals", "occurrence_keys", "names_report"])
 def test_queries_work_out_no_context(spark, smoke, monkeypatch, query):
     asked, scanned = [], ascii_scan.with_done
     monkeypatch.setattr(ascii_scan, "with_done", lambda texts, options, fields: asked.append(fields) or scanned(texts, options, fields))

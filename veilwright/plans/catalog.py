@@ -209,7 +209,8 @@ def detector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def names_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.name_rows(stash(all_findings(spark, sf_dir).filter("entity_type = 'NAME'"), "findings")).select("name", "folder", "file", "line", "column", "confidence", "source")
+    fields = ("file", "entity_type", "text", "start", "end", "line_no", "col_no", "confidence", "source")
+    return reports.name_rows(stash(all_findings(spark, sf_dir, *fields).filter("entity_type = 'NAME'"), "findings")).select("name", "folder", "file", "line", "column", "confidence", "source")
 
 
 def finding_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

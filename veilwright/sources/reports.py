@@ -24,7 +24,7 @@ def folder_of(file: Column) -> Column:
 def name_rows(findings: DataFrame) -> DataFrame:
     folder = folder_of(F.col("file"))
     own = findings.filter("entity_type = 'NAME'").orderBy("file", "start", "end")
-    return own.select(F.col("text").alias("name"), folder.alias("folder"), "file", F.col("line_no").alias("line"), F.col("col_no").alias("column"), F.format_string("%.4f", "confidence").alias("confidence"), "source", "context")
+    return own.select(F.col("text").alias("name"), folder.alias("folder"), "file", F.col("line_no").alias("line"), F.col("col_no").alias("column"), F.format_string("%.4f", "confidence").alias("confidence"), "source", *(c for c in findings.columns if c == "context"))
 
 
 def write_json(findings: DataFrame, path: str) -> None:
